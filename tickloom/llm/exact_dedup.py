@@ -50,7 +50,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("norm", 256)))
     index = build_index(rows.select("doc_id", "digest"))
+    # The one shuffle of texts; what is kept of them is those of hits.
     found = rows.join(index, "digest").withColumn("hit", F.when(F.col("n") > 1, F.col("norm"))).drop("norm")
+    found = shared.written(found, "digest-hits")
 
     held = found.where((F.col("n") > 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("hit").alias("held"))
     seen = found.join(held, "digest", "left").withColumn("other", F.when((F.col("n") > 1) & (F.col("hit") != F.col("held")), F.col("hit")))
