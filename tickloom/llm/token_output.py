@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,17 +17,40 @@ from pyspark.sql.window import Window
 from tickloom.llm import shared
 
 END_ID = 2
-#: Pieces of text whose ids a Python worker remembers.
-CACHE = 400_000
-#: Unicode's White_Space characters (fixed values).
-_W = "\t-\r \x85\xa0  -     　"
-#: Text is cut before white space that follows something else, and between a Latin letter and a comma or full stop: no token of a
-#: byte-level vocabulary with the usual split crosses these, so pieces can be encoded once and looked up after.
-_PIECE = re.compile(f"[{_W}]*[A-Za-z]+(?=[.,])|[{_W}]*[^{_W}]+|[{_W}]+")
+#: Words whose ids a Python worker remembers at most; beyond, those met once are forgotten.
+CACHE = 500_000
+#: Unicode's White_Space characters and the Latin letters, as classes of patterns (fixed values).
+_W = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_ENDS_IN_SPACE = re.compile(f"[{_W}]\\Z")
+#: Parts of a word that no token of the usual byte-level split crosses: letters before a full stop, comma, line feed or the end; such a
+#: mark alone; else all up to white space.
+_PART = re.compile(f" ?[{_L}]+(?=[.,\\n]|\\Z)|[.,](?=\\n[^{_W}]|\\Z)|\\n(?=[^{_W}])|[{_W}]*[^{_W}]+|[{_W}]+")
+_SIMPLE = re.compile(f" ?[{_L}]+|[.,\\n]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Codes(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 class Encoder:
-    """Ids of texts; each piece of text is encoded once by the tokenizers library and remembered."""
+    """Ids of texts by the tokenizers library, which gets each different word once.
+
+    A text is cut at its spaces, each space going with what follows. Where the character before the space isn't
+    white space itself, no token crosses the cut, so words can be encoded alone and looked up when they
+    come again. A text with white space before a space is encoded as a whole.
+    """
 
     def __init__(self, path: str, most: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,46 +58,86 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.table: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def learn(self, pieces: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        n = len(self.known)
-        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
-        old, old_at, old_sizes = self.table
-        at = len(old) + np.cumsum(sizes) - sizes
-        self.table = (np.concatenate([old, flat]), np.concatenate([old_at, at]), np.concatenate([old_sizes, sizes]))
+        self.model, self.letters, self.most = self.tokenizer.model, _byte_letters(), most
+        self.codes, self.parts = _Codes(), {}
+        self.flat, self.at, self.odd, self.met = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.parts) > self.most // 2:
+            self.parts.clear()
+        known, model, letters = self.parts, self.model, self.letters
+        flat: list[int] = []
+        sizes = np.zeros(len(words), np.int64)
+        odd = np.zeros(len(words), bool)
+        for k, word in enumerate(words):
+            if word == " " or _ENDS_IN_SPACE.search(word):
+                odd[k] = True
+                continue
+            n = len(flat)
+            for part in _PART.findall(word):
+                ids = known.get(part)
+                if ids is None:
+                    simple = _SIMPLE.fullmatch(part)
+                    ids = [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(letters))] if simple else self._whole(part)
+                    known[part] = ids = tuple(ids)
+                flat += ids
+            sizes[k] = len(flat) - n
+        self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.odd = np.concatenate([self.odd, odd])
+
+    def _forget(self) -> None:
+        """Keeps the words met more than once; all go where these are too many themselves."""
+        stay = np.flatnonzero(self.met > 1)
+        if 2 * len(stay) > self.most:
+            stay = stay[:0]
+        words = list(self.codes)
+        self.codes = _Codes((words[k], n) for n, k in enumerate(stay))
+        sizes = np.diff(self.at)[stay]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.repeat(self.at[:-1][stay] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        self.at, self.odd, self.met = np.r_[0, ends], self.odd[stay], self.met[stay] * 0 + 1
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with END_ID after each text, where each text starts and one more)."""
-        pieces = [_PIECE.findall(t) for t in texts]
-        new = list({p for row in pieces for p in row} - self.known.keys())
-        if len(self.known) + len(new) > self.most:
-            self.clear()
-            new = list({p for row in pieces for p in row})
-        if new:
-            self.learn(new)
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        codes = np.fromiter((self.known[p] for row in pieces for p in row), np.int64, int(counts.sum()))
-        flat, at, sizes = self.table
-        n = sizes[codes]
-        ends = np.r_[0, np.cumsum(n)]
+        if len(self.codes) > self.most:
+            self._forget()
+        # A first word has no space before it; it is numbered apart, under a name that no other word has.
+        rows = [t.split(" ") for t in texts]
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        before = len(self.codes)
+        number = self.codes.__getitem__
+        codes = np.fromiter(map(number, chain.from_iterable(rows)), np.int64, int(counts.sum()))
         row = np.r_[0, np.cumsum(counts)]
-        starts = ends[row] + np.arange(len(row))
-        out = np.full(int(ends[-1]) + len(texts), END_ID, np.int32)
-        doc = np.repeat(np.arange(len(texts)), counts)
-        to = np.repeat(ends[:-1] + doc, n) + (np.arange(ends[-1]) - np.repeat(ends[:-1], n))
-        out[to] = flat[np.repeat(at[codes], n) + (np.arange(ends[-1]) - np.repeat(ends[:-1], n))]
-        return out, starts
+        codes[row[:-1]] = [number(" " + r[0]) for r in rows]
+        if len(self.codes) > before:
+            self._learn([w[1:] if w[:1] == " " else f" {w}" for w in islice(self.codes, before, None)])
+        self.met = np.bincount(codes, minlength=len(self.codes)) + np.r_[self.met, np.zeros(len(self.codes) - len(self.met), np.int64)]
+        n = (self.at[1:] - self.at[:-1])[codes]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = self.flat[np.repeat(self.at[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        out = []
+        bad = np.unique(np.repeat(np.arange(len(texts)), counts)[self.odd[codes]])
+        sizes = ends[row[1:]] - ends[row[:-1]]
+        for k in bad:
+            out.append((k, self._whole(texts[k])))
+            sizes[k] = len(out[-1][1])
+        at = np.r_[0, np.cumsum(sizes + 1)]
+        result = np.full(int(at[-1]), END_ID, np.int32)
+        keep = np.ones(len(result), bool)
+        keep[at[1:] - 1] = False
+        for k, whole in out:
+            result[at[k] : at[k + 1] - 1] = whole
+            keep[at[k] : at[k + 1]] = False
+        if len(bad):
+            good = np.ones(len(texts), bool)
+            good[bad] = False
+            ids = ids[np.repeat(good, ends[row[1:]] - ends[row[:-1]])]
+        result[keep] = ids
+        return result, at
 
 
 _encoders: dict[str, Encoder] = {}
