@@ -19,7 +19,7 @@ def normalised(text: Column) -> Column:
 
 def _flush(entries: DataFrame, at: str, by: list[str]) -> DataFrame:
     """Writes runs sorted by digest, with Parquet's Bloom filters on it."""
-    out = entries.sortWithinPartitions(*by, "digest").write.option("parquet.bloom.filter.enabled#digest", "true")
+    out = entries.sortWithinPartitions(*by, "digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
     (out.partitionBy(*by) if by else out).parquet(at)
     return entries.sparkSession.read.schema(entries.schema).parquet(at)
 
