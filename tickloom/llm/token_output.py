@@ -10,30 +10,20 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.llm import shared
+from tickloom.llm.text import slices
 
 END_ID = 2
 #: Words whose ids a Python worker remembers at most; beyond, those met once are forgotten.
 CACHE = 500_000
-#: Unicode's White_Space characters and the Latin letters, as classes of patterns (fixed values).
+#: Unicode's White_Space characters, as a class of a pattern (fixed values).
 _W = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _ENDS_IN_SPACE = re.compile(f"[{_W}]\\Z")
-#: Parts of a word that no token of the usual byte-level split crosses: letters before a full stop, comma, line feed or the end; such a
-#: mark alone; else all up to white space.
-_PART = re.compile(f" ?[{_L}]+(?=[.,\\n]|\\Z)|[.,](?=\\n[^{_W}]|\\Z)|\\n(?=[^{_W}])|[{_W}]*[^{_W}]+|[{_W}]+")
-_SIMPLE = re.compile(f" ?[{_L}]+|[.,\\n]")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class _Codes(dict):
@@ -58,34 +48,34 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.letters, self.most = self.tokenizer.model, _byte_letters(), most
-        self.codes, self.parts = _Codes(), {}
+        self.most, self.codes = most, _Codes()
+        # A byte-level vocabulary writes each byte as one character.
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.bytes_of[k] = len(token)
         self.flat, self.at, self.odd, self.met = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.parts) > self.most // 2:
-            self.parts.clear()
-        known, model, letters = self.parts, self.model, self.letters
-        flat: list[int] = []
+        """Takes in the ids of new words: those with a space in front, end to end in one call, are told apart by the bytes that ids stand for."""
+        odd = np.fromiter((w == " " or _ENDS_IN_SPACE.search(w) is not None for w in words), bool, len(words))
+        joined = [w for w, o in zip(words, odd, strict=True) if w[:1] == " " and not o]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in joined), np.int64, len(joined)))
+        cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
         sizes = np.zeros(len(words), np.int64)
-        odd = np.zeros(len(words), bool)
-        for k, word in enumerate(words):
-            if word == " " or _ENDS_IN_SPACE.search(word):
-                odd[k] = True
-                continue
-            n = len(flat)
-            for part in _PART.findall(word):
-                ids = known.get(part)
-                if ids is None:
-                    simple = _SIMPLE.fullmatch(part)
-                    ids = [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(letters))] if simple else self._whole(part)
-                    known[part] = ids = tuple(ids)
-                flat += ids
-            sizes[k] = len(flat) - n
-        self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
+        where = np.fromiter((w[:1] == " " for w in words), bool, len(words)) & ~odd
+        sizes[where] = np.diff(np.r_[0, cuts])
+        alone = np.flatnonzero(~where & ~odd)
+        own = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in alone], add_special_tokens=False)]
+        sizes[alone] = [len(x) for x in own]
+        flat = np.empty(int(sizes.sum()), np.int32)
+        mine = np.repeat(where, sizes)
+        flat[mine] = ids
+        flat[~mine] = np.fromiter(chain.from_iterable(own), np.int32)
+        self.flat = np.concatenate([self.flat, flat])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         self.odd = np.concatenate([self.odd, odd])
 
@@ -101,18 +91,20 @@ class Encoder:
         self.flat = self.flat[np.repeat(self.at[:-1][stay] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
         self.at, self.odd, self.met = np.r_[0, ends], self.odd[stay], self.met[stay] * 0 + 1
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with END_ID after each text, where each text starts and one more)."""
         if len(self.codes) > self.most:
             self._forget()
-        # A first word has no space before it; it is numbered apart, under a name that no other word has.
-        rows = [t.split(" ") for t in texts]
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        split = pc.split_pattern(texts, " ")
+        row = split.offsets.to_numpy().astype(np.int64)
+        row, values = row - row[0], split.flatten()
+        counts = np.diff(row)
         before = len(self.codes)
         number = self.codes.__getitem__
-        codes = np.fromiter(map(number, chain.from_iterable(rows)), np.int64, int(counts.sum()))
-        row = np.r_[0, np.cumsum(counts)]
-        codes[row[:-1]] = [number(" " + r[0]) for r in rows]
+        named = values.dictionary_encode()
+        codes = np.fromiter(map(number, named.dictionary.to_pylist()), np.int64, len(named.dictionary))[named.indices.to_numpy()]
+        # A first word has no space before it; it is numbered apart, under a name that no other word has.
+        codes[row[:-1]] = [number(f" {w}") for w in values.take(pa.array(row[:-1])).to_pylist()]
         if len(self.codes) > before:
             self._learn([w[1:] if w[:1] == " " else f" {w}" for w in islice(self.codes, before, None)])
         self.met = np.bincount(codes, minlength=len(self.codes)) + np.r_[self.met, np.zeros(len(self.codes) - len(self.met), np.int64)]
@@ -123,7 +115,7 @@ class Encoder:
         bad = np.unique(np.repeat(np.arange(len(texts)), counts)[self.odd[codes]])
         sizes = ends[row[1:]] - ends[row[:-1]]
         for k in bad:
-            out.append((k, self._whole(texts[k])))
+            out.append((k, self._whole(texts[int(k)].as_py())))
             sizes[k] = len(out[-1][1])
         at = np.r_[0, np.cumsum(sizes + 1)]
         result = np.full(int(at[-1]), END_ID, np.int32)
@@ -148,17 +140,11 @@ def _encoded(path: str):
         e = _encoders.setdefault(path, None) or Encoder(path)
         _encoders[path] = e
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < 1 << 21):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                ids, at = e.encode([t or "" for t in texts[lo:hi]])
+            texts = pc.fill_null(batch.column(1), "")
+            for lo, hi, _, _ in slices(texts, 1 << 22):
+                ids, at = e.encode(texts[lo:hi])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(at)), lists], ["doc_id", "n_tokens", "ids"])
-                lo = hi
 
     return run
 
