@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickloom.llm import exact_dedup, language_id, mixing, token_output, toxicity
+from tickloom.llm import decontamination, exact_dedup, language_id, mixing, token_output, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontamination.query,
         "op2_language_id": language_id.query,
         "op3_mixing": mixing.query,
         "op7_toxicity": toxicity.query,
