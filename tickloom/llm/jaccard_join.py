@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from tickloom.llm import graph, shared
 from tickloom.llm import text as T
 
 NGRAM, PERCENT = 4, 85
-#: Counters of the sketch of element counts, in how many pieces they are summed, bits of a bitmap, sets in a tile.
-COUNTERS, PIECES, BITS, TILE = 1 << 20, 16, 512, 256
+#: Counters of the sketch of element counts, in how many pieces they are summed, sets in a tile.
+COUNTERS, PIECES, TILE = 1 << 20, 16, 512
 
 
 def sets(column: pa.Array, n: int = NGRAM) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -48,10 +49,43 @@ def sets(column: pa.Array, n: int = NGRAM) -> Iterator[tuple[int, list[np.ndarra
         yield lo, out
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(s >> np.uint64(55)).astype(np.int64) % BITS] = True
-    return np.packbits(bits).tobytes()
+def bitmap(s: np.ndarray, load: float = 2.0) -> np.ndarray:
+    """Each bit is the parity of the number of elements hashed to it: at most `load` elements a bit, 128 bits at least.
+
+    Two bitmaps differ in no more bits than there are elements in one set alone. A bitmap folds to half its
+    size by xor of its halves, so sets of unlike sizes compare as well.
+    """
+    n = 1 << max(7, int(np.ceil(np.log2(max(1, len(s) / load)))))
+    at = (s >> np.uint64(32)).astype(np.int64) & (n - 1)
+    return np.packbits((np.bincount(at, minlength=n) & 1).astype(np.uint8)).view(np.uint64)
+
+
+class Bitmaps:
+    """Bitmaps of one group, by size, for comparing one with many."""
+
+    def __init__(self, maps: list[np.ndarray]):
+        self.maps = maps
+        self.size = np.fromiter(map(len, maps), np.int64, len(maps))
+        self.tables: dict[int, np.ndarray] = {}
+
+    def _table(self, n: int) -> np.ndarray:
+        """All maps of size n and, folded, those of 2 n; others stay empty."""
+        if n not in self.tables:
+            t = np.zeros((len(self.maps), n), np.uint64)
+            for k in np.flatnonzero(self.size == n):
+                t[k] = self.maps[k]
+            for k in np.flatnonzero(self.size == 2 * n):
+                t[k] = self.maps[k][:n] ^ self.maps[k][n:]
+            self.tables[n] = t
+        return self.tables[n]
+
+    def differing(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Bits in which map i and the maps j, none smaller, differ; 0 where j is more than twice as large."""
+        n = int(self.size[i])
+        t = self._table(n)
+        out = np.bitwise_count(t[j] ^ t[i]).sum(1, dtype=np.int64)
+        out[self.size[j] > 2 * n] = 0
+        return out
 
 
 def _linked_at_most(na: np.ndarray, nb: np.ndarray, differing: np.ndarray, percent: int) -> np.ndarray:
@@ -72,7 +106,7 @@ def _described(n: int):
                 ends = np.cumsum(size)
                 k1, k2 = (T.runs_hashed(T.mixed(every ^ np.uint64(c)), ends - size, ends, c) for c in (0, 1))
                 none = pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + len(own)], pa.array(size.astype(np.int32)), pa.array(T.signed(k1)), pa.array(T.signed(k2)), pa.array([_bitmap(s) for s in own], pa.binary()), *none], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + len(own)], pa.array(size.astype(np.int32)), pa.array(T.signed(k1)), pa.array(T.signed(k2)), pa.array([bitmap(s).tobytes() for s in own], pa.binary()), *none], names)
         step = COUNTERS // PIECES
         packed = [zlib.compress(counts[i * step : (i + 1) * step].astype("<u4").tobytes(), 1) for i in range(PIECES)]
         none = [pa.nulls(PIECES, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
@@ -131,16 +165,17 @@ def _forest(n: np.ndarray, can: "callable") -> list[tuple[int, int]]:
 def _candidates(percent: int):
     """Edges between classes that share an element and may link, from rows sorted by element: a forest for each element."""
 
-    def of_group(ids: np.ndarray, n: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
-        order = np.argsort(n, kind="stable")
-        ids, n, bits = ids[order], n[order], bits[order]
+    def of_group(ids: np.ndarray, n: np.ndarray, bits: list[bytes]) -> list[tuple[int, int]]:
+        order = np.lexsort((ids, n))
+        ids, n = ids[order], n[order]
+        maps = Bitmaps([np.frombuffer(bits[k], np.uint64) for k in order])
 
         def can(i: int, label: np.ndarray) -> np.ndarray:
             to = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
             j = np.flatnonzero(label[i + 1 : to] != label[i]) + i + 1
-            return j[_linked_at_most(n[i], n[j], np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64), percent)] if len(j) else j
+            return j[_linked_at_most(n[i], n[j], maps.differing(i, j), percent)] if len(j) else j
 
-        return [(ids[a], ids[b]) for a, b in _forest(n, can)]
+        return [(int(ids[a]), int(ids[b])) for a, b in _forest(n, can)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(edges: set) -> pa.RecordBatch:
@@ -149,33 +184,26 @@ def _candidates(percent: int):
 
         held: list = []
         edges: set = set()
-        seen: dict = {}
+        seen: set = set()
 
         def close(rows: tuple) -> None:
             element, ids, n, bits = rows
             cuts = np.r_[0, np.flatnonzero(np.diff(element)) + 1, len(element)]
             size = np.diff(cuts)
-            two = cuts[:-1][size == 2]
-            if len(two):
-                na, nb = n[two], n[two + 1]
-                ok = _linked_at_most(na, nb, np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1, dtype=np.int64), percent)
-                a, b = ids[two][ok], ids[two + 1][ok]
-                edges.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
-            for lo, hi in zip(cuts[:-1][size > 2], cuts[1:][size > 2], strict=True):
+            for lo, hi in zip(cuts[:-1][size > 1].tolist(), cuts[1:][size > 1].tolist(), strict=True):
                 # Copies share many elements: the same classes under another element give the same edges.
-                key = hash(ids[lo:hi].tobytes())
-                if seen.get(key) == hi - lo:
-                    continue
-                seen[key] = hi - lo
-                edges.update((min(x), max(x)) for x in of_group(ids[lo:hi], n[lo:hi], bits[lo:hi]))
+                key = ids[lo:hi].tobytes() if hi - lo < 64 else sha256(ids[lo:hi].tobytes()).digest()
+                if key not in seen:
+                    seen.add(key)
+                    edges.update((min(x), max(x)) for x in of_group(ids[lo:hi], n[lo:hi], bits[lo:hi]))
 
         for batch in batches:
-            got = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            got = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), np.array(batch.column(3).to_pylist() + [None], object)[:-1])
             rows = got if not held else tuple(np.concatenate([a, b]) for a, b in zip(held, got, strict=True))
             last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
             close(tuple(x[:last] for x in rows))
             held = [x[last:] for x in rows]
-            if len(edges) > 1 << 16:
+            if len(edges) > 1 << 16 or len(seen) > 1 << 17:
                 yield out(edges)
                 edges.clear()
                 seen.clear()
@@ -193,7 +221,7 @@ def _verified(n: int, percent: int):
         size = np.array([len(s) for s in own])
         order = np.lexsort((ids, size))
         ids, size, tile, own = ids[order], size[order], tile[order], [own[k] for k in order]
-        bits = np.frombuffer(b"".join(map(_bitmap, own)), np.uint64).reshape(len(own), -1)
+        maps = Bitmaps([bitmap(x, 0.5) for x in own])
         one = (tile == tile[0]).all()
 
         def can(i: int, label: np.ndarray) -> Iterator[int]:
@@ -202,7 +230,7 @@ def _verified(n: int, percent: int):
             j = j[label[j] != label[i]]
             if not one:
                 j = j[tile[j] != tile[i]]
-            for k in j[_linked_at_most(size[i], size[j], np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64), percent)] if len(j) else ():
+            for k in j[_linked_at_most(size[i], size[j], maps.differing(i, j), percent)] if len(j) else ():
                 if label[k] != label[i]:
                     both = len(np.intersect1d(own[i], own[k], assume_unique=True))
                     if 100 * both >= percent * (size[i] + size[k] - both):
@@ -239,7 +267,10 @@ def _tile_pairs(blocks: DataFrame, percent: int) -> DataFrame:
     """(class_id, key, tile) of (class_id, n, block): each class under every pair of tiles that its own tile is in."""
     # A little wider than the ratio of sizes that can link, so that rounding parts no two of them by more than a band.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.1 / percent))).cast("int")
-    rows = blocks.withColumn("band", band)
+    total = blocks.groupBy("block").agg(F.count("*").alias("all"))
+    # A block that fits one tile is one.
+    rows = blocks.join(total, "block").withColumn("band", F.when(F.col("all") <= TILE, F.lit(0)).otherwise(band)).drop("all")
+    rows = shared.written(rows, "jaccard-blocks")
     many = rows.groupBy("block", "band").agg(F.count("*").alias("here")).withColumn("tiles", F.ceil(F.col("here") / TILE).cast("int"))
     rows = rows.join(many.select("block", "band", "tiles"), ["block", "band"]).withColumn("sub", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
     near = many.select("block", (F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("band"), F.col("band").alias("other_band"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other_sub"))
