@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import decontamination, exact_dedup, jaccard_join, language_id, mixing, token_output, toxicity
+from tickloom.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, mixing, substring_dedup, token_output, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_decontamination": decontamination.query,
         "op2_language_id": language_id.query,
         "op3_mixing": mixing.query,
+        "op4_substring_dedup": substring_dedup.query,
+        "op5_line_dedup": line_dedup.query,
         "op6_jaccard_join": jaccard_join.query,
         "op7_toxicity": toxicity.query,
         "op9_exact_dedup": exact_dedup.query,
@@ -18,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op6_jaccard_join": jaccard_join.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op3_mixing": mixing.SQL, "op4_substring_dedup": substring_dedup.SQL, "op5_line_dedup": line_dedup.SQL, "op6_jaccard_join": jaccard_join.SQL, "op9_exact_dedup": exact_dedup.SQL}
