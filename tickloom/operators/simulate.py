@@ -1,0 +1,116 @@
+"""Event-driven simulation: a per-session order and fill path at unit size, then the account fold of each configuration.
+
+The path of a session doesn't depend on the account, so sessions run in parallel; the account is a true recurrence (share
+counts are floored, commissions have a minimum) and folds each configuration's sessions in order, one small row each.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Rules:
+    lag: int = 1
+    late: str = "cancel"  # or "queue": an order whose minute can't trade waits for the next that can
+    fill_at_close: bool = False
+    slippage: float = 0.0
+    rate: float = 0.0035
+    minimum: float = 0.35
+
+
+def session_path(rows: list, rules: Rules = Rules(), exit_price: float | None = None, exit_extra: float = 0.0) -> dict:
+    """Units, fills, round trips, gross and held minutes of one session's rows (m, open, close, ok, signal), in order of m.
+
+    Profit accrues to the position held before a fill. An order is due `lag` minutes after its decision and fills at
+    the open of that minute; if it can't, it is cancelled or waits. What is held at the end goes at the last executable close.
+    """
+    out = {"units": 0.0, "fills": 0, "trips": 0, "sells": 0.0, "gross": 0.0, "held": 0, "extra": 0.0}
+    position, mark, due, last, since = 0, None, None, None, None
+    if not rows:
+        return out
+    final = rows[-1].m
+
+    def fill(target: int, price: float, clock: int) -> None:
+        nonlocal position, mark, since
+        if position and mark is not None:
+            out["gross"] += position * (price - mark)
+            out["held"] += clock - since
+        delta = target - position
+        out["units"] += abs(delta)
+        out["sells"] += max(0, -delta)
+        out["fills"] += delta != 0
+        out["trips"] += position != 0 and delta != 0
+        position, mark, since = target, price, clock
+
+    for r in rows:
+        if due is not None and r.m >= due[1]:
+            if r.ok and (r.m == due[1] or rules.late == "queue"):
+                fill(due[0], r.open, r.m - 1)
+                due = None
+            elif rules.late == "cancel":
+                due = None
+        if r.ok:
+            last = r
+            s = None if r.signal is None or r.signal != r.signal else int(r.signal)
+            wanted = due[0] if due is not None else position
+            if s is not None and s != wanted and r.m < final:
+                if rules.fill_at_close:
+                    fill(s, r.close, r.m)
+                else:
+                    due = (s, r.m + rules.lag)
+    if position and last is not None:
+        extra = abs(position) * exit_extra if exit_price is not None else 0.0
+        fill(0, last.close if exit_price is None else exit_price, last.m)
+        out["extra"] += extra
+    return out
+
+
+PATH = "d date, day_open double, units double, fills long, trips long, sells double, gross double, held long, extra double"
+
+
+def paths(signals: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """One row a session from rows (d, m, open, close, signal); minutes without a close can't trade."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("m").assign(ok=lambda x: x.close.notna())
+        out = session_path(list(pdf.itertuples(index=False)), rules)
+        opens = pdf.open.dropna()
+        return pd.DataFrame([{"d": pdf.d.iloc[0], "day_open": opens.iloc[0] if len(opens) else None, **out}])
+
+    return signals.select("d", "m", "open", "close", "signal").groupBy("d").applyInPandas(run, PATH)
+
+
+FOLD = "cell_id string, d date, status string, shares long, gross double, commission double, slippage double, aum double, ret double"
+
+
+def account(path: DataFrame, cells: DataFrame, start: float = 100_000.0, rules: Rules = Rules()) -> DataFrame:
+    """The daily result of each cell (cell_id, leverage, slippage): sessions in order, each sized by the equity that the one before left."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        aum, rows = start, []
+        for r in pdf.sort_values("d").itertuples(index=False):
+            shares = 0 if r.day_open is None or r.day_open != r.day_open else math.floor(aum / r.day_open * r.leverage)
+            status = "absent_session" if r.day_open is None or r.day_open != r.day_open else "zero_size" if shares <= 0 else "active" if r.units else "no_signal"
+            traded = shares * r.units if status == "active" else 0.0
+            gross = shares * r.gross if status == "active" else 0.0
+            commission = r.fills * max(rules.minimum, rules.rate * traded / r.fills) if traded else 0.0
+            slip = traded * r.slippage
+            before = aum
+            aum += gross - commission - slip
+            rows.append((r.cell_id, r.d, status, int(shares), gross, commission, slip, aum, aum / before - 1 if before else None))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in FOLD.split(", ")])
+
+    return path.crossJoin(F.broadcast(cells)).groupBy("cell_id").applyInPandas(run, FOLD)
+
+
+def cells(spark, leverages=(1.0, 2.0, 4.0), slippages=(0.001, 0.0025, 0.005, 0.01)) -> DataFrame:
+    """The matrix of configurations: a row a cell, ids with the slippage written as 0p0025. Its size is set by the two lists."""
+    a = spark.createDataFrame([(x,) for x in leverages], "leverage double")
+    b = spark.createDataFrame([(x,) for x in slippages], "slippage double")
+    return a.crossJoin(b).withColumn("cell_id", F.concat(F.format_string("lev%.0f_", "leverage"), F.replace(F.format_string("%.4f", "slippage"), F.lit("."), F.lit("p"))))
