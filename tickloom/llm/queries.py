@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, mixing, substring_dedup, token_output, toxicity
+from tickloom.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality, substring_dedup, token_output, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_line_dedup": line_dedup.query,
         "op6_jaccard_join": jaccard_join.query,
         "op7_toxicity": toxicity.query,
+        "op8_quality": quality.query,
         "op9_exact_dedup": exact_dedup.query,
         "op10_token_output": token_output.query,
     }
