@@ -85,12 +85,12 @@ def notebook_exposure_pnl(spark, sf):
     return e.groupBy("d").agg(r8(F.sum("pnl"), 6).alias("gross"), F.sum(F.abs(F.col("exposure") - F.col("prev"))).alias("turned"))
 
 
-@query(" SELECT d, m, round(sum(volume * (open + high + low + close) / 4) OVER s / sum(CASE WHEN close IS NOT NULL THEN volume END) OVER s, 8) AS vwap FROM grid QUALIFY close IS NOT NULL WINDOW s AS (PARTITION BY d ORDER BY m ROWS UNBOUNDED PRECEDING)", BARS_SQL)
+@query(" SELECT d, m, round(sum(volume * (open + high + low + close) / 4) OVER s / sum(CASE WHEN close IS NOT NULL THEN volume END) OVER s, 8) AS vwap FROM grid WINDOW s AS (PARTITION BY d ORDER BY m ROWS UNBOUNDED PRECEDING) QUALIFY close IS NOT NULL", BARS_SQL)
 def vwap_cumulative_ohlc4(spark, sf):
     return X.with_vwap(grid(spark, sf), "ohlc4").where("close is not null").select("d", "m", r8("vwap").alias("vwap"))
 
 
-@query(" SELECT d, m, round(sum(CASE WHEN m BETWEEN 6 AND 8 THEN 0 ELSE volume END * (high + low + close) / 3) OVER s / nullif(sum(CASE WHEN close IS NULL THEN 0 WHEN m BETWEEN 6 AND 8 THEN 0 ELSE volume END) OVER s, 0), 8) AS vwap FROM grid QUALIFY close IS NOT NULL WINDOW s AS (PARTITION BY d ORDER BY m ROWS UNBOUNDED PRECEDING)", BARS_SQL)
+@query(" SELECT d, m, round(sum(CASE WHEN m BETWEEN 6 AND 8 THEN 0 ELSE volume END * (high + low + close) / 3) OVER s / nullif(sum(CASE WHEN close IS NULL THEN 0 WHEN m BETWEEN 6 AND 8 THEN 0 ELSE volume END) OVER s, 0), 8) AS vwap FROM grid WINDOW s AS (PARTITION BY d ORDER BY m ROWS UNBOUNDED PRECEDING) QUALIFY close IS NOT NULL", BARS_SQL)
 def vwap_cumulative_halt_masked(spark, sf):
     return X.with_vwap(grid(spark, sf), "hlc3", F.col("m").between(6, 8)).where("close is not null").select("d", "m", r8("vwap").alias("vwap"))
 
@@ -290,7 +290,7 @@ def month_end_equity(spark, sf):
     return daily(spark, sf).groupBy(F.trunc("d", "MM").alias("month")).agg(F.max_by("close", "d").alias("close"))
 
 
-@query(", x AS (SELECT *, row_number() OVER (ORDER BY d) AS n FROM pair) SELECT d, round(corr(r, b) OVER h, 6) AS corr FROM x QUALIFY n >= 63 WINDOW h AS (ORDER BY d ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)", DAILY_SQL)
+@query(", x AS (SELECT *, row_number() OVER (ORDER BY d) AS n FROM pair) SELECT d, round(corr(r, b) OVER h, 6) AS corr FROM x WINDOW h AS (ORDER BY d ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) QUALIFY n >= 63", DAILY_SQL)
 def rolling_corr_63(spark, sf):
     w = day().rowsBetween(-62, 0)
     return pair(spark, sf).select("d", F.when(F.count("r").over(w) >= 63, r8(F.corr("r", "b").over(w), 6)).alias("corr")).where("corr is not null")
