@@ -82,7 +82,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[lang] = held[lang] + n if lang in held else n
     for lang, n in held.items():
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
 
 def train(labelled: DataFrame, most: int = MOST_TRAIN) -> tuple[list[str], np.ndarray]:
