@@ -21,6 +21,8 @@ from tickloom.llm.text import slices
 END_ID = 2
 #: Words whose ids a Python worker remembers at most; beyond, those met once are forgotten.
 CACHE = 500_000
+#: New words that are encoded in one call.
+AT_ONCE = 1 << 16
 #: Unicode's White_Space characters, as a class of a pattern (fixed values).
 _W = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _ENDS_IN_SPACE = re.compile(f"[{_W}]\\Z")
@@ -106,7 +108,9 @@ class Encoder:
         # A first word has no space before it; it is numbered apart, under a name that no other word has.
         codes[row[:-1]] = [number(f" {w}") for w in values.take(pa.array(row[:-1])).to_pylist()]
         if len(self.codes) > before:
-            self._learn([w[1:] if w[:1] == " " else f" {w}" for w in islice(self.codes, before, None)])
+            new = (w[1:] if w[:1] == " " else f" {w}" for w in islice(self.codes, before, None))
+            while some := list(islice(new, AT_ONCE)):
+                self._learn(some)
         self.met = np.bincount(codes, minlength=len(self.codes)) + np.r_[self.met, np.zeros(len(self.codes) - len(self.met), np.int64)]
         n = (self.at[1:] - self.at[:-1])[codes]
         ends = np.r_[0, np.cumsum(n)]
@@ -141,7 +145,7 @@ def _encoded(path: str):
         _encoders[path] = e
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            for lo, hi, _, _ in slices(texts, 1 << 22):
+            for lo, hi, _, _ in slices(texts, 1 << 21):
                 ids, at = e.encode(texts[lo:hi])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(at)), lists], ["doc_id", "n_tokens", "ids"])
