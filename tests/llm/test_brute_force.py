@@ -1,11 +1,13 @@
 """Operators that SQL cannot express, against plain Python on small tables, exact round trips or held-out rows."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -203,3 +205,16 @@ def test_pipeline_stages(spark):
     assert seen[4].groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     out = p.STAGES[-1][1](spark, seen[4], SF)
     assert out.count() == seen[4].count()
+
+
+def test_encoder_pieces_give_the_ids_of_whole_texts():
+    """Texts of marks, white space of all kinds, contractions and letters, with a memory so small that pieces are forgotten and met again."""
+    e = token_output.Encoder(token_output.default_tokenizer(), 1000)
+    some = random.Random(1)
+    parts = [*"ab Zé  \n\n\t.,!?'1 9-  　’漢\u0085\x1c\r    ", "'s", "'ll ", "<|endoftext|>", "x\ny", "the ", ". ", " of"]
+    for _ in range(12):
+        texts = ["".join(some.choices(parts, k=some.choice([0, 1, 2, 3, 5, 8, 20, 60]))) for _ in range(400)]
+        (_, _, data, at), *_ = token_output.slices(pa.array(texts, pa.string()), 1 << 30)
+        ids, to = e.encode(data, at)
+        want = [[*x.ids, 2] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(to[:-1], to[1:], strict=True)] == want

@@ -33,7 +33,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-_SEEDED = [mixed(np.arange(1, 257, dtype=np.uint64) * _U(b)) for b in BASES]
+SEEDED = [mixed(np.arange(1, 257, dtype=np.uint64) * _U(b)) for b in BASES]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -93,7 +93,7 @@ def words(data: np.ndarray, at: np.ndarray, table: np.ndarray = IDENTITY, hashes
     opens[inner] |= ink[inner]
     closes[inner - 1] |= ink[inner - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return start, end, np.searchsorted(start, at), [runs_hashed(_SEEDED[k][b], start, end, k) for k in range(hashes)]
+    return start, end, np.searchsorted(start, at), [runs_hashed(SEEDED[k][b], start, end, k) for k in range(hashes)]
 
 
 def grams(h: np.ndarray, first: np.ndarray, n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:

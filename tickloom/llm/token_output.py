@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,32 +15,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.llm import shared
-from tickloom.llm.text import slices
+from tickloom.llm.text import SEEDED, runs_hashed, slices
 
 END_ID = 2
-#: Words whose ids a Python worker remembers at most; beyond, those met once are forgotten.
-CACHE = 500_000
-#: New words that are encoded in one call.
-AT_ONCE = 1 << 16
-#: Unicode's White_Space characters, as a class of a pattern (fixed values).
-_W = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_ENDS_IN_SPACE = re.compile(f"[{_W}]\\Z")
+#: Pieces of text whose ids a Python worker remembers at most (some 50 bytes each); beyond, those met once are forgotten.
+CACHE = 2_000_000
+#: New pieces that are encoded in one call, and bytes of text that are hashed at once.
+AT_ONCE, CHUNK = 1 << 16, 1 << 21
 
+_U = np.uint64
+_LETTER, _MARK, _BLANK = (np.zeros(256, bool) for _ in range(3))
+_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+_MARK[[ord(c) for c in ".,;:!?"]] = True
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
 
-class _Codes(dict):
-    """Numbers keys in the order in which they are first asked for."""
 
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
+def _after_ink(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each of the places `at` (all above 0) isn't white space."""
+    one, two, three = b[at - 1], b[np.maximum(at - 2, 0)], b[np.maximum(at - 3, 0)]
+    # Unicode's White_Space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+    blank = _BLANK[one] | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
+    wide = (three == 0xE2) & (two == 0x80) & (((one >= 0x80) & (one <= 0x8A)) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
+    wide |= ((three == 0xE2) & (two == 0x81) & (one == 0x9F)) | ((three == 0xE1) & (two == 0x9A) & (one == 0x80)) | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
+    return ~(blank | wide)
+
+
+def pieces(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each piece of the rows b[at[i]:at[i + 1]] starts, first piece of each row and one more).
+
+    Rows are cut only where no token crosses, whatever stands around: before a space or line end that follows ink, before
+    a mark that follows a letter, and between a letter and the single line end before it. So pieces can be encoded alone.
+    """
+    space = np.flatnonzero((b == 32) | (b == 10))
+    space = space[space > 0]
+    lines = space[b[space] == 10] + 1
+    lines = lines[(lines > 1) & (lines < len(b))]
+    marks = np.flatnonzero(_MARK[b])
+    marks = marks[marks > 0]
+    cut = np.zeros(len(b) + 1, bool)
+    cut[space[_after_ink(b, space)]] = True
+    cut[lines[_LETTER[b[lines]] & _after_ink(b, lines - 1)]] = True
+    cut[marks[_LETTER[b[marks - 1]]]] = True
+    cut[at] = True
+    cut[len(b)] = False
+    start = np.flatnonzero(cut)
+    return start, np.searchsorted(start, at)
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which gets each different word once.
+    """Ids of texts by the tokenizers library, which gets each different piece once.
 
-    A text is cut at its spaces, each space going with what follows. Where the character before the space isn't
-    white space itself, no token crosses the cut, so words can be encoded alone and looked up when they
-    come again. A text with white space before a space is encoded as a whole.
+    Pieces are known by 64 bits of hash and told apart by 64 more.
     """
 
     def __init__(self, path: str, most: int = CACHE):
@@ -50,90 +74,103 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.codes = most, _Codes()
+        self.most = most
         # A byte-level vocabulary writes each byte as one character.
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, k in self.tokenizer.get_vocab().items():
             self.bytes_of[k] = len(token)
-        self.flat, self.at, self.odd, self.met = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
-
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, words: list[str]) -> None:
-        """Takes in the ids of new words: those with a space in front, end to end in one call, are told apart by the bytes that ids stand for."""
-        odd = np.fromiter((w == " " or _ENDS_IN_SPACE.search(w) is not None for w in words), bool, len(words))
-        joined = [w for w, o in zip(words, odd, strict=True) if w[:1] == " " and not o]
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, np.int32)
-        ends = np.cumsum(np.fromiter((len(w.encode()) for w in joined), np.int64, len(joined)))
-        cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-        sizes = np.zeros(len(words), np.int64)
-        where = np.fromiter((w[:1] == " " for w in words), bool, len(words)) & ~odd
-        sizes[where] = np.diff(np.r_[0, cuts])
-        alone = np.flatnonzero(~where & ~odd)
-        own = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in alone], add_special_tokens=False)]
-        sizes[alone] = [len(x) for x in own]
-        flat = np.empty(int(sizes.sum()), np.int32)
-        mine = np.repeat(where, sizes)
-        flat[mine] = ids
-        flat[~mine] = np.fromiter(chain.from_iterable(own), np.int32)
-        self.flat = np.concatenate([self.flat, flat])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        self.odd = np.concatenate([self.odd, odd])
+        # By hash, ascending: the number of the piece. By number: second hash, times met, ids at flat[at[n]:at[n + 1]].
+        self.keys, self.number = np.zeros(0, _U), np.zeros(0, np.int64)
+        self.check, self.met, self.flat, self.at = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, new: list[bytes], check: np.ndarray) -> np.ndarray:
+        """The numbers that new pieces get. Those with a space in front are encoded end to end in one call and told apart by the bytes that ids stand for."""
+        flat, sizes = [], []
+        for lo in range(0, len(new), AT_ONCE):
+            texts = [w.decode("utf-8", "replace") for w in new[lo : lo + AT_ONCE]]
+            joins = np.fromiter((w[0] == " " and not w[-1].isspace() and "\ufffd" not in w for w in texts), bool, len(texts))
+            joined = [w for w, j in zip(texts, joins, strict=True) if j]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.cumsum(np.fromiter((len(w) for w, j in zip(new[lo : lo + AT_ONCE], joins, strict=True) if j), np.int64, len(joined)))
+            size = np.zeros(len(texts), np.int64)
+            size[joins] = np.diff(np.r_[0, np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1]) if len(joined) else 0
+            own = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, j in zip(texts, joins, strict=True) if not j], add_special_tokens=False)]
+            size[~joins] = [len(x) for x in own]
+            mine = np.repeat(joins, size)
+            out = np.empty(len(mine), np.int32)
+            out[mine] = ids
+            out[~mine] = np.fromiter(chain.from_iterable(own), np.int32)
+            flat.append(out)
+            sizes.append(size)
+        first = len(self.check)
+        self.flat = np.concatenate([self.flat, *flat])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
+        self.check = np.concatenate([self.check, check])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        return np.arange(first, first + len(new))
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of ascending keys, -1 for new ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.number[at], -1)
+
+    def _numbers(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each piece b[start:end]; new ones are learned."""
+        key, check = (runs_hashed(SEEDED[k][b], start, end, k) for k in (0, 1))
+        named = pa.array(key).dictionary_encode()
+        which, keys = named.indices.to_numpy(), named.dictionary.to_numpy()
+        order = np.argsort(keys)
+        keys, rank = keys[order], np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        which = rank[which]
+        number = self._known(keys)
+        raw = b.tobytes()
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            at = np.empty(len(keys), np.int64)
+            at[which[::-1]] = np.arange(len(which))[::-1]
+            at = at[fresh]
+            number[fresh] = self._learn([raw[lo:hi] for lo, hi in zip(start[at].tolist(), end[at].tolist(), strict=True)], check[at])
+            into = np.searchsorted(self.keys, keys[fresh])
+            self.keys, self.number = np.insert(self.keys, into, keys[fresh]), np.insert(self.number, into, number[fresh])
+        number = number[which]
+        other = np.flatnonzero(self.check[number] != check)
+        if len(other):
+            number[other] = self._learn([raw[lo:hi] for lo, hi in zip(start[other].tolist(), end[other].tolist(), strict=True)], check[other])
+        return number
 
     def _forget(self) -> None:
-        """Keeps the words met more than once; all go where these are too many themselves."""
-        stay = np.flatnonzero(self.met > 1)
-        if 2 * len(stay) > self.most:
-            stay = stay[:0]
-        words = list(self.codes)
-        self.codes = _Codes((words[k], n) for n, k in enumerate(stay))
-        sizes = np.diff(self.at)[stay]
-        ends = np.cumsum(sizes)
-        self.flat = self.flat[np.repeat(self.at[:-1][stay] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        self.at, self.odd, self.met = np.r_[0, ends], self.odd[stay], self.met[stay] * 0 + 1
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids with END_ID after each text, where each text starts and one more)."""
-        if len(self.codes) > self.most:
+        """Keeps the pieces met more than once; all go where these are too many themselves."""
+        stay = self.met > 1
+        stay[stay] &= 2 * stay.sum() <= self.most
+        size = np.diff(self.at)
+        self.flat, self.at = self.flat[np.repeat(stay, size)], np.r_[0, np.cumsum(size[stay])]
+        renumbered, mine = np.cumsum(stay) - 1, stay[self.number]
+        self.keys, self.number = self.keys[mine], renumbered[self.number[mine]]
+        self.check, self.met = self.check[stay], np.ones(int(stay.sum()), np.int64)
+
+    def encode(self, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids with END_ID after each row b[at[i]:at[i + 1]], where each row's ids start and one more)."""
+        if len(self.check) > self.most:
             self._forget()
-        split = pc.split_pattern(texts, " ")
-        row = split.offsets.to_numpy().astype(np.int64)
-        row, values = row - row[0], split.flatten()
-        counts = np.diff(row)
-        before = len(self.codes)
-        number = self.codes.__getitem__
-        named = values.dictionary_encode()
-        codes = np.fromiter(map(number, named.dictionary.to_pylist()), np.int64, len(named.dictionary))[named.indices.to_numpy()]
-        # A first word has no space before it; it is numbered apart, under a name that no other word has.
-        codes[row[:-1]] = [number(f" {w}") for w in values.take(pa.array(row[:-1])).to_pylist()]
-        if len(self.codes) > before:
-            new = (w[1:] if w[:1] == " " else f" {w}" for w in islice(self.codes, before, None))
-            while some := list(islice(new, AT_ONCE)):
-                self._learn(some)
-        self.met = np.bincount(codes, minlength=len(self.codes)) + np.r_[self.met, np.zeros(len(self.codes) - len(self.met), np.int64)]
-        n = (self.at[1:] - self.at[:-1])[codes]
+        start, first = pieces(b, at)
+        end = np.r_[start[1:], len(b)]
+        number, lo = np.empty(len(start), np.int64), 0
+        while lo < len(start):
+            hi = max(lo + 1, int(np.searchsorted(end, start[lo] + CHUNK, "right")))
+            number[lo:hi] = self._numbers(b[start[lo] : end[hi - 1]], start[lo:hi] - start[lo], end[lo:hi] - start[lo])
+            lo = hi
+        self.met += np.bincount(number, minlength=len(self.met))
+        n = self.at[number + 1] - self.at[number]
         ends = np.r_[0, np.cumsum(n)]
-        ids = self.flat[np.repeat(self.at[codes] - ends[:-1], n) + np.arange(ends[-1])]
-        out = []
-        bad = np.unique(np.repeat(np.arange(len(texts)), counts)[self.odd[codes]])
-        sizes = ends[row[1:]] - ends[row[:-1]]
-        for k in bad:
-            out.append((k, self._whole(texts[int(k)].as_py())))
-            sizes[k] = len(out[-1][1])
-        at = np.r_[0, np.cumsum(sizes + 1)]
-        result = np.full(int(at[-1]), END_ID, np.int32)
-        keep = np.ones(len(result), bool)
-        keep[at[1:] - 1] = False
-        for k, whole in out:
-            result[at[k] : at[k + 1] - 1] = whole
-            keep[at[k] : at[k + 1]] = False
-        if len(bad):
-            good = np.ones(len(texts), bool)
-            good[bad] = False
-            ids = ids[np.repeat(good, ends[row[1:]] - ends[row[:-1]])]
-        result[keep] = ids
-        return result, at
+        to = ends[first] + np.arange(len(at))
+        result = np.full(int(to[-1]), END_ID, np.int32)
+        body = np.ones(len(result), bool)
+        body[to[1:] - 1] = False
+        result[body] = self.flat[np.repeat(self.at[number] - ends[:-1], n) + np.arange(ends[-1])]
+        return result, to
 
 
 _encoders: dict[str, Encoder] = {}
@@ -145,8 +182,8 @@ def _encoded(path: str):
         _encoders[path] = e
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            for lo, hi, _, _ in slices(texts, 1 << 21):
-                ids, at = e.encode(texts[lo:hi])
+            for lo, hi, data, rows in slices(texts, CHUNK):
+                ids, at = e.encode(data, rows)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(at)), lists], ["doc_id", "n_tokens", "ids"])
 
