@@ -94,7 +94,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("pu")), F.lit(1 << 30))
     yes = labels.where("toxic = 1").where(F.pmod(F.xxhash64(F.col("l_id"), F.lit("p")), F.lit(1 << 30)) < int(min(1.0, MOST_POSITIVE / toxic) * (1 << 30)))
     texts = docs.select("doc_id", "text")
-    positive = texts.join(yes, F.col("doc_id") == F.col("l_id"), "left_semi").select("text", F.lit(True).alias("positive"))
+    # About MOST_POSITIVE ids at any size of the input: they are sent to the texts, which stay where they are.
+    positive = texts.join(F.broadcast(yes), F.col("doc_id") == F.col("l_id"), "left_semi").select("text", F.lit(True).alias("positive"))
     unlabelled = texts.where(at < int(min(1.0, MOST_UNLABELLED / total) * (1 << 30))).select("text", F.lit(False).alias("positive"))
     got = positive.unionByName(unlabelled).mapInArrow(_bags, "positive boolean, words binary").toPandas()
     # Sums of floats depend on the order; sorted rows make reruns agree.
