@@ -80,6 +80,22 @@ def test_decontamination(spark):
     assert {d for d, i, _, _ in got if i == 902} == {10_003} and (10_001, 901) in {x[:2] for x in got}
 
 
+def test_decontamination_keeps_verbatim_windows(spark):
+    """Expected by hand: windows are of 10 tokens, so an item of k tokens has k - 9, or one of all if it is shorter."""
+    passage = "We know that Carl paid 3 coins for 3 pears and then he sat by the river until the sun went down behind the far green hills"
+    sums, names, short = "3 17 20 4 18 22 5 19 24 6 20 26", "They were Anna Berta Carla Dora Emma Frieda Greta Hanna Ida Jana", "12 7 84"
+    opening = "Plums are sold at the old market on every morning"
+    items = [(1, passage), (2, sums), (3, names), (4, short), (5, opening)]
+    docs = [
+        (1, passage.replace("3 pears", "4 pears")), (2, f"A table: {sums}."), (3, f"We heard a list. {names}"), (4, f"So {short} it is"), (5, f"As all of us said Plums{opening[5:]}"),
+        (6, sums.replace("4 18 22", "4 18 23")), (7, "So 12 7 85 it is"), (8, names.replace("Dora", "Doris")), (9, passage.replace("3 coins for 3", "5 coins for 5")),
+    ]
+    got = dec.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    # Item 1 has 27 tokens, the changed one of document 1 is its ninth: 9 of 18 windows hold it. Document 9 fills its slots alike, and the same 9 windows hold values.
+    want = {(1, 1, 9, 9, 18), (2, 2, 3, 3, 3), (3, 3, 3, 3, 3), (4, 4, 1, 1, 1), (5, 5, 1, 1, 1), (9, 1, 18, 9, 18)}
+    assert {tuple(r) for r in got} == want
+
+
 def test_language_id_on_held_out_rows(spark):
     sf = f"{DATA}/sf0.01"
     got = language_id.query(spark, sf).where("held_out").join(table(spark, "documents", sf).select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()

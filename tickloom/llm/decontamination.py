@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import text as T
 
-#: Tokens in a window, and how many of them must be plain words; a shorter item is one window of all its tokens, if it has so many.
+#: Tokens in a window, and how many of them must be plain words for a match up to slots; a shorter item is one window of all its tokens.
 WINDOW, LITERALS = 10, 5
 #: Bits of the filter that documents' windows pass before the join.
 FILTER_BITS = 1 << 23
@@ -62,15 +62,25 @@ def templates(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.nda
     return first, [np.where(slot, kind, h), np.where(slot, kind, h2)], slot, h
 
 
-def _windows(column: pa.Array, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(first row, row, position, hash, second hash, first slot, n) of all windows with words enough, for each length n; slots follow by _slots."""
+def _windows(column: pa.Array, lengths: list[int], least: int, items: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple, int]]:
+    """(first row, first tokens, position, hash, second hash, slots, n) of all windows, for each length n.
+
+    First by their tokens as they are, whatever they hold, without slots; of items, those that templates don't find alike wherever they stand: with
+    fewer than `least` plain words, or alone in their item. Then those with `least` plain words by their templates.
+    """
     for lo, _, data, at in T.slices(column):
         first, (t, t2), slot, own = templates(data, at)
         plain = np.r_[0, np.cumsum(~slot)]
         for n in lengths:
+            h, pos = T.grams(own, first, n)
+            h2, _ = T.grams(T.mixed(own), first, n, 1)
+            ok = (plain[pos + n] - plain[pos] < least) | (np.diff(first)[T.rows_of(pos, first)] == n) if items else np.ones(len(pos), bool)
+            yield lo, first, pos[ok], h[ok], h2[ok], (np.zeros(len(own), bool), own), n
+            if n < least:
+                continue
             h, pos = T.grams(t, first, n)
             h2, _ = T.grams(t2, first, n, 1)
-            ok = plain[pos + n] - plain[pos] >= min(LITERALS, n)
+            ok = plain[pos + n] - plain[pos] >= least
             yield lo, first, pos[ok], h[ok], h2[ok], (slot, own), n
 
 
@@ -78,6 +88,10 @@ _OUT = "hash long, check long, id long, pos long, slots array<long>"
 _NAMES = ["hash", "check", "id", "pos", "slots"]
 
 
+def _least(window: int) -> int:
+    return min(LITERALS, window)
+
+
 def _rows(ids: pa.Array, lo: int, first: np.ndarray, pos: np.ndarray, h: np.ndarray, h2: np.ndarray, slots: tuple, n: int) -> pa.RecordBatch:
     slot, own = slots
     each = np.concatenate([np.flatnonzero(slot[p : p + n]) + p for p in pos]) if len(pos) else np.zeros(0, np.int64)
@@ -91,7 +105,7 @@ def _rows(ids: pa.Array, lo: int, first: np.ndarray, pos: np.ndarray, h: np.ndar
 def _all_windows(n: int, shorter: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, first, pos, h, h2, slots, k in _windows(batch.column(1), range(LITERALS, n + 1) if shorter else [n]):
+            for lo, first, pos, h, h2, slots, k in _windows(batch.column(1), range(1, n + 1) if shorter else [n], _least(n), True):
                 # Items take windows of n, or one of all they have if that is less.
                 size = np.diff(first)[T.rows_of(pos, first)]
                 ok = (size >= n) if k == n else (size == k)
@@ -103,10 +117,10 @@ def _all_windows(n: int, shorter: bool):
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_exact, item_windows): documents that hold windows of a benchmark item up to its slots.
 
-    Windows match when their templates are equal. Those of one document and item that stand at the same distance must fill slots
-    alike: each value of the item by one value in the document, and the other way round; else they aren't counted. n_exact counts
-    windows with the item's own values. Null and empty texts, and items with fewer tokens than a window needs plain words, match
-    nothing. Rows that repeat an id are taken as one. Empty tables give an empty result. Other columns are not read.
+    Windows match when their tokens are equal, or when they have plain words enough and their templates are equal. Those of one document
+    and item that stand at the same distance must fill slots alike: each value of the item by one value in the document, and the other way
+    round; else only those with the item's own values are counted. n_exact counts windows with the item's own values. An item of
+    fewer tokens than a window needs plain words matches as it is, or not at all. Null and empty texts match nothing. Rows that repeat an id are taken as one. Empty tables give an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text"))
@@ -122,7 +136,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
-            for lo, first, pos, h, h2, slots, k in _windows(batch.column(1), lengths):
+            for lo, first, pos, h, h2, slots, k in _windows(batch.column(1), lengths, _least(window), False):
                 ok = bits[(h & np.uint64(FILTER_BITS - 1)).astype(np.int64)] == 1
                 if ok.any():
                     yield _rows(batch.column(0), lo, first, pos[ok], h[ok], h2[ok], slots, k)
@@ -134,7 +148,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.count_distinct("item_pos").alias("n"), F.count_distinct(F.when(F.col("slots") == F.col("item_slots"), F.col("item_pos"))).alias("exact")
     )
     alike = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item_slots")))) & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.slots"))))
-    found = lines.where(alike).groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"), F.sum("exact").alias("n_exact"))
+    lines = lines.withColumn("n", F.when(alike, F.col("n")).otherwise(F.col("exact"))).where("n > 0")
+    found = lines.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"), F.sum("exact").alias("n_exact"))
     sizes = theirs.groupBy("item_id").agg(F.count_distinct("item_pos").alias("item_windows"))
     return found.join(sizes, "item_id").select("doc_id", "item_id", "n_windows", "n_exact", "item_windows")
 
