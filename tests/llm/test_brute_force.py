@@ -223,6 +223,32 @@ def test_pipeline_stages(spark):
     assert out.count() == seen[4].count()
 
 
+def test_pipeline_near_copies_by_five_word_shingles(spark):
+    """Against a brute force of 5-word shingles at 0.8: scattered edits, inserted, cut and appended stretches about the threshold."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(5)
+    texts = []
+    for g in range(40):
+        base = [f"g{g}w{x}" for x in rng.integers(0, 1000, rng.integers(60, 200))]
+        at, k, new = len(base) // 3, int(len(base) * rng.choice([0.1, 0.15, 0.18, 0.22])), [f"new{x}" for x in rng.integers(0, 1000, len(base))]
+        edited = list(base)
+        for x in rng.choice(len(base), max(1, round(len(base) * rng.choice([0.015, 0.021, 0.03]))), replace=False):
+            edited[x] = "edited"
+        texts += [" ".join(x) for x in (base, edited, base[:at] + new[:k] + base[at:], base[:at] + base[at + k :], base + new[:k])]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                x, y = sorted((label[i], label[j]))
+                label = [x if k == y else k for k in label]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in p.one_of_near_copies(spark, docs, SF).collect()} == set(label)
+    assert len(set(label)) < len({r.component_id for r in jaccard_join.jaccard_join(docs).collect()})
+
+
 def test_encoder_pieces_give_the_ids_of_whole_texts():
     """Texts of marks, white space of all kinds, contractions and letters, with a memory so small that pieces are forgotten and met again."""
     e = token_output.Encoder(token_output.default_tokenizer(), 1000)
