@@ -112,6 +112,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert ((got.score >= 0.5) == (got.predicted == 1)).all()
 
 
+def test_toxicity_of_words_in_one_percent_of_positives():
+    """Every toxic word stands in 1 % of the positives and in no clean document; held-out documents have one of them each."""
+    rng = np.random.default_rng(11)
+    plain = lambda: rng.choice(5_000, 40, replace=False)
+    rude = lambda k: np.append(plain(), 6_000 + k % 100)
+    positive, unlabelled = [rude(k) for k in range(3_000)], [rude(k // 10) if k % 10 == 0 else plain() for k in range(6_000)]
+    w, b = toxicity.fit([np.sort(x) for x in positive], [np.sort(x) for x in unlabelled], 0.1)
+    assert (w[6_000:6_100] > 0).all()
+    toxic, clean = (np.array([w[x].sum() + b for x in xs]) for xs in ([rude(k) for k in range(500)], [plain() for _ in range(500)]))
+    assert np.mean(toxic[:, None] > clean) > 0.9
+    assert np.mean(toxic >= 0) > 0.8 and np.mean(clean >= 0) < 0.02
+
+
+def test_toxicity_bags_hold_all_words():
+    (batch,) = toxicity._bags(iter([pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{x}" for x in range(60_000))]), pa.array([True])], ["text", "positive"])]))
+    assert len(batch.column(1)[0].as_py()) // 4 > 50_000
+
+
 def brute_perplexity(trusted, docs):
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
     c = Counter()

@@ -14,11 +14,11 @@ from tickloom.llm import text as T
 BUCKETS = 1 << 18
 #: The classifier is fitted on about so many positive and so many unlabelled documents, whole, drawn by a hash of their ids.
 MOST_POSITIVE, MOST_UNLABELLED = 6_000, 18_000
-#: Distinct words that a drawn document brings to training at most, those of the smallest hashes (scores take all words).
-MOST_WORDS = 20_000
-STEPS, RATE, DECAY = 300, 0.05, 1e-4
-#: Words that fewer of the positives have are left out.
-SHARE = 0.015
+STEPS, RATE, DECAY = 300, 0.05, 1e-5
+#: Words that fewer of the drawn positives have, however many those are, are left out.
+LEAST = 2
+#: Standard deviations at which a word counts by half.
+SURE = 3.0
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -33,7 +33,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, row, bucket in _words(batch.column(0)):
             at = np.searchsorted(row, np.arange(hi - lo + 1))
-            bags = [np.sort(bucket[a:b])[:MOST_WORDS].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            bags = [np.sort(bucket[a:b]).astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1)[lo:hi], pa.array(bags, pa.binary())], ["positive", "words"])
 
 
@@ -49,34 +49,37 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return w, -10.0
     bags = positive + unlabelled
     n_p, n_u = len(positive), len(unlabelled)
-    size = np.fromiter(map(len, bags), np.int64, len(bags))
-    doc, word = np.repeat(np.arange(len(bags)), size), np.concatenate(bags)
-    seen, at = np.unique(word, return_inverse=True)
-    # Words of few positives are no evidence of their class and would be learned by heart.
-    often = np.bincount(at[doc < n_p], minlength=len(seen)) >= max(2, SHARE * n_p)
-    ok = often[at]
-    doc, at = doc[ok], (np.cumsum(often) - 1)[at[ok]]
-    seen = seen[often]
-    value = 1.0 / np.sqrt(np.log1p(np.bincount(at, minlength=len(seen))) + 1.0)[at] if len(seen) else np.zeros(0)
+    # A word of one positive is no evidence of its class and would be learned by heart; the decay deals with other rare words.
+    often = np.bincount(np.concatenate(positive), minlength=BUCKETS) >= LEAST
+    seen, rank = np.flatnonzero(often), (np.cumsum(often) - 1).astype(np.int32)
+    ok = [often[x] for x in bags]
+    doc = np.repeat(np.arange(len(bags), dtype=np.int32), [int(x.sum()) for x in ok])
+    at = np.concatenate([rank[x[k]] for x, k in zip(bags, ok, strict=True)])
+    del ok
+    # A word counts by how sure its excess or lack in the positives is, in standard deviations: noise is shrunk, a word of more data isn't, however rare.
+    n_at = int(np.searchsorted(doc, n_p))
+    in_p, in_u = (np.bincount(x, minlength=len(seen)) for x in (at[:n_at], at[n_at:]))
+    expected = n_p * in_u / n_u
+    sure = (in_p - expected) ** 2 / (expected + 1)
+    value = sure / (SURE**2 + sure) / np.sqrt(np.log1p(in_p + in_u) + 1.0)
     v, m1, m2, mb, vb = np.zeros(len(seen)), np.zeros(len(seen)), np.zeros(len(seen)), 0.0, 0.0
     bias = float(np.log(prior / (1 - prior)))
     for step in range(1, steps + 1):
-        z = np.bincount(doc, v[at] * value, len(bags)) + bias
+        z = np.bincount(doc, (v * value)[at], len(bags)) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         loss_neg = np.logaddexp(0, z)
         negative = loss_neg[n_p:].mean() - prior * loss_neg[:n_p].mean()
         g_pos = np.r_[prior * (p[:n_p] - 1) / n_p, np.zeros(n_u)]
         g_neg = np.r_[-prior * p[:n_p] / n_p, p[n_p:] / n_u]
         g = g_pos + g_neg if negative >= 0 else -g_neg
-        gv = np.bincount(at, g[doc] * value, len(seen)) + DECAY * v
+        gv = value * np.bincount(at, g[doc], len(seen)) + DECAY * v
         gb = g.sum()
         m1, m2 = 0.9 * m1 + 0.1 * gv, 0.999 * m2 + 0.001 * gv * gv
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
         v -= RATE * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-8)
         bias -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    full = 1.0 / np.sqrt(np.log1p(np.bincount(at, minlength=len(seen))) + 1.0)
-    w[seen] = v * full
+    w[seen] = v * value
     return w, bias
 
 
@@ -100,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     got = positive.unionByName(unlabelled).mapInArrow(_bags, "positive boolean, words binary").toPandas()
     # Sums of floats depend on the order; sorted rows make reruns agree.
     got = got.sort_values(["positive", "words"], kind="stable")
-    bags = [np.frombuffer(x, "<i4").astype(np.int64) for x in got.words]
+    bags = [np.frombuffer(x, "<i4") for x in got.words]
     yes_ = got.positive.to_numpy()
     return fit([b for b, y in zip(bags, yes_, strict=True) if y], [b for b, y in zip(bags, yes_, strict=True) if not y], min(max(toxic / n, 1e-4), 0.9))
 
