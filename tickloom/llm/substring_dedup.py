@@ -1,9 +1,8 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of reference blocks.
+"""Substring dedup by winnowing: an index of content-defined blocks, not relative Lempel-Ziv parsing.
 
-The corpus is cut into content-defined blocks; the index holds each block's earliest document, and documents are factored against
-it block by block. Consecutive blocks found in it extend a factor; where a block isn't found a factor ends, and the windows at this
-boundary are looked up one by one. What factors of at least WINDOW words cover is a duplicate span. The blocks of all documents are the reference: the
-parse is a join on their hashes, so each document meets every block that it can share and no other.
+The corpus is cut into content-defined blocks; the index holds each block's earliest document. Equal blocks are matched by a join on
+their hashes, and windows of the other blocks whose pick is shared are looked up one by one. What windows of WINDOW words cover that
+start earlier is a duplicate span. There is no greedy parse and there are no factors.
 """
 
 from __future__ import annotations
