@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm import shared
 from tickloom.llm import text as T
 
 #: Tokens in a window, and how many of them must be plain words for a match up to slots; a shorter item is one window of all its tokens.
@@ -30,68 +31,80 @@ _NUMBERS = np.array(sorted(map(_hash_of, NUMBER_WORDS)), np.uint64)
 _UNITS = np.array(sorted(map(_hash_of, UNITS)), np.uint64)
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?:\n"]] = True
+#: Between parts of a number in digits, and between number words.
+_MARKS, _JOINTS = np.frombuffer(b".,/", np.uint8), np.frombuffer(b" -", np.uint8)
 
 
-def templates(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """(first token of each row and one more, two hashes of each token or of its slot's type, whether it is a slot, hash of its own).
+def templates(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """(first token of each row and one more, two hashes of each token or of its slot's type, whether it is a slot, two hashes of its own).
 
     A number starts with a digit or is a number word; a unit is a unit word after a number; a name is a capitalised
-    word, not all in capitals, that doesn't open a sentence. All else is itself in lower case (of ASCII and of Latin-1's letters).
+    word, or one of capitals, that doesn't open a sentence. All else is itself in lower case (of ASCII and of Latin-1's letters). What is written in
+    parts is one token: numbers with a mark between them alone ("1,000", "3.5", "7/8"), number words with a space or hyphen ("twenty five"), names with a space ("Anna Maria").
     """
     accented = np.zeros(len(data), bool)
     accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-    start, end, first, (h, h2) = T.words(data + accented.astype(np.uint8) * np.uint8(32), at, T.PLAIN, 2)
-    if not len(h):
-        return first, [h, h2], np.zeros(0, bool), h
+    start, end, first, h = T.words(data + accented.astype(np.uint8) * np.uint8(32), at, T.PLAIN, 2)
+    if not len(start):
+        return first, h, np.zeros(0, bool), h
     c0 = data[start]
     large = (data >= 65) & (data <= 90) | accented
     wide = c0 == 0xC3
     second = np.minimum(start + 1 + wide, len(data) - 1)
     second = np.minimum(second + (data[second] == 0xC3), len(data) - 1)
-    capital = large[np.minimum(start + wide, len(data) - 1)] & (second < end) & ~large[second]
+    capital = large[np.minimum(start + wide, len(data) - 1)] & (second < end)
     ended = np.r_[0, np.cumsum(_ENDS[data])]
     opens = np.r_[True, ended[start[1:]] > ended[end[:-1]]]
-    opens[first[:-1][first[:-1] < len(h)]] = True
-    number = (c0 >= 48) & (c0 <= 57) | np.isin(h, _NUMBERS)
-    after = np.r_[False, number[:-1]]
-    after[first[:-1][first[:-1] < len(h)]] = False
-    unit = after & np.isin(h, _UNITS)
+    begins = np.zeros(len(start), bool)
+    begins[first[:-1][first[:-1] < len(start)]] = True
+    opens |= begins
+    digits = (c0 >= 48) & (c0 <= 57)
+    number = digits | np.isin(h[0], _NUMBERS)
+    unit = np.r_[False, number[:-1]] & ~begins & np.isin(h[0], _UNITS)
     name = capital & ~opens & ~number & ~unit
-    slot = number | unit | name
-    kind = (number * 1 + unit * 2 + name * 3).astype(np.uint64)
-    return first, [np.where(slot, kind, h), np.where(slot, kind, h2)], slot, h
-
-
-def _windows(column: pa.Array, lengths: list[int], least: int, items: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple, int]]:
+    # Parts of one number or name.
+    between = np.zeros(len(start), np.uint8)
+    close = np.r_[False, start[1:] - end[:-1] == 1] & ~begins
+    between[close] = data[start[close] - 1]
+    both = lambda x: x & np.r_[False, x[:-1]]
+    joins = both(digits) & np.isin(between, _MARKS) | both(number & ~digits) & np.isin(between, _JOINTS) | both(name) & (between == 32)
+    lo = np.flatnonzero(~joins)
+    hi = np.r_[lo[1:], len(start)]
+    own = [x[lo] for x in h]
+    long = np.flatnonzero(hi - lo > 1)
+    for k in (0, 1):
+        own[k][long] = T.runs_hashed(h[k], lo[long], hi[long], k)
+    slot = (number | unit | name)[lo]
+    kind = (number * 1 + unit * 2 + name * 3)[lo].astype(np.uint64)
+    return np.searchsorted(lo, first), [np.where(slot, kind, x) for x in own], slot, own
+
+
+def _windows(column: pa.Array, lengths: list[int], literals: int, items: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple, int]]:
     """(first row, first tokens, position, hash, second hash, slots, n) of all windows, for each length n.
 
     First by their tokens as they are, whatever they hold, without slots; of items, those that templates don't find alike wherever they stand: with
-    fewer than `least` plain words, or alone in their item. Then those with `least` plain words by their templates.
+    fewer than `literals` plain words, or alone in their item. Then those with `literals` plain words by their templates.
     """
     for lo, _, data, at in T.slices(column):
-        first, (t, t2), slot, own = templates(data, at)
+        first, t, slot, own = templates(data, at)
         plain = np.r_[0, np.cumsum(~slot)]
         for n in lengths:
-            h, pos = T.grams(own, first, n)
-            h2, _ = T.grams(T.mixed(own), first, n, 1)
-            ok = (plain[pos + n] - plain[pos] < least) | (np.diff(first)[T.rows_of(pos, first)] == n) if items else np.ones(len(pos), bool)
-            yield lo, first, pos[ok], h[ok], h2[ok], (np.zeros(len(own), bool), own), n
-            if n < least:
+            h, pos = T.grams(own[0], first, n)
+            h2, _ = T.grams(own[1], first, n, 1)
+            ok = (plain[pos + n] - plain[pos] < literals) | (np.diff(first)[T.rows_of(pos, first)] == n) if items else np.ones(len(pos), bool)
+            yield lo, first, pos[ok], h[ok], h2[ok], (np.zeros(len(slot), bool), own[0]), n
+            if n < literals:
                 continue
-            h, pos = T.grams(t, first, n)
-            h2, _ = T.grams(t2, first, n, 1)
-            ok = plain[pos + n] - plain[pos] >= least
-            yield lo, first, pos[ok], h[ok], h2[ok], (slot, own), n
+            h, pos = T.grams(t[0], first, n)
+            h2, _ = T.grams(t[1], first, n, 1)
+            ok = plain[pos + n] - plain[pos] >= literals
+            yield lo, first, pos[ok], h[ok], h2[ok], (slot, own[0]), n
 
 
 _OUT = "hash long, check long, id long, pos long, slots array<long>"
 _NAMES = ["hash", "check", "id", "pos", "slots"]
 
 
-def _least(window: int) -> int:
-    return min(LITERALS, window)
-
-
 def _rows(ids: pa.Array, lo: int, first: np.ndarray, pos: np.ndarray, h: np.ndarray, h2: np.ndarray, slots: tuple, n: int) -> pa.RecordBatch:
     slot, own = slots
     each = np.concatenate([np.flatnonzero(slot[p : p + n]) + p for p in pos]) if len(pos) else np.zeros(0, np.int64)
@@ -102,10 +115,10 @@ def _rows(ids: pa.Array, lo: int, first: np.ndarray, pos: np.ndarray, h: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(T.signed(h)), pa.array(T.signed(h2)), ids.take(pa.array(row + lo)), pa.array(pos - first[row]), lists], _NAMES)
 
 
-def _all_windows(n: int, shorter: bool):
+def _all_windows(n: int, literals: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, first, pos, h, h2, slots, k in _windows(batch.column(1), range(1, n + 1) if shorter else [n], _least(n), True):
+            for lo, first, pos, h, h2, slots, k in _windows(batch.column(1), range(1, n + 1), literals, True):
                 # Items take windows of n, or one of all they have if that is less.
                 size = np.diff(first)[T.rows_of(pos, first)]
                 ok = (size >= n) if k == n else (size == k)
@@ -114,7 +127,7 @@ def _all_windows(n: int, shorter: bool):
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_exact, item_windows): documents that hold windows of a benchmark item up to its slots.
 
     Windows match when their tokens are equal, or when they have plain words enough and their templates are equal. Those of one document
@@ -123,8 +136,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     fewer tokens than a window needs plain words matches as it is, or not at all. Null and empty texts match nothing. Rows that repeat an id are taken as one. Empty tables give an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
+    # literals: fewer let windows of values alone match; more lose re-parameterised windows of many values. Verbatim ones are found either way.
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text"))
-    theirs = items.mapInArrow(_all_windows(window, True), _OUT + ", n long").select("hash", "check", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "n")
+    theirs = items.mapInArrow(_all_windows(window, min(literals, window)), _OUT + ", n long").select("hash", "check", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "n")
     # A bit for each window, at most FILTER_BITS in all however large the benchmark is.
     bit = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
     words = theirs.groupBy(F.floor(bit / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int"))).alias("bits"), F.collect_set("n").alias("ns")).toPandas()
@@ -136,13 +150,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
-            for lo, first, pos, h, h2, slots, k in _windows(batch.column(1), lengths, _least(window), False):
+            for lo, first, pos, h, h2, slots, k in _windows(batch.column(1), lengths, min(literals, window), False):
                 ok = bits[(h & np.uint64(FILTER_BITS - 1)).astype(np.int64)] == 1
                 if ok.any():
                     yield _rows(batch.column(0), lo, first, pos[ok], h[ok], h2[ok], slots, k)
 
     ours = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(hits, _OUT).withColumnRenamed("id", "doc_id")
-    met = ours.join(theirs, ["hash", "check"])
+    sizes_of = shared.written(ours.groupBy("hash", "check").agg(F.count("*").alias("n")), "window-counts")
+    theirs_by = theirs.groupBy("hash", "check").agg(F.collect_list(F.struct("item_id", "item_pos", "item_slots")).alias("theirs"))
+    met = shared.spread_join(ours, theirs_by, ["hash", "check"], sizes_of, ["doc_id", "pos"]).select("doc_id", "pos", "slots", F.inline("theirs"))
     pairs = F.arrays_zip("item_slots", "slots")
     lines = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.count_distinct("item_pos").alias("n"), F.count_distinct(F.when(F.col("slots") == F.col("item_slots"), F.col("item_pos"))).alias("exact")

@@ -1,4 +1,9 @@
-"""Exact dedup with a log-structured merge index of digests, in DataFrame operations only."""
+"""Exact dedup with a log-structured merge index of digests, in DataFrame operations only.
+
+Documents are dealt to memtables; each is flushed as a run sorted by digest, with Parquet's Bloom filters. Compaction merges runs by FANOUT a level, keeping
+the smallest id of each digest, until one is left. The filter of that run's repeated digests, of a fixed size, tells in the scan which documents
+are hits at most: only their texts are shuffled and compared, byte by byte.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import shared
 
-#: Memtables that documents are dealt to by a hash of their id; each is flushed as a sorted run of its own.
-MEMTABLES = 4
+#: Memtables that documents are dealt to by a hash of their id, and runs that a compaction merges to one.
+MEMTABLES, FANOUT = 4, 4
+#: Bits of the filter of repeated digests.
+FILTER_BITS = 1 << 23
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -17,27 +24,42 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _flush(entries: DataFrame, at: str, by: list[str]) -> DataFrame:
+def _flush(entries: DataFrame, at: str) -> DataFrame:
     """Writes runs sorted by digest, with Parquet's Bloom filters on it."""
-    out = entries.sortWithinPartitions(*by, "digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
-    (out.partitionBy(*by) if by else out).parquet(at)
+    out = entries.sortWithinPartitions("run", "digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+    out.partitionBy("run").parquet(at)
     return entries.sparkSession.read.schema(entries.schema).parquet(at)
 
 
 def build_index(rows: DataFrame, memtables: int = MEMTABLES) -> DataFrame:
-    """(digest, keep_id, n) of rows (doc_id, digest): memtables flush sorted runs, one compaction merges them, keeping the smallest id.
+    """(digest, keep_id, n) of rows (doc_id, digest): memtables flush sorted runs, compactions merge them level by level, keeping the smallest id.
 
-    Each memtable sums before its shuffle, so a digest that a third of all rows share is one entry a task.
+    Each memtable and each compaction sums before its shuffle, so a digest that a third of all rows share is one entry a task.
     """
-    spark = rows.sparkSession
-    at = shared.path(spark, "digest-index")
-    level0 = rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).cast("int").alias("run"), "digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    runs = _flush(level0.select("digest", "keep_id", "n", "run"), f"{at}/level0", ["run"])
-    merged = runs.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-    return _flush(merged, f"{at}/level1", [])
+    at = shared.path(rows.sparkSession, "digest-index")
+    level = rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).cast("int").alias("run"), "digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    runs = _flush(level.select("digest", "keep_id", "n", "run"), f"{at}/level0")
+    left, number = memtables, 0
+    while left > 1:
+        left, number = -(-left // FANOUT), number + 1
+        merged = runs.groupBy(F.floor(F.col("run") / FANOUT).cast("int").alias("run"), "digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        runs = _flush(merged.select("digest", "keep_id", "n", "run"), f"{at}/level{number}")
+    return runs.drop("run")
+
+
+def _place(digest: Column) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def filter_of(entries: DataFrame) -> DataFrame:
+    """One row, one array: a bit for each digest of `entries` at its place, 64 a number. Its size is fixed; the fuller it is, the more texts are shuffled in vain."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    words = entries.select(_place(F.col("digest")).alias("at")).groupBy(F.floor(F.col("at") / 64).cast("long").alias("id")).agg(F.bit_or(bit).alias("bits"))
+    every = entries.sparkSession.range(FILTER_BITS // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtables: int = MEMTABLES) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are after each run of white space became one space; a null
@@ -47,25 +69,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeat an id are all counted, and all are kept if the id is. An empty table gives an empty result. Other
     columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    index = build_index(rows.select("doc_id", "digest"))
-    # The one shuffle of texts; what is kept of them is those of hits.
-    found = rows.join(index, "digest").withColumn("hit", F.when(F.col("n") > 1, F.col("norm"))).drop("norm")
-    found = shared.written(found, "digest-hits")
-
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    index = build_index(rows.select("doc_id", "digest"), memtables)
+    repeated = shared.written(index.where("n > 1"), "repeated-digests")
+    bits = shared.written(filter_of(repeated), "digest-filter")
+    at = _place(F.col("digest"))
+    maybe = F.call_function("shiftright", F.get(bits.scalar(), F.floor(at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    rows = shared.written(rows.withColumn("maybe", maybe).select("doc_id", "digest", "maybe", F.when(F.col("maybe"), F.col("norm")).alias("hit")), "digest-rows")
+
+    alone = rows.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    found = shared.spread_join(rows.where("maybe").drop("maybe"), repeated, ["digest"], repeated, ["doc_id"], "left")
+    # What the filter let through in vain stands once.
+    found = shared.written(found.select("doc_id", "digest", "hit", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("n", F.lit(1)).alias("n")), "digest-hits")
     held = found.where((F.col("n") > 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("hit").alias("held"))
-    seen = found.join(held, "digest", "left").withColumn("other", F.when((F.col("n") > 1) & (F.col("hit") != F.col("held")), F.col("hit")))
+    seen = shared.spread_join(found, shared.written(held, "kept-texts"), ["digest"], repeated, ["doc_id"], "left").withColumn("other", F.when((F.col("n") > 1) & (F.col("hit") != F.col("held")), F.col("hit")))
     # What shares a digest and isn't equal: none in practice, and then two empty joins.
-    others = seen.where(F.col("other").isNotNull()).groupBy("digest", "other").agg(F.min("doc_id").alias("other_keep"), F.count("*").alias("other_n"))
-    less = others.groupBy("digest").agg(F.sum("other_n").alias("less"))
-    out = seen.drop("hit", "held").join(others, ["digest", "other"], "left").join(less, "digest", "left")
+    seen = shared.written(seen.drop("hit", "held"), "digest-seen")
+    others = shared.written(seen.where(F.col("other").isNotNull()).groupBy("digest", "other").agg(F.min("doc_id").alias("other_keep"), F.count("*").alias("n")), "digest-others")
+    less = shared.written(others.groupBy("digest").agg(F.sum("n").alias("less")), "digest-less")
+    out = shared.spread_join(seen, others.withColumnRenamed("n", "other_n"), ["digest", "other"], others, ["doc_id"], "left")
+    out = shared.spread_join(out, less, ["digest"], less.withColumnRenamed("less", "n"), ["doc_id"], "left")
     keep = F.when(F.col("other").isNull(), F.col("keep_id")).otherwise(F.col("other_keep"))
     size = F.when(F.col("other").isNull(), F.col("n") - F.coalesce("less", F.lit(0))).otherwise(F.col("other_n"))
-    return out.select(
-        "doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    out = out.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "digest")
+    return alone.unionByName(out).withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

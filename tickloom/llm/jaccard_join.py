@@ -5,9 +5,11 @@ Which documents can meet at all comes from prefix filtering, so tiles hold likel
 1. Every document becomes a set of hashed word n-grams. Equal sets form one class, kept by its smallest id.
 2. Two sets that link share one of the first n - ceil(t n) + 1 elements of each, in any order common to all sets. The order puts
    elements that a sketch of counts finds frequent last, so that passages which many documents share seldom bring them together.
-3. Classes that share such an element and whose bitmaps allow a link are joined to blocks. A block's classes are dealt to tiles by size band
-   and a hash; pairs of tiles of the same or neighbouring bands are tasks of bounded size.
-4. In a pair of tiles, bitmaps bound each overlap from above, and what passes is intersected exactly, unless links found before
+3. Where more classes than a tile holds share such an element, each is first compared with the smallest of its size band: a star, so a large group of copies
+   becomes one label by as many comparisons as it has members. Pairs of one label need no other comparison.
+4. Classes that share an element and whose bitmaps allow a link are joined to blocks. Groups and blocks that don't fit a tile are dealt to tiles by size band,
+   label and a hash; pairs of tiles of the same or neighbouring bands, but for two of one label, are tasks of bounded size.
+5. In a pair of tiles, bitmaps bound each overlap from above, and what passes is intersected exactly, unless links found before
    already connect the two. So a group of thousands of copies yields a tree of links, not all pairs.
 """
 
@@ -28,6 +30,8 @@ from tickloom.llm import text as T
 NGRAM, PERCENT = 4, 85
 #: Counters of the sketch of element counts, in how many pieces they are summed, sets in a tile.
 COUNTERS, PIECES, TILE = 1 << 20, 16, 512
+#: Nodes of rows without an id are from here on.
+NO_ID = 1 << 62
 
 
 def sets(column: pa.Array, n: int = NGRAM) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -97,19 +101,19 @@ def _linked_at_most(na: np.ndarray, nb: np.ndarray, differing: np.ndarray, perce
 def _described(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
-        names = ["doc_id", "n", "k1", "k2", "bits", "piece", "counts"]
+        names = ["doc_id", "node", "tie", "n", "k1", "k2", "bits", "piece", "counts"]
         for batch in batches:
-            for lo, own in sets(batch.column(1), n):
+            for lo, own in sets(batch.column(3), n):
                 size = np.array([len(s) for s in own])
                 every = np.concatenate(own) if own else np.zeros(0, np.uint64)
                 counts += np.bincount((every & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 ends = np.cumsum(size)
-                k1, k2 = (T.runs_hashed(T.mixed(every ^ np.uint64(c)), ends - size, ends, c) for c in (0, 1))
+                k1, k2 = (T.sets_hashed(every, ends - size, ends, c) for c in (0, 1))
                 none = pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + len(own)], pa.array(size.astype(np.int32)), pa.array(T.signed(k1)), pa.array(T.signed(k2)), pa.array([bitmap(s).tobytes() for s in own], pa.binary()), *none], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo : lo + len(own)] for k in range(3)), pa.array(size.astype(np.int32)), pa.array(T.signed(k1)), pa.array(T.signed(k2)), pa.array([bitmap(s).tobytes() for s in own], pa.binary()), *none], names)
         step = COUNTERS // PIECES
         packed = [zlib.compress(counts[i * step : (i + 1) * step].astype("<u4").tobytes(), 1) for i in range(PIECES)]
-        none = [pa.nulls(PIECES, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+        none = [pa.nulls(PIECES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*none, pa.array(range(PIECES), pa.int32()), pa.array(packed, pa.binary())], names)
 
     return run
@@ -136,7 +140,7 @@ def _prefixes(n: int, percent: int, sent):
                 size = np.array([len(s) for s in own])
                 every = np.concatenate(own)
                 ends = np.cumsum(size)
-                key = T.runs_hashed(T.mixed(every), ends - size, ends)
+                key = T.sets_hashed(every, ends - size, ends)
                 often = rank[(every & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 take = size - (percent * size + 99) // 100 + 1
                 out = []
@@ -148,10 +152,10 @@ def _prefixes(n: int, percent: int, sent):
     return run
 
 
-def _forest(n: np.ndarray, can: "callable") -> list[tuple[int, int]]:
-    """Links of a forest that connects what `can(i)`, the later partners of i, connects; stops when all is one."""
-    label, out = np.arange(len(n)), []
-    for i in range(len(n) - 1):
+def _forest(label: np.ndarray, can: "callable") -> list[tuple[int, int]]:
+    """Links of a forest that connects what `can(i)`, the later partners of i, connects and `label` doesn't yet; stops when all is one."""
+    label, out = label.copy(), []
+    for i in range(len(label) - 1):
         if (label == label[0]).all():
             break
         for j in can(i, label):
@@ -162,135 +166,169 @@ def _forest(n: np.ndarray, can: "callable") -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(percent: int):
-    """Edges between classes that share an element and may link, from rows sorted by element: a forest for each element."""
+def _pairs(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    e = np.array(edges, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(e.min(1) if len(e) else e[:, 0]), pa.array(e.max(1) if len(e) else e[:, 0])], ["a", "b"])
 
-    def of_group(ids: np.ndarray, n: np.ndarray, bits: list[bytes]) -> list[tuple[int, int]]:
-        order = np.lexsort((ids, n))
-        ids, n = ids[order], n[order]
-        maps = Bitmaps([np.frombuffer(bits[k], np.uint64) for k in order])
 
-        def can(i: int, label: np.ndarray) -> np.ndarray:
-            to = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
-            j = np.flatnonzero(label[i + 1 : to] != label[i]) + i + 1
-            return j[_linked_at_most(n[i], n[j], maps.differing(i, j), percent)] if len(j) else j
+def _tasks(edges_of):
+    """Edges of each pair of tiles, from rows (key, tile, class_id, label, ...) sorted by key; edges_of takes such rows of one key."""
 
-        return [(int(ids[a]), int(ids[b])) for a, b in _forest(n, can)]
+    def run(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        found: list = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(edges: set) -> pa.RecordBatch:
-            e = np.array(sorted(edges), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(e.min(1) if len(e) else e[:, 0]), pa.array(e.max(1) if len(e) else e[:, 0])], ["a", "b"])
+        def close(rows: tuple) -> None:
+            cuts = np.r_[0, np.flatnonzero(np.diff(rows[0])) + 1, len(rows[0])]
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if hi - lo > 1:
+                    found.extend(edges_of(*(x[lo:hi] for x in rows[1:])))
+
+        for got in rows:
+            if not len(got[0]):
+                continue
+            rows_ = got if held is None else tuple(np.concatenate([a, b]) if isinstance(a, np.ndarray) else a + b for a, b in zip(held, got, strict=True))
+            last = int(np.searchsorted(rows_[0] != rows_[0][-1], False)) if rows_[0][0] == rows_[0][-1] else int(np.flatnonzero(rows_[0] != rows_[0][-1])[-1]) + 1
+            close(tuple(x[:last] for x in rows_))
+            held = tuple(x[last:] for x in rows_)
+            if len(found) > 1 << 15:
+                yield _pairs(found)
+                found.clear()
+        if held is not None:
+            close(held)
+        yield _pairs(found)
 
-        held: list = []
-        edges: set = set()
-        seen: set = set()
+    return run
 
-        def close(rows: tuple) -> None:
-            element, ids, n, bits = rows
-            cuts = np.r_[0, np.flatnonzero(np.diff(element)) + 1, len(element)]
-            size = np.diff(cuts)
-            for lo, hi in zip(cuts[:-1][size > 1].tolist(), cuts[1:][size > 1].tolist(), strict=True):
-                # Copies share many elements: the same classes under another element give the same edges.
-                key = ids[lo:hi].tobytes() if hi - lo < 64 else sha256(ids[lo:hi].tobytes()).digest()
-                if key not in seen:
-                    seen.add(key)
-                    edges.update((min(x), max(x)) for x in of_group(ids[lo:hi], n[lo:hi], bits[lo:hi]))
 
-        for batch in batches:
-            got = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), np.array(batch.column(3).to_pylist() + [None], object)[:-1])
-            rows = got if not held else tuple(np.concatenate([a, b]) for a, b in zip(held, got, strict=True))
-            last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            close(tuple(x[:last] for x in rows))
-            held = [x[last:] for x in rows]
-            if len(edges) > 1 << 16 or len(seen) > 1 << 17:
-                yield out(edges)
-                edges.clear()
-                seen.clear()
-        if held:
-            close(tuple(held))
-        yield out(edges)
+def _partners(n: np.ndarray, tile: np.ndarray, maps: Bitmaps, percent: int):
+    """can(i) for _forest: later classes, of the other tile if there are two, of another label, near enough in size and by their bitmaps."""
+    one = (tile == tile[0]).all()
+
+    def can(i: int, label: np.ndarray) -> np.ndarray:
+        to = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
+        j = np.flatnonzero(label[i + 1 : to] != label[i]) + i + 1
+        if not one:
+            j = j[tile[j] != tile[i]]
+        return j[_linked_at_most(n[i], n[j], maps.differing(i, j), percent)] if len(j) else j
+
+    return can
+
+
+def _candidates(percent: int):
+    """Edges between classes that share an element and may link: a forest for each pair of tiles, from rows (key, tile, class_id, label, n, bits)."""
+    seen: set = set()
+
+    def edges_of(tile: np.ndarray, ids: np.ndarray, label: np.ndarray, n: np.ndarray, bits: list[bytes]) -> list[tuple[int, int]]:
+        # Copies share many elements: the same classes under another element give the same edges.
+        key = sha256(ids.tobytes() + tile.tobytes()).digest()
+        if key in seen:
+            return []
+        if len(seen) > 1 << 17:
+            seen.clear()
+        seen.add(key)
+        order = np.lexsort((ids, n))
+        ids, n, tile = ids[order], n[order], tile[order]
+        maps = Bitmaps([np.frombuffer(bits[k], np.uint64) for k in order])
+        return [(int(ids[a]), int(ids[b])) for a, b in _forest(np.unique(label[order], return_inverse=True)[1], _partners(n, tile, maps, percent))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((*(b.column(k).to_numpy() for k in range(4)), b.column(4).to_numpy().astype(np.int64), b.column(5).to_pylist()) for b in batches)
+        yield from _tasks(edges_of)(rows)
 
     return run
 
 
 def _verified(n: int, percent: int):
-    """Links inside pairs of tiles, from rows (key, tile, class_id, text) sorted by key."""
+    """Links inside pairs of tiles, from rows (key, tile, class_id, label, text) sorted by key."""
 
-    def links(tile: np.ndarray, ids: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, int]]:
+    def edges_of(tile: np.ndarray, ids: np.ndarray, label: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, int]]:
         size = np.array([len(s) for s in own])
         order = np.lexsort((ids, size))
         ids, size, tile, own = ids[order], size[order], tile[order], [own[k] for k in order]
-        maps = Bitmaps([bitmap(x, 0.5) for x in own])
-        one = (tile == tile[0]).all()
+        near = _partners(size, tile, Bitmaps([bitmap(x, 0.5) for x in own]), percent)
 
         def can(i: int, label: np.ndarray) -> Iterator[int]:
-            to = int(np.searchsorted(size, 100 * size[i] // percent, "right"))
-            j = np.arange(i + 1, to)
-            j = j[label[j] != label[i]]
-            if not one:
-                j = j[tile[j] != tile[i]]
-            for k in j[_linked_at_most(size[i], size[j], maps.differing(i, j), percent)] if len(j) else ():
+            for k in near(i, label):
                 if label[k] != label[i]:
                     both = len(np.intersect1d(own[i], own[k], assume_unique=True))
                     if 100 * both >= percent * (size[i] + size[k] - both):
                         yield k
 
-        return [(int(ids[a]), int(ids[b])) for a, b in _forest(size, can)]
+        return [(int(ids[a]), int(ids[b])) for a, b in _forest(np.unique(label[order], return_inverse=True)[1], can)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
+        rows = ((*(b.column(k)[lo : lo + len(own)].to_numpy() for k in range(4)), own) for b in batches for lo, own in sets(b.column(4), n))
+        yield from _tasks(edges_of)(rows)
 
-        def close(rows: tuple) -> pa.RecordBatch:
-            key, tile, ids, own = rows
-            cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
-            e = [x for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi - lo > 1 for x in links(tile[lo:hi], ids[lo:hi], own[lo:hi])]
-            e = np.array(e, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(e.min(1) if len(e) else e[:, 0]), pa.array(e.max(1) if len(e) else e[:, 0])], ["a", "b"])
+    return run
 
-        for batch in batches:
-            for lo, own in sets(batch.column(3), n):
-                part = batch.slice(lo, len(own))
-                got = (*(part.column(k).to_numpy() for k in range(3)), own)
-                rows = got if held is None else (*(np.concatenate([held[k], got[k]]) for k in range(3)), held[3] + own)
-                last = int(np.flatnonzero(rows[0] == rows[0][-1])[0])
-                if last:
-                    yield close((*(x[:last] for x in rows[:3]), rows[3][:last]))
-                held = (*(x[last:] for x in rows[:3]), rows[3][last:])
-        if held is not None:
-            yield close(held)
 
-    return run
+_PAIR = "a long, b long"
 
 
-def _tile_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """(class_id, key, tile) of (class_id, n, block): each class under every pair of tiles that its own tile is in."""
-    # A little wider than the ratio of sizes that can link, so that rounding parts no two of them by more than a band.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.1 / percent))).cast("int")
-    total = blocks.groupBy("block").agg(F.count("*").alias("all"))
-    # A block that fits one tile is one.
-    rows = blocks.join(total, "block").withColumn("band", F.when(F.col("all") <= TILE, F.lit(0)).otherwise(band)).drop("all")
-    rows = shared.written(rows, "jaccard-blocks")
-    many = rows.groupBy("block", "band").agg(F.count("*").alias("here")).withColumn("tiles", F.ceil(F.col("here") / TILE).cast("int"))
-    rows = rows.join(many.select("block", "band", "tiles"), ["block", "band"]).withColumn("sub", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
-    near = many.select("block", (F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("band"), F.col("band").alias("other_band"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other_sub"))
-    own, other = F.struct("band", "sub"), F.struct(F.col("other_band").alias("band"), F.col("other_sub").alias("sub"))
-    return rows.join(near, ["block", "band"]).select("class_id", F.xxhash64("block", F.least(own, other), F.greatest(own, other)).alias("key"), F.xxhash64(own).alias("tile"))
+def _band(percent: int):
+    """A little wider than the ratio of sizes that can link, so that rounding parts no two of them by more than a band."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.1 / percent))).cast("int")
 
 
-def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs.
+def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(class_id, label, n, key, tile) of (block, class_id, n, label): each class under every pair of tiles that its own tile is in.
 
-    Two documents link when 100 * |A and B| >= percent * |A or B| of their sets of n-grams; component_id is the smallest id that links
-    reach. Null texts and texts without words have empty sets and link with nothing; texts of fewer than n words have one n-gram. Rows
-    that repeat an id are one node with the links of each, and come out once each. A null id is left out. An empty table gives an empty result. Other columns are
-    not read. No link is lost: prefixes and bitmaps only leave out what cannot link.
+    A block that fits one tile is one. Labels that fill more than a tile of a band have tiles of their own, which aren't paired with each other.
     """
+    total = shared.written(rows.groupBy("block").agg(F.count("*").alias("n_all")).select("block", F.col("n_all").alias("n")), "jaccard-groups")
+    fits = total.where(F.col("n") <= TILE).select("block")
+    own = F.struct("band", "pure", "of", "sub")
+    alone = rows.join(fits.hint("merge"), "block", "left_semi").select("class_id", "label", "n", F.xxhash64("block").alias("key"), F.lit(0).cast("long").alias("tile"))
+    large = total.where(F.col("n") > TILE)
+    if large.isEmpty():
+        return alone
+    rows = shared.written(shared.spread_join(rows, large.select("block"), ["block"], total, ["class_id"]).withColumn("band", _band(percent)), "jaccard-large")
+    labels = shared.written(rows.groupBy("block", "band", "label").agg(F.count("*").alias("n")), "jaccard-labels")
+    pure = labels.select("block", "band", "label", (F.col("n") > TILE).alias("pure"))
+    rows = shared.spread_join(rows, pure, ["block", "band", "label"], labels, ["class_id"]).withColumn("of", F.when(F.col("pure"), F.col("label")).otherwise(F.lit(0)))
+    many = labels.withColumn("pure", F.col("n") > TILE).withColumn("of", F.when(F.col("pure"), F.col("label")).otherwise(F.lit(0)))
+    many = shared.written(many.groupBy("block", "band", "pure", "of").agg(F.sum("n").alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")), "jaccard-tiles")
+    rows = shared.spread_join(rows, many.drop("n"), ["block", "band", "pure", "of"], many, ["class_id"]).withColumn("sub", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
+    every = many.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", own.alias("other"))
+    near = every.select("block", F.explode(F.array(*[F.col("other.band") + k for k in (-1, 0, 1)])).alias("band"), "other").groupBy("block", "band").agg(F.collect_list("other").alias("others"))
+    sizes = labels.groupBy("block", "band").agg(F.sum("n").alias("n"))
+    rows = shared.spread_join(rows, near, ["block", "band"], sizes, ["class_id"]).withColumn("own", own).withColumn("other", F.explode("others"))
+    rows = rows.where(~(F.col("pure") & F.col("other.pure") & (F.col("of") == F.col("other.of"))))
+    keyed = rows.select("class_id", "label", "n", F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.xxhash64("own").alias("tile"))
+    return alone.unionByName(keyed)
+
+
+def _stars(members: DataFrame, percent: int) -> DataFrame | None:
+    """(class_id, label, n, key, tile): classes that share an element with more than a tile holds, each with the smallest class of its band and one such element. None if there are none."""
+    sizes = shared.written(members.groupBy("element").agg(F.count("*").alias("n")), "element-sizes")
+    large = sizes.where(F.col("n") > TILE)
+    if large.isEmpty():
+        return None
+    rows = shared.spread_join(members.select("element", "class_id", "n"), large.select("element"), ["element"], sizes, ["class_id"]).withColumn("band", _band(percent))
+    rows = shared.written(rows, "star-members")
+    hubs = shared.written(rows.groupBy("element", "band").agg(F.min("class_id").alias("hub"), F.count("*").alias("n")), "star-hubs")
+    met = shared.spread_join(rows, hubs.drop("n"), ["element", "band"], hubs, ["class_id"]).where("hub <> class_id").groupBy("class_id", "hub").agg(F.count("*").alias("times"), F.max("n").alias("n"))
+    best = shared.written(met.groupBy("class_id").agg(F.min_by("hub", F.struct(-F.col("times"), F.col("hub"))).alias("hub"), F.max("n").alias("n")), "stars")
+    per = shared.written(best.groupBy("hub").agg(F.count("*").alias("n")), "star-sizes")
+    dealt = shared.spread_join(best, per.select("hub", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), ["hub"], per, ["class_id"])
+    rays = dealt.select("class_id", F.col("class_id").alias("label"), "n", F.xxhash64("hub", F.pmod(F.xxhash64("class_id"), F.col("tiles"))).alias("key"), F.lit(1).cast("long").alias("tile"))
+    middle = per.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / TILE) - 1)))
+    middle = middle.select(F.col("hub").alias("class_id"), F.col("hub").alias("label"), F.lit(0).alias("n"), F.xxhash64("hub", "sub").alias("key"), F.lit(0).cast("long").alias("tile"))
+    return rays.unionByName(middle)
+
+
+def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, tie_col: str | None = None) -> DataFrame:
+    """(doc_id, node, tie, n, component) of every row of docs; see jaccard_join. component is the smallest node."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
+    # Above all ids: the smallest of a component is an id if there is one.
+    node = F.coalesce(doc_id, F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID)))
+    texts = docs.select(doc_id.alias("doc_id"), node.alias("node"), (F.col(tie_col) if tie_col else F.lit(None).cast("long")).alias("tie"), text.alias("text"))
     # The sketch's rows come with the described documents', so texts are read once for both.
-    told = shared.written(texts.mapInArrow(_described(n), "doc_id long, n int, k1 long, k2 long, bits binary, piece int, counts binary"), "jaccard-sets")
-    described = told.where("piece is null").select("doc_id", "n", "k1", "k2", "bits")
+    told = shared.written(texts.mapInArrow(_described(n), "doc_id long, node long, tie long, n int, k1 long, k2 long, bits binary, piece int, counts binary"), "jaccard-sets")
+    described = told.where("piece is null").select("doc_id", "node", "tie", "n", "k1", "k2", "bits")
     pieces = told.where("piece is not null").select("piece", "counts")
     summed = pieces.repartition(PIECES, "piece").mapInArrow(_added, "piece int, counts binary").collect()
     counts = np.zeros(COUNTERS, np.int64)
@@ -300,20 +338,62 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, id_col
     mean = counts.mean()
     rank = np.where(counts > 4 * mean + 8, np.ceil(np.log2(counts + 1)), 0).astype(np.uint8)
 
-    classes = shared.written(described.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id"), F.min("bits").alias("bits")), "jaccard-classes")
+    classes = described.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("node").alias("class_id"), F.min("bits").alias("bits"), F.count("*").alias("copies"))
+    classes = shared.written(classes, "jaccard-classes")
     elements = texts.select("text").mapInArrow(_prefixes(n, percent, spark.sparkContext.broadcast(rank)), "element long, k1 long")
-    common = elements.groupBy("element").agg(F.min("k1").alias("k_min"), F.max("k1").alias("k_max")).where("k_min <> k_max").select("element")
-    members = elements.join(common, "element", "left_semi").distinct().join(classes.select("k1", "class_id", "n", "bits"), "k1")
-    candidates = members.select("element", "class_id", "n", "bits").repartition("element").sortWithinPartitions("element", "class_id").mapInArrow(_candidates(percent), "a long, b long")
-    blocks = graph.components(candidates).withColumnRenamed("component", "block").withColumnRenamed("node", "class_id")
-    blocks = blocks.join(classes.select("class_id", "n"), "class_id")
-    keyed = _tile_pairs(blocks, percent)
-    one = texts.join(keyed, texts["doc_id"] == keyed["class_id"]).select("key", "tile", "class_id", "text")
-    links = one.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_verified(n, percent), "a long, b long")
-    joined = graph.components(links).withColumnRenamed("node", "class_id")
-
-    mine = described.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "class_id"), ["k1", "k2"], "left").join(joined, "class_id", "left")
-    return mine.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+    common = shared.written(elements.groupBy("element").agg(F.min("k1").alias("k_min"), F.max("k1").alias("k_max"), F.count("*").alias("n")).where("k_min <> k_max").select("element", "n"), "shared-elements")
+    members = shared.spread_join(elements, common.select("element"), ["element"], common, ["k1"]).distinct()
+    members = shared.written(members.join(classes.select("k1", "class_id", "n").hint("merge"), "k1").select("element", "class_id", "n"), "element-members")
+
+    def links(keyed: DataFrame) -> DataFrame:
+        one = texts.join(keyed.hint("merge"), texts["node"] == keyed["class_id"]).select("key", "tile", "class_id", "label", "text")
+        return shared.written(one.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_verified(n, percent), _PAIR), "jaccard-links")
+
+    stars = _stars(members, percent)
+    met = spark.createDataFrame([], _PAIR) if stars is None else links(stars)
+    named = classes.select("class_id", "n").distinct()
+    if stars is None:
+        labelled = members.withColumn("label", F.col("class_id"))
+    else:
+        labels = graph.components(met)
+        labelled = members.join(labels.select(F.col("node").alias("class_id"), F.col("component").alias("label")).hint("merge"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
+        open_ = labelled.groupBy("element").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most")
+        open_ = shared.written(open_.select("element", "n"), "open-elements")
+        labelled = shared.written(shared.spread_join(labelled, open_.select("element"), ["element"], open_, ["class_id"]), "labelled-members")
+        named = named.join(labels.select(F.col("node").alias("class_id"), F.col("component").alias("label")).hint("merge"), "class_id", "left")
+    keyed = _tile_pairs(labelled.select(F.col("element").alias("block"), "class_id", "n", "label"), percent)
+    tasks = keyed.join(classes.select("class_id", "n", "bits").hint("merge"), ["class_id", "n"]).select("key", "tile", "class_id", "label", "n", "bits")
+    candidates = tasks.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_candidates(percent), _PAIR)
+    blocks = graph.components(candidates.unionByName(met)).select(F.col("node").alias("class_id"), F.col("component").alias("block"))
+    named = named if "label" in named.columns else named.withColumn("label", F.col("class_id"))
+    blocks = shared.written(blocks.join(named.hint("merge"), "class_id").select("block", "class_id", "n", F.coalesce("label", "class_id").alias("label")), "jaccard-blocks")
+    parted = shared.written(blocks.groupBy("block").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most").select("block", "n"), "parted-blocks")
+    parts = shared.spread_join(blocks, parted.select("block"), ["block"], parted, ["class_id"])
+    joined = graph.components(links(_tile_pairs(parts, percent)).unionByName(met)).withColumnRenamed("node", "class_id")
+
+    found = classes.select("k1", "k2", "class_id", F.col("copies").alias("n")).join(joined.hint("merge"), "class_id", "left").select("k1", "k2", F.coalesce("component", "class_id").alias("component"), "n")
+    found = shared.written(found, "class-components")
+    mine = shared.spread_join(described.select("doc_id", "node", "tie", "n", "k1", "k2"), found.drop("n"), ["k1", "k2"], found, ["node"], "left")
+    return mine.withColumn("component", F.coalesce("component", "node"))
+
+
+def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs.
+
+    Two documents link when 100 * |A and B| >= percent * |A or B| of their sets of n-grams; component_id is the smallest id that links
+    reach. Null texts and texts without words have empty sets and link with nothing; texts of fewer than n words have one n-gram. Rows
+    that repeat an id are one node with the links of each, and come out once each. Rows without an id link as all others do (those of one text are one node); their component_id
+    is null where no row with an id is reached. An empty table gives an empty result. Other columns are not read. No link is lost: prefixes, bitmaps and
+    labels only leave out what cannot link or what links connect already.
+    """
+    component = F.when((F.col("component") < NO_ID) | F.col("doc_id").isNotNull(), F.col("component"))
+    return _joined(docs, n, percent, id_col, text_col).select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, tie_col: str) -> DataFrame:
+    """(node, tie) of the row that stays of each component of documents with words: the smallest id, rows without one after all others, then the smallest tie."""
+    joined = _joined(docs, n, percent, id_col, text_col, tie_col).where("n > 0")
+    return joined.groupBy("component").agg(F.min(F.struct("node", "tie")).alias("first")).select("first.node", "first.tie")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
 #: The model is fitted on about this many labelled documents, whole, drawn by a hash of their ids.
 MOST_TRAIN = 20_000
-#: At most this many languages are learned, those with the most documents.
-MOST_LANGS = 256
 _CHARS = 1 << 18
 
 _letters: list[np.ndarray] = []
@@ -88,17 +86,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, most: int = MOST_TRAIN) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [language, bucket], then log priors as a last column) from rows (doc_id, text, lang).
 
-    About `most` rows are drawn by a hash of their ids; counts are summed by Spark, and what the
+    About `most` rows are drawn by a hash of their ids, all languages are learned; counts are summed by Spark, and what the
     driver gets is bounded by languages times buckets.
     """
     labelled = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    per = labelled.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(MOST_LANGS).toPandas()
+    per = labelled.groupBy("lang").agg(F.count("*").alias("docs")).orderBy("lang").toPandas()
     if per.empty:
         return [], np.zeros((0, BUCKETS + 1))
     langs = sorted(per.lang)
     share = min(1.0, most / per.docs.sum())
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit("train")), F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = labelled.where(F.col("lang").isin(langs)).where(drawn).select("text", "lang")
+    rows = labelled.where(drawn).select("text", "lang")
     counts = rows.mapInArrow(_counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     n = np.full((len(langs), BUCKETS), 0.5)
     if len(counts):

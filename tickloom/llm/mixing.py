@@ -34,7 +34,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return s.withColumn("fill", level).select("source", "source_size", F.least("cap", F.coalesce(F.col("fill") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple = WEIGHTS, share: float = SHARE, most_epochs: int = MOST_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple = WEIGHTS, share: float = SHARE, most_epochs: int = MOST_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, copies.
 
     Each source takes whole epochs first; for what is left, its documents are drawn without
@@ -44,8 +44,9 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple = WEIG
     from a digest of the seed and the id, so reruns agree. quality: (doc_id, weight), missing or not above
     0: weight 1. A null text has no words; a null source is a source of its own, the last. Rows that repeat
     an id get the same key and are ordered by size, then by an arbitrary number. An empty table gives an empty result.
+    Columns named in `extra` pass as they are.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(*extra, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     if quality is not None:
         best = quality.where(F.col("weight") > 0).groupBy(F.col("doc_id").alias("q_id")).agg(F.max("weight").alias("weight"))
         rows = rows.join(best, F.col("doc_id") == F.col("q_id"), "left").drop("q_id")
@@ -63,7 +64,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple = WEIG
     out = out.withColumn("epochs", epochs).withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     whole = (F.col("size") > 0) & (2 * (F.col("rest") - F.col("before")) >= F.col("size"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), (F.col("epochs") + whole.cast("int")).cast("int").alias("copies"))
+    return out.select(*extra, "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), (F.col("epochs") + whole.cast("int")).cast("int").alias("copies"))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:

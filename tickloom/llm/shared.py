@@ -11,11 +11,13 @@ from pyspark.sql.window import Window
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The cluster's spark.checkpoint.dir. Where that is unset, a folder of our own, but only on one machine: executors elsewhere wouldn't see it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -32,6 +34,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for table in tables:
+        for at in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            to = table.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            to.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(to, True)
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the same `keys` that come before this one in `order`.
 
@@ -49,3 +59,22 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.join(sums, on).select(*ranged.columns, "_start")
     return joined.withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_start", "_range")
+
+
+#: A key is hot where it has more than one in HOT of all rows, so fewer than HOT keys are; rows of a hot key are dealt to SALTS tasks.
+HOT, SALTS = 1_000, 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], sizes: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how) for keys of which some hold much of `left`; right has each key once.
+
+    sizes (keys, n) tells how many rows of `left` each key has, at least for those that `right` has too. The fewer than HOT hot keys are sent to
+    all tasks; their rows are dealt out by a hash of `by`, and their rows of `right` are repeated for each salt.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(sizes.where(F.col("n") * HOT > total).select(*keys, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return dealt.join(repeated.hint("merge"), [*keys, "_salt"], how).drop("_salt")

@@ -1,10 +1,4 @@
-"""Which windows of n units (words or lines) of a document start earlier elsewhere: an index of content-defined blocks.
-
-Each window picks the smallest hash among its runs of k units; consecutive windows with the same pick form a block. Equal stretches of text
-pick alike, so they are cut into equal blocks except at their ends. Blocks are matched as wholes; only in blocks whose pick
-other documents have with other surroundings are windows matched one by one. No window is missed: one that starts
-earlier elsewhere lies there in a block with the same pick.
-"""
+"""Stretches of units (words or lines) that start earlier too: places of documents, chains of matches, and texts without them."""
 
 from __future__ import annotations
 
@@ -15,107 +9,60 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tickloom.llm import shared
 from tickloom.llm import text as T
 
+#: The place of rows without an id: after all others.
+LAST = (1 << 63) - 1
+
+
+def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, place, tie, text): (place, tie) is the same for rows of one id and text alone, which have the same result."""
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("place"), F.xxhash64(text).alias("tie"), text.alias("text"))
+
 
-def units(data: np.ndarray, at: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(start, end, first of each row and one more, two hashes): words, or lines without blanks around them, empty ones left out."""
+def units(data: np.ndarray, at: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """(start, end, first of each row and one more, two hashes, words in each): words, or lines without blanks around them, empty ones left out."""
     start, end, first, h = T.words(data, at, hashes=2)
     if kind == "words" or not len(start):
-        return start, end, first, h
+        return start, end, first, h, np.ones(len(start), np.int64)
     line = np.r_[0, np.cumsum(data == 10)][start]
     row = T.rows_of(np.arange(len(start)), first)
     opens = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (row[1:] != row[:-1])])
     closes = np.r_[opens[1:], len(start)]
-    return start[opens], end[closes - 1], np.searchsorted(opens, first), [T.runs_hashed(x, opens, closes, k) for k, x in enumerate(h)]
-
-
-def blocks(h: list[np.ndarray], first: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, number in its row, first window, last window, hash of the pick) of each block; windows go by their first unit."""
-    none = np.zeros(0, np.int64)
-    if len(h[0]) < n:
-        return none, none, none, none, none.astype(np.uint64)
-    g = T.runs_hashed(h[0], np.arange(len(h[0]) - k + 1), np.arange(len(h[0]) - k + 1) + k)
-    left = np.repeat(first[1:], np.diff(first)) - np.arange(len(h[0]))
-    window = np.flatnonzero(left >= n)
-    if not len(window):
-        return none, none, none, none, none.astype(np.uint64)
-    pick = np.lib.stride_tricks.sliding_window_view(g, n - k + 1).argmin(1)[window] + window
-    row = T.rows_of(window, first)
-    opens = np.flatnonzero(np.r_[True, (pick[1:] != pick[:-1]) | (row[1:] != row[:-1])])
-    r = row[opens]
-    number = np.arange(len(opens)) - np.searchsorted(r, r)
-    return r, number, window[opens], window[np.r_[opens[1:], len(window)] - 1], g[pick[opens]]
-
-
-def _cut(kind: str, n: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, _, data, at in T.slices(batch.column(1)):
-                _, _, first, h = units(data, at, kind)
-                row, number, a, b, pick = blocks(h, first, n, k)
-                whole = T.runs_hashed(h[1], a, b + n, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(pick)), pa.array(T.signed(whole)), batch.column(0).take(pa.array(row + lo)), pa.array(number.astype(np.int32))], ["pick", "block", "doc_id", "number"])
-
-    return run
+    return start[opens], end[closes - 1], np.searchsorted(opens, first), [T.runs_hashed(x, opens, closes, k) for k, x in enumerate(h)], closes - opens
 
 
-def _windows_of(kind: str, n: int, k: int):
-    """Both hashes of each different window in the blocks that `open` numbers."""
+def chained(matches: DataFrame) -> DataFrame:
+    """(place, tie, first, last, ref_place, ref_first): matches (the same columns) that follow each other at one distance from one reference, as one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, at in T.slices(batch.column(1)):
-                _, _, first, h = units(data, at, kind)
-                row, number, a, b, _ = blocks(h, first, n, k)
-                cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                wanted = batch.column(2)[lo:hi].to_pylist()
-                each = [np.arange(a[i], b[i] + 1) for r in range(hi - lo) for i in cut[r] + np.array(sorted(set(wanted[r])), np.int64)]
-                w = np.concatenate(each) if each else np.zeros(0, np.int64)
-                w1, w2 = T.runs_hashed(h[0], w, w + n), T.runs_hashed(h[1], w, w + n, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(w1)), pa.array(T.signed(w2)), batch.column(0).take(pa.array(T.rows_of(w, first) + lo))], ["w1", "w2", "doc_id"])
-
-    return run
+    first to last are windows by their first units; last of a window that is longer than others ends where that does.
+    """
+    w = Window.partitionBy("place", "tie").orderBy("first", "last")
+    shift = F.col("ref_first") - F.col("first")
+    same = (F.col("ref_place") == F.lag("ref_place").over(w)) & (shift == F.lag(shift).over(w)) & (F.col("first") <= F.lag("last").over(w) + 1)
+    runs = matches.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("place", "tie", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("ref_place", "first").alias("ref_place"), F.min("ref_first").alias("ref_first")).drop("_run")
 
 
-def _kept(kind: str, n: int, k: int):
+def _kept(kind: str, more: int):
     glue = 32 if kind == "words" else 10
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            spans = batch.column(2)
+            at_span, of_first, of_last = spans.offsets.to_numpy(), *(spans.values.field(k).to_numpy() for k in (0, 1))
             for lo, hi, data, at in T.slices(batch.column(1)):
-                start, end, first, h = units(data, at, kind)
-                row, _, a, b, _ = blocks(h, first, n, k)
-                cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                start, end, first, _, _ = units(data, at, kind)
+                n = np.diff(at_span[lo : hi + 1])
+                of = slice(at_span[lo], at_span[hi])
+                base = np.repeat(first[:-1], n)
                 cover = np.zeros(len(start) + 1, np.int64)
-                w1 = np.zeros(0, np.uint64)
-                left = np.repeat(first[1:], np.diff(first)) - np.arange(len(start))
-                window = np.flatnonzero(left >= n)
-                if len(window):
-                    w1 = np.zeros(len(start), np.uint64)
-                    w1[window] = T.runs_hashed(h[0], window, window + n)
-                    w2 = T.runs_hashed(h[1], window, window + n, 1)
-                    # Windows that start earlier in the same document.
-                    order = np.lexsort((window, w2, w1[window], T.rows_of(window, first)))
-                    o = window[order]
-                    again = (w1[o[1:]] == w1[o[:-1]]) & (w2[order[1:]] == w2[order[:-1]]) & (T.rows_of(o[1:], first) == T.rows_of(o[:-1], first))
-                    np.add.at(cover, o[1:][again], 1)
-                    np.add.at(cover, o[1:][again] + n, -1)
-                whole, single = batch.column(2)[lo:hi].to_pylist(), batch.column(3)[lo:hi].to_pylist()
-                for r in range(hi - lo):
-                    if whole[r]:
-                        i = cut[r] + np.array(sorted(set(whole[r])), np.int64)
-                        np.add.at(cover, a[i], 1)
-                        np.add.at(cover, b[i] + n, -1)
-                    if single[r]:
-                        w = np.arange(first[r], max(first[r], first[r + 1] - n + 1))
-                        w = w[np.isin(w1[w], np.array(single[r], np.int64).view(np.uint64))]
-                        np.add.at(cover, w, 1)
-                        np.add.at(cover, w + n, -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                stay = np.flatnonzero(~gone)
+                np.add.at(cover, of_first[of] + base, 1)
+                np.add.at(cover, of_last[of] + more + base, -1)
+                stay = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
                 size = end[stay] - start[stay] + 1
                 ends = np.cumsum(size)
                 total = int(ends[-1]) if len(ends) else 0
@@ -134,27 +81,9 @@ def _kept(kind: str, n: int, k: int):
     return run
 
 
-def without_repeats(docs: DataFrame, kind: str, n: int, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_units, n_removed, kept_sha256, kept): docs without the units that a window of n units covers which starts earlier too.
-
-    Earlier is in a smaller id, or in the same document further up. Windows are judged on the input. Null texts have no
-    units. Rows without an id are left out; rows that repeat an id are documents of the same place, neither earlier than the other, and each loses
-    what either repeats. An empty table gives an empty result. Other columns are not read.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
-    cut = texts.mapInArrow(_cut(kind, n, k), "pick long, block long, doc_id long, number int")
-    # Picks of one document alone are most; they go before anything else is matched.
-    common = cut.groupBy("pick").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select("pick")
-    cut = shared.written(cut.join(common, "pick", "left_semi"), "blocks")
-    index = cut.groupBy("pick", "block").agg(F.min("doc_id").alias("earliest"))
-    many = index.groupBy("pick").agg((F.min("block") != F.max("block")).alias("many"))
-    state = cut.join(index, ["pick", "block"]).join(many.where("many").select("pick", "many"), "pick", "left")
-    state = state.select("doc_id", F.when(F.col("earliest") < F.col("doc_id"), F.col("number")).alias("copied"), F.when((F.col("earliest") == F.col("doc_id")) & F.col("many"), F.col("number")).alias("open"))
-    state = shared.written(state.where("copied is not null or open is not null").groupBy("doc_id").agg(F.collect_list("copied").alias("copied"), F.collect_list("open").alias("open")), "block-states")
-
-    single = texts.join(state.where(F.size("open") > 0).select("doc_id", "open"), "doc_id").select("doc_id", "text", "open").mapInArrow(_windows_of(kind, n, k), "w1 long, w2 long, doc_id long").distinct()
-    single = shared.written(single, "open-windows")
-    earliest = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select("w1", "w2", "d0")
-    found = single.join(earliest, ["w1", "w2"]).where("d0 < doc_id").groupBy("doc_id").agg(F.collect_list("w1").alias("single"))
-    known = state.select("doc_id", "copied").join(found, "doc_id", "left")
-    return texts.join(known, "doc_id", "left").select("doc_id", "text", "copied", "single").mapInArrow(_kept(kind, n, k), "doc_id long, n_units long, n_removed long, kept_sha256 string, kept string")
+def without(texts: DataFrame, runs: DataFrame, kind: str, more: int) -> DataFrame:
+    """(doc_id, n_units, n_removed, kept_sha256, kept) of every row of placed texts: without units first to last + more - 1 of its runs."""
+    own = runs.groupBy("place", "tie").agg(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))).alias("spans"))
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    joined = texts.join(own.hint("merge"), ["place", "tie"], "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
+    return joined.mapInArrow(_kept(kind, more), "doc_id long, n_units long, n_removed long, kept_sha256 string, kept string")

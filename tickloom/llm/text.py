@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,10 @@ import pyarrow.compute as pc
 SLICE = 1 << 20
 
 _U = np.uint64
-#: Two independent odd bases, for hashes of 64 and of 128 bits.
+#: Two odd numbers, for hashes of 64 and of 128 bits. Each step of a hash is scrambled, so nothing that two texts have in common cancels out.
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+#: Bytes from which on a span is given to BLAKE2b alone.
+LONG = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -33,34 +36,73 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-SEEDED = [mixed(np.arange(1, 257, dtype=np.uint64) * _U(b)) for b in BASES]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse, modulo 2**64, for i up to n."""
-    got = _powers.get(which)
-    if got is None or len(got[0]) <= n:
-        m = max(n + 1, SLICE + 1)
-        base = BASES[which]
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(m, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        got = tuple(both)
-        if m <= 8 * SLICE:
-            _powers[which] = got
-    return got
-
-
-def runs_hashed(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """A hash of values[start:end] for each pair, in a constant number of passes."""
-    up, down = powers(len(values), which)
-    total = np.zeros(len(values) + 1, np.uint64)
+def spans_hashed(b: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: int = 1) -> list[np.ndarray]:
+    """Hashes of the bytes b[start:end] of each pair: eight bytes a step, in as many passes as the longest span has steps."""
+    size = end - start
+    padded = np.append(b, np.zeros(8, np.uint8))
+    lanes = np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))
+    out = [mixed(size.astype(_U) * _U(BASES[k]) + _U(k + 1)) for k in range(hashes)]
+    with np.errstate(over="ignore"):
+        on = np.flatnonzero(size <= LONG)
+        at, left = start[on], size[on]
+        while len(on):
+            lane = lanes[at] & _MASKS[np.minimum(left, 8)]
+            for k in range(hashes):
+                out[k][on] = mixed(out[k][on] * _U(BASES[k]) + lane)
+            more = left > 8
+            on, at, left = on[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG):
+        digest = np.frombuffer(blake2b(b[start[i] : end[i]].tobytes(), digest_size=16).digest(), "<u8")
+        for k in range(hashes):
+            out[k][i] = digest[k]
+    return out
+
+
+def _met(a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(a * _U(BASES[which]) + b)
+
+
+def windows_hashed(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+    """A hash of h[i:i + n] for each i, from hashes of runs of 1, 2, 4, ... values."""
+    m = len(h) - n + 1
+    if m <= 0:
+        return np.zeros(0, _U)
+    level, size, done, out = mixed(h ^ _U(BASES[which])), 1, 0, np.full(m, _U(n))
+    while True:
+        if n & size:
+            out = _met(out, level[done : done + m], which)
+            done += size
+        if done == n:
+            return out
+        level = _met(level[:-size], level[size:], which)
+        size *= 2
+
+
+def runs_hashed(h: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of the sequence h[start:end] for each pair, from hashes of runs of 1, 2, 4, ... values."""
+    n = end - start
+    out, at = mixed(n.astype(_U) ^ _U(BASES[which])), start.copy()
+    level, size = mixed(h ^ _U(BASES[which])), 1
+    most = int(n.max()) if len(n) else 0
+    while size <= most:
+        on = np.flatnonzero(n & size)
+        out[on] = _met(out[on], level[at[on]], which)
+        at[on] += size
+        level = _met(level[:-size], level[size:], which)
+        size *= 2
+    return out
+
+
+def sets_hashed(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of the set values[start:end] for each pair, whatever its order."""
+    total = np.zeros(len(values) + 1, _U)
     with np.errstate(over="ignore"):
-        np.cumsum(values * up[: len(values)], out=total[1:])
-        return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
+        np.cumsum(mixed(mixed(values) ^ _U(BASES[which])), out=total[1:])
+        return mixed((total[end] - total[start]) ^ mixed((end - start).astype(_U) + _U(BASES[which])))
 
 
 def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -93,14 +135,14 @@ def words(data: np.ndarray, at: np.ndarray, table: np.ndarray = IDENTITY, hashes
     opens[inner] |= ink[inner]
     closes[inner - 1] |= ink[inner - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return start, end, np.searchsorted(start, at), [runs_hashed(SEEDED[k][b], start, end, k) for k in range(hashes)]
+    return start, end, np.searchsorted(start, at), spans_hashed(b, start, end, hashes)
 
 
 def grams(h: np.ndarray, first: np.ndarray, n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hash, word position) of each run of n words within one row; h holds the words' hashes."""
     left = np.repeat(first[1:], np.diff(first)) - np.arange(len(h))
     at = np.flatnonzero(left >= n)
-    return runs_hashed(h, at, at + n, which), at
+    return windows_hashed(h, n, which)[at], at
 
 
 def rows_of(at: np.ndarray, first: np.ndarray) -> np.ndarray:

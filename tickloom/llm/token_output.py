@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -10,18 +11,21 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.llm import shared
-from tickloom.llm.text import SEEDED, runs_hashed, slices
+from tickloom.llm.text import slices, spans_hashed
 
 END_ID = 2
 #: Pieces of text whose ids a Python worker remembers at most (some 50 bytes each); beyond, those met once are forgotten.
-CACHE = 2_000_000
+CACHE = 600_000
 #: New pieces that are encoded in one call, and bytes of text that are hashed at once.
-AT_ONCE, CHUNK = 1 << 16, 1 << 21
+AT_ONCE, CHUNK = 1 << 15, 1 << 20
+#: Rows between entries of the row index, and bytes of a stripe.
+STRIDE, STRIPE = 2_000, 16 << 20
 
 _U = np.uint64
 _LETTER, _MARK, _BLANK = (np.zeros(256, bool) for _ in range(3))
@@ -65,7 +69,8 @@ def pieces(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Ids of texts by the tokenizers library, which gets each different piece once.
 
-    Pieces are known by 64 bits of hash and told apart by 64 more.
+    Pieces are known by 64 bits of hash and told apart by 64 more. A text that holds one of the tokenizer's added tokens is one piece, and so is each
+    text of a tokenizer that doesn't cut words as byte-level ones do.
     """
 
     def __init__(self, path: str, most: int = CACHE):
@@ -73,8 +78,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.most = most
+        told = json.loads(self.tokenizer.to_str())
+        first = told.get("pre_tokenizer") or {}
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cuts = told["model"]["type"] == "BPE" and told.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+        self.cuts = self.cuts and not any(c.isspace() for t in self.added for c in t.decode())
         # A byte-level vocabulary writes each byte as one character.
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, k in self.tokenizer.get_vocab().items():
@@ -88,7 +97,8 @@ class Encoder:
         flat, sizes = [], []
         for lo in range(0, len(new), AT_ONCE):
             texts = [w.decode("utf-8", "replace") for w in new[lo : lo + AT_ONCE]]
-            joins = np.fromiter((w[0] == " " and not w[-1].isspace() and "\ufffd" not in w for w in texts), bool, len(texts))
+            whole = [any(t in w for t in self.added) for w in new[lo : lo + AT_ONCE]]
+            joins = np.fromiter((self.cuts and w[0] == " " and not w[-1].isspace() and "\ufffd" not in w and not one for w, one in zip(texts, whole, strict=True)), bool, len(texts))
             joined = [w for w, j in zip(texts, joins, strict=True) if j]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, np.int32)
             ends = np.cumsum(np.fromiter((len(w) for w, j in zip(new[lo : lo + AT_ONCE], joins, strict=True) if j), np.int64, len(joined)))
@@ -118,7 +128,7 @@ class Encoder:
 
     def _numbers(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The number of each piece b[start:end]; new ones are learned."""
-        key, check = (runs_hashed(SEEDED[k][b], start, end, k) for k in (0, 1))
+        key, check = spans_hashed(b, start, end, 2)
         named = pa.array(key).dictionary_encode()
         which, keys = named.indices.to_numpy(), named.dictionary.to_numpy()
         order = np.argsort(keys)
@@ -151,11 +161,27 @@ class Encoder:
         self.keys, self.number = self.keys[mine], renumbered[self.number[mine]]
         self.check, self.met = self.check[stay], np.ones(int(stay.sum()), np.int64)
 
+    def _pieces(self, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """pieces(), but for rows that only the library itself can cut."""
+        start, first = pieces(b, at)
+        whole = np.zeros(len(at) - 1, bool) if self.cuts else np.ones(len(at) - 1, bool)
+        raw = b.tobytes()
+        for token in self.added:
+            found = raw.find(token)
+            while found >= 0:
+                whole[np.searchsorted(at, found, "right") - 1] = True
+                found = raw.find(token, found + 1)
+        if whole.any():
+            row = np.searchsorted(at, start, "right") - 1
+            start = start[~whole[row] | (start == at[row])]
+            first = np.searchsorted(start, at)
+        return start, first
+
     def encode(self, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with END_ID after each row b[at[i]:at[i + 1]], where each row's ids start and one more)."""
-        if len(self.check) > self.most:
+        if len(self.check) > self.most or len(self.flat) > 8 * self.most:
             self._forget()
-        start, first = pieces(b, at)
+        start, first = self._pieces(b, at)
         end = np.r_[start[1:], len(b)]
         number, lo = np.empty(len(start), np.int64), 0
         while lo < len(start):
@@ -176,60 +202,68 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+_SCHEMA = "part int, row long, doc_id long, n_tokens long, ids array<int>"
+
+
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoders.setdefault(path, None) or Encoder(path)
         _encoders[path] = e
+        part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             for lo, hi, data, rows in slices(texts, CHUNK):
                 ids, at = e.encode(data, rows)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(at)), lists], ["doc_id", "n_tokens", "ids"])
+                where = pa.array(np.full(hi - lo, part, np.int32)), pa.array(np.arange(row, row + hi - lo))
+                yield pa.RecordBatch.from_arrays([*where, batch.column(0)[lo:hi], pa.array(np.diff(at)), lists], ["part", "row", "doc_id", "n_tokens", "ids"])
+                row += hi - lo
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes doc_id, n_tokens and ids of every row of docs to ORC files under `path`, in ascending doc_id order over the files.
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", stripe: int = STRIPE, stride: int = STRIDE) -> None:
+    """Writes part, row, doc_id, n_tokens and ids of every row of docs to ORC files under `path`, in ascending doc_id order over the files.
 
-    A null text is empty and has the end id alone; rows with a null id come first; rows that repeat an id stand
-    side by side. An empty table gives a file without rows. Each range of ids is a file of its own, so stripes are
-    read in parallel, and a search for an id skips files, stripes and row groups by their statistics and
-    Bloom filters.
+    A null text is empty and has the end id alone; rows with a null id come first; rows that repeat an id stand side by side, in the
+    order of a hash of their texts. (part, row) is a row's place in that order. An empty table gives a file without rows. Each range of ids is a
+    file of its own, so stripes are read in parallel, and a search for an id skips files, stripes and row groups by their
+    statistics and Bloom filters.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("_tie"))
     # Texts are shuffled rather than ids: they are smaller.
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    out = ordered.mapInArrow(_encoded(tokenizer), "doc_id long, n_tokens long, ids array<int>")
-    (out.write.option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", "2000").option("orc.stripe.size", str(16 << 20)).option("orc.compress", "ZSTD").orc(path))
+    ordered = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
+    out = ordered.mapInArrow(_encoded(tokenizer), _SCHEMA)
+    out.write.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("orc.row.index.stride", str(stride)).option("orc.stripe.size", str(stripe)).option("orc.compress", "ZSTD").orc(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the file they are in."""
-    return spark.read.schema("doc_id long, n_tokens long, ids array<int>").orc(path).select("doc_id", "n_tokens", "ids", F.col("_metadata.file_name").alias("file"))
+def read_tokens(spark: SparkSession, path: str, least: int | None = None, most: int | None = None) -> DataFrame:
+    """part, row, doc_id, n_tokens, ids; of the ids from `least` to `most` alone where these are given: files, stripes and row groups without any are skipped."""
+    rows = spark.read.schema(_SCHEMA).orc(path)
+    rows = rows if least is None else rows.where(F.col("doc_id") >= least)
+    return rows if most is None else rows.where(F.col("doc_id") <= most)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column(1)
+        lists = batch.column(3)
         at = lists.offsets.to_numpy()
         raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False).astype("<u4"))).cast("B")
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), batch.column(2)], ["doc_id", "n_tokens", "ids_crc32", "file"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["part", "row", "doc_id", "n_tokens", "ids_crc32"])
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each row of the files: start counts the ids of all rows before it.
 
-    Files follow each other in the order of their names; only one sum a file is added up across files.
+    Parts follow each other by their numbers, rows by theirs; only one sum a part is added up across parts.
     """
     tokens = read_tokens(spark, path)
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = tokens.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("file_start"))
-    rows = tokens.select("doc_id", "ids", "file").mapInArrow(_summed, "doc_id long, n_tokens long, ids_crc32 long, file string")
-    inside = Window.partitionBy("file").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(files, "file").withColumn("start", F.col("file_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
+    rows = tokens.select("part", "row", "doc_id", "ids").mapInArrow(_summed, "part int, row long, doc_id long, n_tokens long, ids_crc32 long")
+    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(parts, "part").withColumn("start", F.col("part_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
