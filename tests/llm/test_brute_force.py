@@ -309,19 +309,18 @@ def brute_perplexity(trusted, docs):
     d, e = of(c.values()), of(before.values())
     n, size = sum(before.values()), len(before)
     rest = sum(e[min(x, 3) - 1] for x in before.values()) / n
-    known = {w for w in total if total[w] > 1} | {"<s>", "</s>"}
     u = {w: (before[w] - e[min(before[w], 3) - 1]) / n + rest / (size + 1) for w in before}
-    once = [w for w in total if total[w] == 1 and w != "<s>"]
-    unknown = (sum((1 - e[0]) / n + rest / (size + 1) for _ in once) + rest / (size + 1)) / (len(once) + 1)
-    g = {v: (follow[v][1] + d[1] * follow[v][2] + d[2] * follow[v][3]) / total[v] for v in total if v in known}
+    unknown = rest / (size + 1)
+    assert math.isclose(sum(u.values()) + unknown, 1)
+    g = {v: sum(d[k - 1] * follow[v][k] for k in (1, 2, 3)) / total[v] for v in total}
+    assert all(math.isclose(sum((k - d[min(k, 3) - 1]) / total[v] for (x, _), k in c.items() if x == v) + g[v], 1) for v in list(total)[:50])
     out = {}
     for i, t in docs:
         if w := words(t):
             s = 0.0
             for a, b in zip(["<s>", *w], [*w, "</s>"], strict=True):
-                p = g.get(a, 1.0) * (u[b] if b in known else unknown)
                 k = c[a, b]
-                s += math.log(p + (k - d[min(k, 3) - 1]) / total[a] if k > 1 else p)
+                s += math.log(g.get(a, 1.0) * u.get(b, unknown) + ((k - d[min(k, 3) - 1]) / total[a] if k else 0.0))
             out[i] = math.exp(-s / (len(w) + 1))
     return out
 
@@ -343,7 +342,7 @@ def test_quality_is_kneser_ney(spark):
 def test_quality_of_a_model_is_a_distribution(spark):
     model = quality.train(spark.createDataFrame([("a b a b a c b a b a b b a c a b",)] * 3, "text string"))
     key = {r.key: r.delta for r in model.table.collect()}
-    words = {w: int(quality.T.words(np.frombuffer(w.encode(), np.uint8), np.array([0, 1]))[3][0][0] >> np.uint64(16)) for w in "abc"}
+    words = {w: int(quality.T.words(np.frombuffer(w.encode(), np.uint8), np.array([0, 1]))[3][0][0]) for w in "abc"}
     docs = spark.createDataFrame([(k, f"a {w}") for k, w in enumerate("abc")], "doc_id long, text string")
     assert len(key) > 6 and len(set(words.values())) == 3
     assert all(r.logp < 0 for r in quality.log_probabilities(docs, model, extra=("doc_id",)).collect())

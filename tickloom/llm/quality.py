@@ -1,10 +1,10 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney bigram model that is trained on trusted text.
 
-Every trusted document is counted. Bigrams and words that were seen once are left out of the tables, as count cutoffs do; what they had goes to the
-lower order, and words seen once are the unknown word. With g(v) the log weight that v leaves to the lower order and u(w) the log
-probability of w there, a document's log probability is the sum over its words of g + u, and of a correction for each bigram in the
-model. So all of the model is one table (key, delta), keyed by hashes of words and of bigrams, and scoring is a join of counts with it. The
-most frequent keys, a bounded number, are sent to all tasks; documents ask the rest by a shuffled join, behind a filter of bounded size.
+Every trusted document is counted, and every bigram and word of it is in the model, those seen once with their own discount. With g(v) the log weight that v
+leaves to the lower order and u(w) the log probability of w there, a document's log probability is the sum over its words of g + u, and of
+a correction for each bigram in the model. So all of the model is one table (key, delta), keyed by hashes of words and of bigrams, and scoring is a
+join of counts with it. The most frequent keys, a bounded number, are sent to all tasks; documents ask for the others by shards: what a slice of
+documents asks of a shard is one packed row, and what comes back are sums.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from tickloom.llm import text as T
 
 #: Share of each language's documents that stay.
 KEEP = 0.9
-#: Entries of the model that are sent to all tasks at most, and rows of word statistics that may be broadcast.
-HEAD = 1 << 22
-#: Bigrams a task holds before it hands them on, salts over which the followers of one word are spread, bits of the filter.
-HELD, SALTS, FILTER_BITS = 1 << 21, 16, 1 << 25
-#: Begin and end of a document among the words' hashes of 48 bits.
+#: Entries of the model that are sent to all tasks at most.
+HEAD = 1 << 20
+#: Bigrams a task holds before it hands them on, salts over which the followers of one word are spread, bits of the filter, bytes of text that ask together, entries a shard has about.
+HELD, SALTS, FILTER_BITS, SLICE, SHARD = 1 << 21, 16, 1 << 25, 4 << 20, 1 << 20
+#: Begin and end of a document among the words' hashes.
 BEGIN, END = 0, 1
 #: Log probabilities are sums of integers in this unit, so they don't depend on the order of addition.
 UNIT = 1 << 16
@@ -46,7 +46,7 @@ def _sequences(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     seq = np.empty(int(n.sum()) + 2 * len(r), _U)
     inner = np.ones(len(seq), bool)
     inner[at] = inner[at + n + 1] = False
-    seq[inner] = np.maximum(h >> _U(16), _U(2))
+    seq[inner] = np.maximum(h, _U(2))
     seq[at], seq[at + n + 1] = BEGIN, END
     ok = np.ones(max(0, len(seq) - 1), bool)
     ok[(at + n + 1)[:-1]] = False
@@ -62,14 +62,12 @@ def _shard_of(v: np.ndarray, shards: int) -> np.ndarray:
     return (T.mixed(v) % _U(shards)).astype(np.int64)
 
 
-def _six(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _eight(x: np.ndarray) -> bytes:
+    return x.astype("<u8").tobytes()
 
 
-def _unsix(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(_U)
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<u8").astype(_U)
 
 
 def _squeezed(x: np.ndarray) -> bytes:
@@ -101,7 +99,7 @@ def _counted(shards: int):
         cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             opens = np.flatnonzero(np.r_[True, v[lo + 1 : hi] != v[lo : hi - 1], True])
-            for k, x in enumerate((int(shard[lo]), _six(v[lo:hi][opens[:-1]]), _squeezed(np.diff(opens)), _six(w[lo:hi]), _squeezed(c[lo:hi]))):
+            for k, x in enumerate((int(shard[lo]), _eight(v[lo:hi][opens[:-1]]), _squeezed(np.diff(opens)), _eight(w[lo:hi]), _squeezed(c[lo:hi]))):
                 out[k].append(x)
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], names)
 
@@ -147,20 +145,19 @@ def _histogram(c: np.ndarray) -> np.ndarray:
 
 
 def _reduced(shards: int):
-    """From a task's shards: bigrams seen twice or more, sums for each of their words, and how often counts occur."""
+    """From a task's shards: bigrams, sums for each of their words, and how often counts occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         for batch in batches:
             for v, runs, w, c in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
-                parts.append((np.repeat(_unsix(v), _unsqueezed(runs)), _unsix(w), _unsqueezed(c)))
+                parts.append((np.repeat(_unpacked(v), _unsqueezed(runs)), _unpacked(w), _unsqueezed(c)))
         if not parts:
             return
         v, w, c = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         parts.clear()
         yield _blobs("pairs", [0], [b""], [_squeezed(_histogram(c))])
-        keep = c > 1
-        yield from _entries("pair", v[keep], w[keep], c[keep])
+        yield from _entries("pair", v, w, c)
         # Columns: distinct contexts before, and distinct followers seen once, twice and oftener, and all followers.
         words, at = np.unique(np.concatenate([v, w]), return_inverse=True)
         after, before = at[: len(v)], at[len(v) :]
@@ -168,7 +165,7 @@ def _reduced(shards: int):
         shard = _shard_of(words, shards)
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
-        blobs = [(int(shard[order[lo]]), _six(words[order[lo:hi]]), _squeezed(np.concatenate([s[order[lo:hi]] for s in stats]))) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        blobs = [(int(shard[order[lo]]), _eight(words[order[lo:hi]]), _squeezed(np.concatenate([s[order[lo:hi]] for s in stats]))) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
         yield _blobs("word", *map(list, zip(*blobs, strict=True)))
 
     return run
@@ -182,7 +179,7 @@ def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, stats = [], []
     for batch in batches:
         for x, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words.append(_unsix(x))
+            words.append(_unpacked(x))
             stats.append(_unsqueezed(s).reshape(5, -1))
     if not words:
         return
@@ -191,13 +188,12 @@ def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = [np.bincount(at, x, len(seen)).astype(np.int64) for x in each]
     before, total = sums[0], sums[4]
     said = seen != BEGIN
-    # How often counts of contexts before occur, their sum, and how many words were seen once.
-    hist = np.r_[_histogram(before[said]), before.sum(), ((total < 2) & (seen > END)).sum(), _histogram(total)]
+    # How often counts of contexts before and of words occur.
+    hist = np.r_[_histogram(before[said]), before.sum(), _histogram(total)]
     yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 6, pa.array([_squeezed(hist)], pa.binary())], names)
-    keep = np.flatnonzero((total > 1) | (seen <= END))
-    for lo in range(0, len(keep), 1 << 17):
-        k = keep[lo : lo + (1 << 17)]
-        yield pa.RecordBatch.from_arrays([pa.array(T.signed(seen[k])), *[pa.array(s[k]) for s in sums], pa.nulls(len(k), pa.binary())], names)
+    for lo in range(0, len(seen), 1 << 17):
+        k = slice(lo, lo + (1 << 17))
+        yield pa.RecordBatch.from_arrays([pa.array(T.signed(seen[k])), *[pa.array(s[k]) for s in sums], pa.nulls(len(seen[k]), pa.binary())], names)
 
 
 def discounts(n: np.ndarray) -> tuple[float, float, float]:
@@ -238,33 +234,29 @@ def train(trusted: DataFrame, head: int = HEAD, text_col: str = "text") -> Model
         return None
     pairs = np.sum(pairs, 0)
     told = np.sum([_unsqueezed(bytes(r.hist)) for r in words.where("hist is not null").select("hist").toLocalIterator()], 0)
-    befores, n, once, totals = told[: _MOST + 1], int(told[_MOST + 1]), int(told[_MOST + 2]), told[_MOST + 3 :]
+    befores, n, totals = told[: _MOST + 1], int(told[_MOST + 1]), told[_MOST + 2 :]
     size = int(befores.sum())
     d, e = discounts(pairs), discounts(befores)
     rest = (e[0] * befores[1] + e[1] * befores[2] + e[2] * befores[3:].sum()) / n
-    unknown = math.log((once * (1 - e[0]) / n + rest * (once + 1) / (size + 1)) / (once + 1))
+    unknown = math.log(rest / (size + 1))
 
     def less(c: str, by: tuple[float, float, float]):
         return F.col(c) - F.when(F.col(c) == 1, by[0]).when(F.col(c) == 2, by[1]).otherwise(by[2])
 
     words = words.where("hist is null")
-    left = (F.col("n1") + F.col("n2") * d[1] + F.col("n3") * d[2]) / F.col("total")
+    left = (F.col("n1") * d[0] + F.col("n2") * d[1] + F.col("n3") * d[2]) / F.col("total")
     words = words.select("word", "total", F.when(F.col("total") > 0, F.log(left)).otherwise(0.0).alias("g"), F.log(F.greatest(less("before", e), F.lit(0.0)) / n + rest / (size + 1)).alias("u"))
     words = shared.written(words, "lm-word-stats")
-    few = int(totals[2:].sum()) + 2 <= head
-    sent = F.broadcast if few else (lambda x: x)
     context = words.select(F.col("word").alias("a"), "total", "g")
     follower = words.select(F.col("word").alias("b"), "u")
-    met = reduced.where("kind = 'pair'").select("a", "b", "c").join(sent(context), "a").join(sent(follower), "b")
+    met = reduced.where("kind = 'pair'").select("a", "b", "c").join(context.hint("merge"), "a").join(follower.hint("merge"), "b")
     seen = less("c", d) / F.col("total")
     delta = F.log(seen + F.exp(F.col("g") + F.col("u"))) - F.col("g") - F.col("u")
     met = met.select("a", "b", F.round(delta * UNIT).cast("int").alias("delta"), F.col("c").alias("often")).mapInArrow(_keyed, "key long, delta int, often long")
-    alone = words.where(F.col("word") > END).select(F.col("word").alias("key"), F.round((F.col("g") + F.col("u") - unknown) * UNIT).cast("int").alias("delta"), F.col("total").alias("often"))
-    ends = {r.word: (r.g, r.u) for r in words.where(F.col("word") <= END).collect()}
-    hist = pairs.copy()
-    hist[:2] = 0
-    hist = hist + totals
-    hist[:2] = 0
+    alone = words.where(~F.col("word").isin(BEGIN, END)).select(F.col("word").alias("key"), F.round((F.col("g") + F.col("u") - unknown) * UNIT).cast("int").alias("delta"), F.col("total").alias("often"))
+    ends = {r.word: (r.g, r.u) for r in words.where(F.col("word").isin(BEGIN, END)).collect()}
+    hist = pairs + totals
+    hist[0] = 0
     return Model(met.unionByName(alone), round(unknown * UNIT), round((ends[BEGIN][0] + ends[END][1]) * UNIT), hist)
 
 
@@ -315,7 +307,7 @@ def log_probabilities(docs: DataFrame, model: Model, head: int = HEAD, extra: tu
     top = [(np.frombuffer(bytes(r.k), "<i8"), np.frombuffer(bytes(r.d), "<i4")) for r in top.mapInArrow(_packed, "k binary, d binary").toLocalIterator()]
     keys, values = (np.concatenate([x[k] for x in top]) if top else np.zeros(0, t) for k, t in enumerate((np.int64, np.int32)))
     tail = model.table.where(F.col("often") < least).select("key", "delta") if model.hist[:least].any() else None
-    bits = None
+    shards, bits = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(model.hist[:least].sum()) // SHARD + 1), None
     if tail is not None:
         tail = shared.written(tail, "lm-tail")
         bit = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
@@ -333,7 +325,7 @@ def log_probabilities(docs: DataFrame, model: Model, head: int = HEAD, extra: tu
             tables.append((Lookup(k.view(_U), v), some))
         table, some = tables[0]
         for batch in batches:
-            for lo, hi, data, at in T.slices(batch.column(0)):
+            for lo, hi, data, at in T.slices(batch.column(0), SLICE):
                 _, _, first, (h,) = T.words(data, at, T.LOWER)
                 v, w, row = _sequences(h, first)
                 n = np.diff(first)
@@ -342,24 +334,72 @@ def log_probabilities(docs: DataFrame, model: Model, head: int = HEAD, extra: tu
                 row = np.concatenate([row, row[own]])
                 delta, found = table.get(key)
                 logp = np.where(n > 0, n * unknown + ends, 0) + np.bincount(row, delta, hi - lo).astype(np.int64)
-                ask, sizes = np.zeros(0, np.int64), np.zeros(hi - lo, np.int64)
+                none = [pa.nulls(hi - lo, t) for t in (pa.int32(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k)[lo:hi] for k in range(1, batch.num_columns)], pa.array(n), pa.array(logp), *none], names)
                 if some is not None:
                     low = (key & _U(FILTER_BITS - 1)).astype(np.int64)
                     maybe = np.flatnonzero(~found & ((some[low >> 5] >> (low & 31).astype(np.uint32)) & 1 == 1))
-                    maybe = maybe[np.argsort(row[maybe], kind="stable")]
-                    ask, sizes = T.signed(key[maybe]), np.bincount(row[maybe], minlength=hi - lo)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ask))
-                yield pa.RecordBatch.from_arrays([*[batch.column(k)[lo:hi] for k in range(1, batch.num_columns)], pa.array(n), pa.array(logp), lists], [*extra, "_rid", "n_words", "logp", "ask"])
+                    yield _asked(_shard_of(key[maybe], shards), key[maybe], row[maybe].astype(np.int32), batch.column(batch.num_columns - 1)[lo].as_py())
+
+    def _asked(shard: np.ndarray, key: np.ndarray, row: np.ndarray, rid: int) -> pa.RecordBatch:
+        """A row for each shard: the number of the slice's first document, and for each key asked of the shard the key and the document."""
+        order = np.lexsort((row, shard))
+        shard, key, row = shard[order], key[order], row[order]
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else np.zeros(1, np.int64)
+        own = [[f(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x, f in ((key, lambda y: y.tobytes()), (row, lambda y: zlib.compress(np.diff(y, prepend=0).astype("<i4").tobytes(), 1)))]
+        m = len(cuts) - 1
+        empty = [pa.nulls(m, schema[c]) for c in extra]
+        numbers = [pa.array(np.full(m, rid)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(shard[cuts[:-1]].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*empty, *numbers, pa.array(own[0], pa.binary()), pa.array(own[1], pa.binary())], names)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, delta = batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy().astype("<i4")
+            shard = _shard_of(key, shards)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)) if len(shard) else np.zeros(1, np.int64)
+            parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[p[0]]) for p in parts], pa.int32()), pa.array([key[p].tobytes() for p in parts], pa.binary()), pa.array([delta[p].tobytes() for p in parts], pa.binary())], ["shard", "keys", "rows"])
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of deltas for each document that asks, from rows (shard, rid, keys, rows) sorted by shard, those of the model, without rid, first."""
+        at, table, parts = -1, None, []
+        for batch in batches:
+            rids, sums = [], []
+            for shard, rid, keys_, rows_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != at:
+                    at, table, parts = shard, None, []
+                if rid is None:
+                    parts.append((np.frombuffer(keys_, "<u8").astype(_U), np.frombuffer(rows_, "<i4")))
+                    continue
+                if table is None:
+                    table = Lookup(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else Lookup(np.zeros(0, _U), np.zeros(0, np.int32))
+                    parts = []
+                delta, _ = table.get(np.frombuffer(keys_, "<u8").astype(_U))
+                row = np.cumsum(np.frombuffer(zlib.decompress(rows_), "<i4").astype(np.int64))
+                total = np.bincount(row, delta).astype(np.int64)
+                some = np.flatnonzero(total)
+                rids.append(some + rid)
+                sums.append(total[some])
+            if rids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rids)), pa.array(np.concatenate(sums))], ["_rid", "more"])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*[f"`{c}` {types[c]}" for c in extra], "_rid long, n_words long, logp long, ask array<long>"])
-    scored = docs.select("text", *extra, F.monotonically_increasing_id().alias("_rid")).mapInArrow(run, schema)
+    names = [*extra, "_rid", "n_words", "logp", "shard", "keys", "rows"]
+    schema = {f.name: f.type for f in to_arrow_schema(docs.select(*extra).schema)}
+    out = ", ".join([*[f"`{c}` {types[c]}" for c in extra], "_rid long, n_words long, logp long, shard int, keys binary, rows binary"])
+    scored = docs.select("text", *extra, F.monotonically_increasing_id().alias("_rid")).mapInArrow(run, out)
     if tail is None:
-        return scored.drop("_rid", "ask")
+        return scored.drop("_rid", "shard", "keys", "rows")
     scored = shared.written(scored, "lm-scores")
-    asked = scored.select("_rid", F.explode("ask").alias("key")).groupBy("_rid", "key").agg(F.count("*").alias("times"))
-    more = asked.join(tail, "key").groupBy("_rid").agg(F.sum(F.col("times") * F.col("delta")).alias("more"))
-    return scored.drop("ask").join(more, "_rid", "left").withColumn("logp", F.col("logp") + F.coalesce("more", F.lit(0))).drop("_rid", "more")
+    asks = scored.where("shard is not null").select("shard", "_rid", "keys", "rows")
+    known = tail.mapInArrow(packed, "shard int, keys binary, rows binary").select("shard", F.lit(None).cast("long").alias("_rid"), "keys", "rows")
+    met = known.unionByName(asks).repartition(shards, "shard").sortWithinPartitions("shard", F.col("_rid").asc_nulls_first())
+    more = met.mapInArrow(answered, "_rid long, more long").groupBy("_rid").agg(F.sum("more").alias("more"))
+    own = scored.where("shard is null").drop("shard", "keys", "rows")
+    return own.join(more.hint("merge"), "_rid", "left").withColumn("logp", F.col("logp") + F.coalesce("more", F.lit(0))).drop("_rid", "more")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,6 +440,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted are the documents that labels call good."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = labels.where("quality > 0").select("doc_id").distinct()
-    # Ids go to the texts rather than texts through a shuffle, as long as they are few.
-    few = good.count() <= HEAD
-    return classify(docs, docs.join(F.broadcast(good) if few else good, "doc_id", "left_semi"))
+    return classify(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
