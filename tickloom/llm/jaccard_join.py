@@ -300,14 +300,8 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return alone.unionByName(keyed)
 
 
-def _stars(members: DataFrame, percent: int) -> DataFrame | None:
-    """(class_id, label, n, key, tile): classes that share an element with more than a tile holds, each with the smallest class of its band and one such element. None if there are none."""
-    sizes = shared.written(members.groupBy("element").agg(F.count("*").alias("n")), "element-sizes")
-    large = sizes.where(F.col("n") > TILE)
-    if large.isEmpty():
-        return None
-    rows = shared.spread_join(members.select("element", "class_id", "n"), large.select("element"), ["element"], sizes, ["class_id"]).withColumn("band", _band(percent))
-    rows = shared.written(rows, "star-members")
+def _stars(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """((class_id, label, n, key, tile), tables read): each class of rows (element, class_id, n, band) with the smallest class of its band that it shares most elements with."""
     hubs = shared.written(rows.groupBy("element", "band").agg(F.min("class_id").alias("hub"), F.count("*").alias("n")), "star-hubs")
     met = shared.spread_join(rows, hubs.drop("n"), ["element", "band"], hubs, ["class_id"]).where("hub <> class_id").groupBy("class_id", "hub").agg(F.count("*").alias("times"), F.max("n").alias("n"))
     best = shared.written(met.groupBy("class_id").agg(F.min_by("hub", F.struct(-F.col("times"), F.col("hub"))).alias("hub"), F.max("n").alias("n")), "stars")
@@ -316,7 +310,7 @@ def _stars(members: DataFrame, percent: int) -> DataFrame | None:
     rays = dealt.select("class_id", F.col("class_id").alias("label"), "n", F.xxhash64("hub", F.pmod(F.xxhash64("class_id"), F.col("tiles"))).alias("key"), F.lit(1).cast("long").alias("tile"))
     middle = per.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / TILE) - 1)))
     middle = middle.select(F.col("hub").alias("class_id"), F.col("hub").alias("label"), F.lit(0).alias("n"), F.xxhash64("hub", "sub").alias("key"), F.lit(0).cast("long").alias("tile"))
-    return rays.unionByName(middle)
+    return rays.unionByName(middle), [hubs, best, per]
 
 
 def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, tie_col: str | None = None) -> DataFrame:
@@ -349,27 +343,38 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
         one = texts.join(keyed.hint("merge"), texts["node"] == keyed["class_id"]).select("key", "tile", "class_id", "label", "text")
         return shared.written(one.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_verified(n, percent), _PAIR), "jaccard-links")
 
-    stars = _stars(members, percent)
-    met = spark.createDataFrame([], _PAIR) if stars is None else links(stars)
-    named = classes.select("class_id", "n").distinct()
-    if stars is None:
-        labelled = members.withColumn("label", F.col("class_id"))
+    # Elements with more classes than a tile holds; all others are a task each.
+    large = shared.written(members.groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "large-elements")
+    small = members.join(large.select("element").hint("merge"), "element", "left_anti")
+    keyed = small.select("class_id", F.col("class_id").alias("label"), "n", F.xxhash64("element").alias("key"), F.lit(0).cast("long").alias("tile"))
+    over = [common, members, large]
+    if large.isEmpty():
+        met, labels = spark.createDataFrame([], _PAIR), None
     else:
-        labels = graph.components(met)
-        labelled = members.join(labels.select(F.col("node").alias("class_id"), F.col("component").alias("label")).hint("merge"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
-        open_ = labelled.groupBy("element").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most")
-        open_ = shared.written(open_.select("element", "n"), "open-elements")
-        labelled = shared.written(shared.spread_join(labelled, open_.select("element"), ["element"], open_, ["class_id"]), "labelled-members")
-        named = named.join(labels.select(F.col("node").alias("class_id"), F.col("component").alias("label")).hint("merge"), "class_id", "left")
-    keyed = _tile_pairs(labelled.select(F.col("element").alias("block"), "class_id", "n", "label"), percent)
+        wide = shared.written(shared.spread_join(members, large.select("element"), ["element"], large, ["class_id"]).withColumn("band", _band(percent)), "star-members")
+        stars, used = _stars(wide)
+        met = links(stars)
+        # The smallest of a component and the class itself: its label.
+        labels = graph.components(met).select(F.col("node").alias("class_id"), F.col("component").alias("label")).unionByName(wide.select("class_id", F.col("class_id").alias("label")))
+        labels = shared.written(labels.groupBy("class_id").agg(F.min("label").alias("label")), "star-labels")
+        wide = shared.written(wide.join(labels.hint("merge"), "class_id"), "star-labelled")
+        parted = wide.groupBy("element").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most")
+        parted = shared.written(parted.select("element", "n"), "open-elements")
+        open_ = shared.spread_join(wide, parted.select("element"), ["element"], parted, ["class_id"]).select(F.col("element").alias("block"), "class_id", "n", "label")
+        keyed = keyed.unionByName(_tile_pairs(open_, percent))
+        over += [wide, parted, met, *used]
     tasks = keyed.join(classes.select("class_id", "n", "bits").hint("merge"), ["class_id", "n"]).select("key", "tile", "class_id", "label", "n", "bits")
     candidates = tasks.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_candidates(percent), _PAIR)
     blocks = graph.components(candidates.unionByName(met)).select(F.col("node").alias("class_id"), F.col("component").alias("block"))
-    named = named if "label" in named.columns else named.withColumn("label", F.col("class_id"))
-    blocks = shared.written(blocks.join(named.hint("merge"), "class_id").select("block", "class_id", "n", F.coalesce("label", "class_id").alias("label")), "jaccard-blocks")
+    blocks = blocks.join(classes.select("class_id", "n").distinct().hint("merge"), "class_id")
+    own = blocks.select("class_id", F.col("class_id").alias("label"))
+    own = own if labels is None else own.unionByName(labels).groupBy("class_id").agg(F.min("label").alias("label"))
+    blocks = shared.written(blocks.join(own.hint("merge"), "class_id").select("block", "class_id", "n", "label"), "jaccard-blocks")
     parted = shared.written(blocks.groupBy("block").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most").select("block", "n"), "parted-blocks")
     parts = shared.spread_join(blocks, parted.select("block"), ["block"], parted, ["class_id"])
-    joined = graph.components(links(_tile_pairs(parts, percent)).unionByName(met)).withColumnRenamed("node", "class_id")
+    found = links(_tile_pairs(parts, percent))
+    joined = graph.components(found.unionByName(met)).withColumnRenamed("node", "class_id")
+    shared.removed(*over, blocks, parted, found)
 
     found = classes.select("k1", "k2", "class_id", F.col("copies").alias("n")).join(joined.hint("merge"), "class_id", "left").select("k1", "k2", F.coalesce("component", "class_id").alias("component"), "n")
     found = shared.written(found, "class-components")
