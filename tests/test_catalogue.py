@@ -13,13 +13,8 @@ def test_query_equals_sql(spark, name, sf):
     same(Q[name](spark, f"{DATA}/{sf}"), SQL[name], f"{DATA}/{sf}")
 
 
-@pytest.mark.parametrize("name", sorted(set(Q) - set(SQL)))
-def test_query_has_rows(spark, name):
-    assert Q[name](spark, f"{DATA}/sf0.01").count() > 0
-
-
-def test_sim_identities(spark):
-    assert Q["sim_identities"](spark, f"{DATA}/sf0.01").first()[0] < 1e-6
+def test_every_query_has_sql():
+    assert set(Q) == set(SQL)
 
 
 def test_entry(spark):

@@ -32,3 +32,29 @@ def skew(r: Column) -> Column:
 def beta(r: Column, b: Column) -> Column:
     """The sample covariance over the population variance: the definition that published figures use."""
     return F.try_divide(F.covar_samp(r, b), F.var_pop(b))
+
+
+def cagr(r: Column, years_: Column) -> Column:
+    """Compounded growth a year; null where all is lost."""
+    total = F.product(1 + r)
+    return F.when(total > 0, F.pow(total, 1 / years_) - 1)
+
+
+def cagr_of_count(r: Column, per_year: int = DAYS) -> Column:
+    total = F.product(1 + r)
+    return F.when(total > 0, F.pow(total, F.lit(float(per_year)) / F.count(r)) - 1)
+
+
+def sortino(r: Column) -> Column:
+    """Mean over the standard deviation of the losses, by year."""
+    return F.try_divide(F.avg(r) * DAYS, F.stddev_samp(F.when(r < 0, r)) * F.sqrt(F.lit(float(DAYS))))
+
+
+def hit_rate(r: Column) -> Column:
+    """Share of gains among days that aren't 0."""
+    return F.avg(F.when(r != 0, (r > 0).cast("int")))
+
+
+def gains_ratio(part: Column, whole: Column) -> Column:
+    """A ratio of sums, null over 0."""
+    return F.try_divide(F.sum(part), F.sum(whole))

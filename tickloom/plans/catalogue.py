@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from tickloom.functions import metrics
 from tickloom.functions.windows import carried, rolling, run_id, wealth
 from tickloom.operators import features as X
-from tickloom.operators import inference, simulate
-from tickloom.sources.bars import BARS_SQL, DAILY_SQL, bars, benchmark, daily, grid, table
+from tickloom.operators import inference, sessions
+from tickloom.sources.bars import BARS_SQL, DAILY_SQL, bars, benchmark, calendar, daily, grid, table
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -124,13 +124,52 @@ def missing_positions_pivot(spark, sf):
     return bars(spark, sf).select("d").distinct().join(counts, "d", "left").fillna(0, ["leading", "interior", "trailing"])
 
 
-@query(""", s AS (SELECT d, count(close) AS n, min(m) FILTER (close IS NOT NULL) a, max(m) FILTER (close IS NOT NULL) z FROM grid GROUP BY 1)
- SELECT d, CASE WHEN n = 0 THEN 'absent' WHEN n = 24 THEN 'complete' WHEN n < 12 THEN 'sparse' WHEN a > 1 OR z < 24 THEN 'truncated' ELSE 'interior_gap' END AS quality, n = 24 AS strict, n >= 22 AS usable FROM s""", BARS_SQL)
+HALTS = [(0, 5, 9), (0, 8, 11), (3, 20, 30), (4, -2, 1)]
+_HALTS_SQL = """h AS (SELECT DISTINCT d, m FROM (SELECT c.d, unnest(range(a, b + 1))::INT AS m FROM cal c JOIN (VALUES (0, 5, 9), (0, 8, 11), (3, 20, 30), (4, -2, 1)) t(k, a, b) ON c.n % 7 = k) WHERE m BETWEEN 1 AND 24)"""
+_DIAGNOSED = (
+    """, cal AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS n FROM (SELECT DISTINCT d FROM grid)), """
+    + _HALTS_SQL
+    + """, o AS (SELECT d, m, sum(volume) AS volume FROM bars GROUP BY 1, 2), g AS (
+  SELECT g.d, g.m, o.m IS NOT NULL AS observed, h.m IS NOT NULL AS halt, volume FROM (SELECT d, m FROM grid) g LEFT JOIN o ON o.d = g.d AND o.m = g.m LEFT JOIN h ON h.d = g.d AND h.m = g.m
+), g2 AS (SELECT *, min(CASE WHEN observed THEN m END) OVER (PARTITION BY d) AS a, max(CASE WHEN observed THEN m END) OVER (PARTITION BY d) AS z FROM g
+), s AS (SELECT d, count(*) FILTER (halt) AS halted, count(*) FILTER (NOT halt) AS required, count(*) FILTER (observed) AS observed, count(*) FILTER (NOT halt AND NOT observed) AS missing, count(*) FILTER (halt AND observed) AS present_in_halt,
+  count(*) FILTER (NOT halt AND NOT observed AND (a IS NULL OR m < a)) AS "leading", count(*) FILTER (NOT halt AND NOT observed AND m > a AND m < z) AS interior, count(*) FILTER (NOT halt AND NOT observed AND m > z) AS "trailing", coalesce(sum(volume), 0)::BIGINT AS volume FROM g2 GROUP BY 1)"""
+)
+
+
+def halted(spark, sf) -> DataFrame:
+    """(d, m) of halted minutes: windows that overlap and reach out of the session, on some days of the calendar."""
+    n = calendar(spark, sf).select("d", (F.row_number().over(day()) - 1).alias("n"))
+    h = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, HALTS)) + " AS t(k, a, b)")
+    opens = F.col("d").cast("timestamp")
+    at = lambda c: opens + F.make_dt_interval(mins=F.col(c) - 1)
+    windows = n.join(F.broadcast(h), F.col("n") % 7 == F.col("k")).select("d", at("a").alias("starts"), at("b").alias("ends"))
+    return sessions.halt_minutes(calendar(spark, sf).select("d", opens.alias("opens"), F.lit(24).alias("bars")), windows)
+
+
+def diagnosed(spark, sf) -> DataFrame:
+    return sessions.diagnostics(bars(spark, sf).select("d", "m", "volume"), calendar(spark, sf).withColumn("bars", F.lit(24)), halted(spark, sf))
+
+
+@query(_DIAGNOSED + ' SELECT d, halted, required, observed, missing, present_in_halt, "leading", interior, "trailing", volume FROM s', BARS_SQL)
+def session_diagnostics(spark, sf):
+    return diagnosed(spark, sf).select("d", "halted", "required", "observed", "missing", "present_in_halt", "leading", "interior", "trailing", "volume")
+
+
+@query(_DIAGNOSED + """, q AS (SELECT *, CASE WHEN observed = 0 THEN 'absent' WHEN missing = 0 AND halted > 0 THEN 'halt_adjusted' WHEN missing = 0 THEN 'complete' WHEN observed < 0.5 * required THEN 'sparse' WHEN "leading" + "trailing" >= interior THEN 'truncated' ELSE 'interior_gap' END AS quality FROM s)
+ SELECT d, quality, quality = 'complete' AS paper_ready, quality IN ('complete', 'halt_adjusted') AS halt_usable, quality NOT IN ('absent', 'sparse') AS exploratory FROM q""", BARS_SQL)
 def session_grading(spark, sf):
-    s = session_minute_sets(spark, sf)
-    n = F.col("observed")
-    grade = F.when(n == 0, "absent").when(n == 24, "complete").when(n < 12, "sparse").when((F.col("first_m") > 1) | (F.col("last_m") < 24), "truncated").otherwise("interior_gap")
-    return s.select("d", grade.alias("quality"), (n == 24).alias("strict"), (n >= 22).alias("usable"))
+    """Bars in a halt are let pass here."""
+    return sessions.graded(diagnosed(spark, sf), "present").select("d", "quality", "paper_ready", "halt_usable", "exploratory")
+
+
+@query(_DIAGNOSED + """, q AS (SELECT CASE WHEN observed = 0 THEN 'absent' WHEN halted > 0 AND present_in_halt > 0 THEN 'halt_anomaly' WHEN missing = 0 AND halted > 0 THEN 'halt_adjusted' WHEN missing = 0 THEN 'complete' WHEN observed < 0.5 * required THEN 'sparse' WHEN "leading" + "trailing" >= interior THEN 'truncated' ELSE 'interior_gap' END AS quality FROM s)
+ SELECT k AS quality, count(q.quality) AS n FROM (VALUES ('complete'), ('halt_adjusted'), ('interior_gap'), ('truncated'), ('sparse'), ('halt_anomaly'), ('absent')) t(k) LEFT JOIN q ON q.quality = k GROUP BY 1""", BARS_SQL)
+def quality_counts(spark, sf):
+    """Every grade, those of no session too."""
+    names = spark.sql("SELECT explode(array('complete', 'halt_adjusted', 'interior_gap', 'truncated', 'sparse', 'halt_anomaly', 'absent')) AS quality")
+    counts = sessions.graded(diagnosed(spark, sf)).groupBy("quality").agg(F.count("*").alias("n"))
+    return names.join(counts, "quality", "left").fillna(0, ["n"])
 
 
 @query(" SELECT d, m, sum((close IS NULL)::INT) OVER (PARTITION BY d ORDER BY m ROWS UNBOUNDED PRECEDING) = 0 AS vwap_valid, coalesce(sum((close IS NOT NULL)::INT) OVER (PARTITION BY m ORDER BY d ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) >= 5 AS history_valid FROM grid", BARS_SQL)
@@ -153,10 +192,10 @@ def extreme_returns_topk(spark, sf):
     return b.where("r is not null").orderBy(F.abs("r").desc(), "d", "m").limit(15)
 
 
-@query(""", t AS (SELECT *, close > open AS up FROM bars), q AS (SELECT *, sum((up <> lag_up OR lag_up IS NULL OR m - lag_m > 1)::INT) OVER (PARTITION BY d ORDER BY m) AS run FROM (SELECT *, lag(up) OVER w AS lag_up, lag(m) OVER w AS lag_m FROM t WINDOW w AS (PARTITION BY d ORDER BY m)))
+@query(""", t AS (SELECT *, open = high AND high = low AND low = close AS up FROM bars), q AS (SELECT *, sum((up <> lag_up OR lag_up IS NULL OR m - lag_m > 1)::INT) OVER (PARTITION BY d ORDER BY m) AS run FROM (SELECT *, lag(up) OVER w AS lag_up, lag(m) OVER w AS lag_m FROM t WINDOW w AS (PARTITION BY d ORDER BY m)))
  SELECT d, min(m) AS first_m, max(m) AS last_m, count(*) AS n FROM q WHERE up GROUP BY d, run ORDER BY n DESC, d, first_m LIMIT 500""", BARS_SQL)
 def stale_runs_topk(spark, sf):
-    b = bars(spark, sf).withColumn("up", F.col("close") > F.col("open"))
+    b = bars(spark, sf).withColumn("up", (F.col("open") == F.col("high")) & (F.col("high") == F.col("low")) & (F.col("low") == F.col("close")))
     breaks = (F.col("up") != F.lag("up").over(X.session())) | F.lag("up").over(X.session()).isNull() | (F.col("m") - F.lag("m").over(X.session()) > 1)
     b = b.withColumn("breaks", breaks).withColumn("run", run_id(F.col("breaks"), X.session()))
     return b.where("up").groupBy("d", "run").agg(F.min("m").alias("first_m"), F.max("m").alias("last_m"), F.count("*").alias("n")).drop("run").orderBy(F.desc("n"), "d", "first_m").limit(500)
@@ -164,7 +203,7 @@ def stale_runs_topk(spark, sf):
 
 @query(" SELECT DISTINCT m::INT AS m FROM (SELECT unnest(range(a, b + 1)) AS m FROM (VALUES (3, 9), (6, 15), (22, 30)) t(a, b)) WHERE m BETWEEN 1 AND 24")
 def halt_union_minutes(spark, sf):
-    h = spark.createDataFrame([(3, 9), (6, 15), (22, 30)], "a int, b int")
+    h = spark.sql("SELECT * FROM VALUES (3, 9), (6, 15), (22, 30) AS t(a, b)")
     return h.select(F.explode(F.sequence("a", "b")).alias("m")).where(F.col("m").between(1, 24)).distinct()
 
 
@@ -196,11 +235,11 @@ def dedupe_precedence(spark, sf):
     return _repeated(spark, sf).groupBy("event_id").agg(F.max_by("value", "pos").alias("value"), F.max("pos").alias("pos"))
 
 
-@query(", c AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders WHERE o_orderkey % 7 = 0), r AS (SELECT d, close FROM daily WHERE day(d) % 3 = 0) SELECT c.o_orderkey, c.d, (SELECT max(r.d) FROM r WHERE r.d < c.d) AS rate_d FROM c", DAILY_SQL)
+@query(", c AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders), r AS (SELECT d AS rate_d FROM daily WHERE day(d) % 3 = 0) SELECT c.o_orderkey, c.d, rate_d FROM c ASOF LEFT JOIN r ON c.d > r.rate_d", DAILY_SQL)
 def asof_strict_rate(spark, sf):
     """The latest observation strictly before: facts and observations are merged by date, one carry over days, not over facts."""
     d = daily(spark, sf)
-    facts = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    facts = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
     days = d.select("d", F.max(F.when(F.dayofmonth("d") % 3 == 0, F.col("d"))).over(day().rowsBetween(Window.unboundedPreceding, -1)).alias("rate_d"))
     return facts.join(days, "d", "left").select("o_orderkey", "d", "rate_d")
 
@@ -211,7 +250,7 @@ _FEES = [("1990-01-01", "1996-12-31", 15.3), ("1997-01-01", "1999-06-30", 5.6),
 @query("WITH f(a, b, rate) AS (VALUES (DATE '1990-01-01', DATE '1996-12-31', 15.3), (DATE '1997-01-01', DATE '1999-06-30', 5.6), (DATE '1999-07-01', NULL, 20.6)) SELECT rate::DOUBLE AS rate, count(*) AS n, round(sum(o_totalprice::DECIMAL(18,2))::DOUBLE * rate::DOUBLE / 1e6, 4) AS fee FROM orders JOIN f ON o_orderdate::DATE BETWEEN a AND coalesce(b, DATE '9999-12-31') GROUP BY rate")
 def interval_fee_rate(spark, sf):
     """An interval join: the schedule is a fixed short table, so it is sent to the facts."""
-    fees = spark.createDataFrame(_FEES, "a string, b string, rate double").select(F.to_date("a").alias("a"), F.coalesce(F.to_date("b"), F.lit("9999-12-31").cast("date")).alias("b"), "rate")
+    fees = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{a}', {repr(b) if b else 'NULL'}, {x}d)" for a, b, x in _FEES) + " AS t(a, b, rate)").select(F.to_date("a").alias("a"), F.coalesce(F.to_date("b"), F.lit("9999-12-31").cast("date")).alias("b"), "rate")
     o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"), "o_totalprice")
     return o.join(F.broadcast(fees), F.col("d").between(F.col("a"), F.col("b"))).groupBy("rate").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("s")).select("rate", "n", F.round(F.col("s").cast("double") * F.col("rate") / 1e6, 4).alias("fee"))
 
@@ -278,11 +317,11 @@ def beta_alpha_ir(spark, sf):
     return pair(spark, sf).agg(r8(beta).alias("beta"), r8((F.avg(r) - beta * F.avg(b)) * 252).alias("alpha"), r8(metrics.sharpe(r - b)).alias("information"), r8(F.regr_slope(r, b)).alias("slope"), r8(F.regr_intercept(r, b)).alias("intercept"), r8(F.regr_r2(r, b)).alias("r2"))
 
 
-@query(", m AS (SELECT year(d)::INT AS y, month(d) AS mo, product(1 + r) - 1 AS t FROM ret WHERE r IS NOT NULL GROUP BY 1, 2) SELECT y, round(max(t) FILTER (mo = 1), 6) AS m1, round(max(t) FILTER (mo = 4), 6) AS m4, round(max(t) FILTER (mo = 7), 6) AS m7, round(max(t) FILTER (mo = 10), 6) AS m10, round(product(1 + t) - 1, 6) AS yearly FROM m GROUP BY 1", DAILY_SQL)
+@query(", m AS (SELECT year(d)::INT AS y, month(d) AS mo, product(1 + r) - 1 AS t FROM ret WHERE r IS NOT NULL GROUP BY 1, 2) SELECT y, round(max(t) FILTER (mo = 1), 6) AS m1, round(max(t) FILTER (mo = 2), 6) AS m2, round(max(t) FILTER (mo = 3), 6) AS m3, round(max(t) FILTER (mo = 4), 6) AS m4, round(max(t) FILTER (mo = 5), 6) AS m5, round(max(t) FILTER (mo = 6), 6) AS m6, round(max(t) FILTER (mo = 7), 6) AS m7, round(max(t) FILTER (mo = 8), 6) AS m8, round(max(t) FILTER (mo = 9), 6) AS m9, round(max(t) FILTER (mo = 10), 6) AS m10, round(max(t) FILTER (mo = 11), 6) AS m11, round(max(t) FILTER (mo = 12), 6) AS m12, round(product(1 + t) - 1, 6) AS yearly FROM m GROUP BY 1", DAILY_SQL)
 def monthly_pivot(spark, sf):
     m = returns(spark, sf).where("r is not null").groupBy(F.year("d").alias("y"), F.month("d").alias("mo")).agg(metrics.total_return(F.col("r")).alias("t"))
-    wide = m.groupBy("y").pivot("mo", [1, 4, 7, 10]).agg(F.max("t"))
-    return wide.join(m.groupBy("y").agg(metrics.total_return(F.col("t")).alias("yearly")), "y").select("y", *[r8(F.col(str(k)), 6).alias(f"m{k}") for k in (1, 4, 7, 10)], r8("yearly", 6).alias("yearly"))
+    wide = m.groupBy("y").pivot("mo", list(range(1, 13))).agg(F.max("t"))
+    return wide.join(m.groupBy("y").agg(metrics.total_return(F.col("t")).alias("yearly")), "y").select("y", *[r8(F.col(str(k)), 6).alias(f"m{k}") for k in range(1, 13)], r8("yearly", 6).alias("yearly"))
 
 
 @query(" SELECT date_trunc('month', d)::DATE AS month, arg_max(close, d) AS close FROM daily GROUP BY 1", DAILY_SQL)
@@ -314,27 +353,27 @@ def profit_concentration(spark, sf):
     return returns(spark, sf).where("r > 0").agg(r8(F.try_divide(F.pow(F.sum("r"), F.lit(2)), F.sum(F.pow("r", F.lit(2)))), 6).alias("effective_days"))
 
 
-@query(", k AS (SELECT r, row_number() OVER (ORDER BY r DESC, d) AS n FROM ret WHERE r IS NOT NULL) SELECT k.k::INT AS k, round(sum(ln(1 + CASE WHEN n <= k.k THEN 0 ELSE r END)), 6) AS log_without FROM k CROSS JOIN (VALUES (1), (5), (10), (20)) k(k) GROUP BY 1", DAILY_SQL)
+@query(", k AS (SELECT r, row_number() OVER (ORDER BY r DESC, d) AS n FROM ret WHERE r IS NOT NULL) SELECT k.k::INT AS k, round(product(1 + CASE WHEN n <= k.k THEN 0 ELSE r END) - 1, 6) AS without FROM k CROSS JOIN (VALUES (1), (5), (10), (20)) k(k) GROUP BY 1", DAILY_SQL)
 def best_days_removed(spark, sf):
-    """Only the few best days are ranked, by a top-k; all others are summed once."""
+    """Only the few best days are ranked, by a top-k; all days are multiplied once for each k, the best ones as 1."""
     r = returns(spark, sf).where("r is not null")
-    best = r.orderBy(F.desc("r"), "d").limit(20).select("r", F.row_number().over(Window.orderBy(F.desc("r"), "d")).alias("n"))
-    ks = spark.createDataFrame([(1,), (5,), (10,), (20,)], "k int")
-    gone = best.join(F.broadcast(ks), F.col("n") <= F.col("k")).groupBy("k").agg(F.sum(F.log1p("r")).alias("gone"))
-    return gone.crossJoin(r.agg(F.sum(F.log1p("r")).alias("total"))).select("k", r8(F.col("total") - F.col("gone"), 6).alias("log_without"))
+    best = r.orderBy(F.desc("r"), "d").limit(20).select("d", F.row_number().over(Window.orderBy(F.desc("r"), "d")).alias("n"))
+    ks = spark.sql("SELECT explode(array(1, 5, 10, 20)) AS k")
+    all_ = r.join(F.broadcast(best), "d", "left").crossJoin(F.broadcast(ks))
+    return all_.groupBy("k").agg(r8(metrics.total_return(F.when(F.col("n") <= F.col("k"), 0.0).otherwise(F.col("r"))), 6).alias("without"))
 
 
-@query(", q AS (SELECT date_trunc('quarter', d)::DATE AS q, sum(ln(1 + r)) AS t, count(*) AS n FROM ret WHERE r IS NOT NULL GROUP BY 1) SELECT q, round(t, 6) AS t FROM q WHERE n >= 20 ORDER BY t, q LIMIT 5", DAILY_SQL)
+@query(", q AS (SELECT date_trunc('quarter', d)::DATE AS q, product(1 + r) - 1 AS t, count(*) AS n FROM ret WHERE r IS NOT NULL GROUP BY 1) SELECT q, round(t, 6) AS t FROM q WHERE n >= 20 ORDER BY t, q LIMIT 5", DAILY_SQL)
 def worst_quarters(spark, sf):
-    q = returns(spark, sf).where("r is not null").groupBy(F.date_trunc("quarter", "d").cast("date").alias("q")).agg(F.sum(F.log1p("r")).alias("t"), F.count("*").alias("n"))
+    q = returns(spark, sf).where("r is not null").groupBy(F.date_trunc("quarter", "d").cast("date").alias("q")).agg(metrics.total_return(F.col("r")).alias("t"), F.count("*").alias("n"))
     return q.where("n >= 20").orderBy("t", "q").limit(5).select("q", r8("t", 6).alias("t"))
 
 
-@query(", x AS (SELECT d, r, r * 0.75 AS a, r * 0.25 AS c FROM ret WHERE r IS NOT NULL), y AS (SELECT *, coalesce(sum(ln(1 + r)) OVER (ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later FROM x) SELECT year(d)::INT AS y, round(sum(a * exp(later)), 4) AS long_part, round(sum(c * exp(later)), 4) AS short_part FROM y GROUP BY 1", DAILY_SQL)
+@query(", x AS (SELECT d, r, r * 0.75 AS a, r * 0.25 AS c FROM ret WHERE r IS NOT NULL), y AS (SELECT *, coalesce(product(1 + r) OVER (ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS later FROM x) SELECT year(d)::INT AS y, round(sum(a * later), 4) AS long_part, round(sum(c * later), 4) AS short_part FROM y GROUP BY 1", DAILY_SQL)
 def linked_contribution(spark, sf):
     """Each part of a day's return times the growth of all days after it; parts add up to the total return."""
-    x = returns(spark, sf).where("r is not null").withColumn("later", F.coalesce(F.sum(F.log1p("r")).over(day().rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
-    return x.groupBy(F.year("d").alias("y")).agg(r8(F.sum(F.col("r") * 0.75 * F.exp("later")), 4).alias("long_part"), r8(F.sum(F.col("r") * 0.25 * F.exp("later")), 4).alias("short_part"))
+    x = returns(spark, sf).where("r is not null").withColumn("later", F.coalesce(F.product(1 + F.col("r")).over(day().rowsBetween(1, Window.unboundedFollowing)), F.lit(1.0)))
+    return x.groupBy(F.year("d").alias("y")).agg(r8(F.sum(F.col("r") * 0.75 * F.col("later")), 4).alias("long_part"), r8(F.sum(F.col("r") * 0.25 * F.col("later")), 4).alias("short_part"))
 
 
 @query(", t AS (SELECT d, count(close) AS n, avg(close) AS twap, min(close) AS lo, max(close) AS hi FROM grid WHERE m > 19 GROUP BY 1) SELECT t.d, round(twap, 8) AS twap, lo, hi, round(z.close - twap, 8) AS diff FROM t JOIN (SELECT d, arg_max(close, m) AS close FROM bars GROUP BY 1) z ON t.d = z.d WHERE n = 5", BARS_SQL)
@@ -349,12 +388,12 @@ def source_difference_diag(spark, sf):
     return pair(spark, sf).agg(F.count("*").alias("n"), r8(F.avg(x)).alias("mae"), r8(F.percentile(x, 0.5)).alias("median"), r8(F.percentile(x, 0.95)).alias("p95"), r8(F.max(x)).alias("most"), F.count_if(x > 0.1).alias("over"))
 
 
-@query(", y AS (SELECT DISTINCT year(d)::INT AS y FROM ret) SELECT y.y, count(r) AS n, round(sum(ln(1 + r)), 6) AS log_total FROM y JOIN ret ON year(ret.d) >= y.y WHERE r IS NOT NULL GROUP BY 1", DAILY_SQL)
+@query(", y AS (SELECT DISTINCT year(d)::INT AS y FROM ret) SELECT y.y, count(r) AS n, round(product(1 + r) - 1, 6) AS total FROM y JOIN ret ON year(ret.d) >= y.y WHERE r IS NOT NULL GROUP BY 1", DAILY_SQL)
 def start_year_sensitivity(spark, sf):
     """Totals from each start year on: years are summed once, then summed backwards."""
-    y = returns(spark, sf).where("r is not null").groupBy(F.year("d").alias("y")).agg(F.count("r").alias("n"), F.sum(F.log1p("r")).alias("t"))
+    y = returns(spark, sf).where("r is not null").groupBy(F.year("d").alias("y")).agg(F.count("r").alias("n"), F.product(1 + F.col("r")).alias("t"))
     w = Window.orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, 0)
-    return y.select("y", F.sum("n").over(w).alias("n"), r8(F.sum("t").over(w), 6).alias("log_total"))
+    return y.select("y", F.sum("n").over(w).alias("n"), r8(F.product("t").over(w) - 1, 6).alias("total"))
 
 
 @query(", v AS (SELECT d, r, CASE WHEN count(r) OVER h = 5 THEN least(0.2 / (stddev_samp(r) OVER h), 4) END AS lev FROM ret WINDOW h AS (ORDER BY d ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) SELECT CASE WHEN lev < 1 THEN 'low' WHEN lev < 2 THEN 'mid' ELSE 'high' END AS band, count(*) AS n, round(avg(lev), 6) AS mean, round(quantile_cont(lev, 0.95), 6) AS p95, arg_min(d, (-lev, d)) AS top_day FROM v WHERE lev IS NOT NULL GROUP BY 1", DAILY_SQL)
@@ -372,7 +411,7 @@ def relative_wealth_top_day(spark, sf):
 
 @query("WITH t(y, jan, feb, mar) AS (VALUES (2001, 1.5, NULL, 2.5), (2002, NULL, 3.5, -1.0)) SELECT y::INT AS y, m, v::DOUBLE AS v FROM (UNPIVOT t ON jan, feb, mar INTO NAME m VALUE v)")
 def unpivot_reference(spark, sf):
-    t = spark.createDataFrame([(2001, 1.5, None, 2.5), (2002, None, 3.5, -1.0)], "y int, jan double, feb double, mar double")
+    t = spark.sql("SELECT * FROM VALUES (2001, 1.5d, NULL, 2.5d), (2002, NULL, 3.5d, -1d) AS t(y, jan, feb, mar)")
     return t.unpivot("y", ["jan", "feb", "mar"], "m", "v").where("v is not null")
 
 
@@ -404,38 +443,18 @@ def shapley_frequency_payoff(spark, sf):
 
 @query("SELECT 'lev' || l::INT || '_' || replace(printf('%.4f', s), '.', 'p') AS cell_id, l::DOUBLE AS leverage, s::DOUBLE AS slippage FROM (VALUES (1), (2), (4)) a(l), (VALUES (0.001), (0.0025), (0.005), (0.01)) b(s)")
 def matrix_cells(spark, sf):
-    return simulate.cells(spark).select("cell_id", "leverage", "slippage")
-
-
-@query()
-def sim_fills(spark, sf):
-    return simulate.paths(X.features(grid(spark, sf)))
-
-
-@query()
-def sim_daily_result(spark, sf):
-    return simulate.account(sim_fills(spark, sf), simulate.cells(spark))
-
-
-@query()
-def matrix_summary(spark, sf):
-    a = sim_daily_result(spark, sf)
-    return a.groupBy("cell_id").agg(F.count("*").alias("sessions"), r8(F.max_by("aum", "d"), 4).alias("aum"), r8(metrics.total_return(F.col("ret"))).alias("total"), F.count_if(F.col("status") == "active").alias("active"))
-
-
-@query()
-def sim_identities(spark, sf):
-    """Largest residual of equity change = gross - commission - slippage over all cells and sessions."""
-    w = Window.partitionBy("cell_id").orderBy("d")
-    a = sim_daily_result(spark, sf).withColumn("before", F.coalesce(F.lag("aum").over(w), F.lit(100_000.0)))
-    return a.agg(F.max(F.abs(F.col("aum") - F.col("before") - F.col("gross") + F.col("commission") + F.col("slippage"))).alias("residual"))
+    a, b = (spark.sql(f"SELECT explode(array({x})) AS {c}") for x, c in (("1d, 2d, 4d", "leverage"), ("0.001d, 0.0025d, 0.005d, 0.01d", "slippage")))
+    return a.crossJoin(b).select(F.concat(F.format_string("lev%.0f_", "leverage"), F.replace(F.format_string("%.4f", "slippage"), F.lit("."), F.lit("p"))).alias("cell_id"), "leverage", "slippage")
 
 
 def queries() -> dict:
+    from tickloom.plans import ingestion, statistics  # noqa: F401  (they register theirs)
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 

@@ -21,10 +21,16 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(d): the sessions, one a day from the first tick to the last, days without any tick too."""
+    ends = table(spark, sf_dir, "events").agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("z")).where("a is not null")
+    return ends.select(F.explode(F.sequence("a", "z")).alias("d"))
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars on the dense grid: a row for each session and scheduled minute, null where nothing was observed."""
+    """Bars on the dense grid: a row for each session of the calendar and scheduled minute, null where nothing was observed."""
     b = bars(spark, sf_dir)
-    slots = b.select("d").distinct().withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(MINUTES))))
+    slots = calendar(spark, sf_dir).withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(MINUTES))))
     return slots.join(b, ["d", "m"], "left")
 
 
@@ -45,7 +51,7 @@ bars AS (
   SELECT ts::DATE AS d, (hour(ts) + 1)::INT AS m, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
     last(value ORDER BY ts, event_id) AS close, count(*) AS volume FROM events GROUP BY 1, 2
 ), grid AS (
-  SELECT s.d, t.m::INT AS m, open, high, low, close, volume FROM (SELECT DISTINCT d FROM bars) s CROSS JOIN range(1, 25) t(m) LEFT JOIN bars b ON b.d = s.d AND b.m = t.m
+  SELECT s.d, t.m::INT AS m, open, high, low, close, volume FROM (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d FROM bars) s CROSS JOIN range(1, 25) t(m) LEFT JOIN bars b ON b.d = s.d AND b.m = t.m
 )"""
 DAILY_SQL = """
 daily AS (SELECT o_orderdate::DATE AS d, round(avg(o_totalprice::DECIMAL(18,2))::DOUBLE, 2) AS close FROM orders GROUP BY 1),
