@@ -14,8 +14,6 @@ from tickloom.llm import shared
 
 #: Memtables that documents are dealt to by a hash of their id, and runs that a compaction merges to one.
 MEMTABLES, FANOUT = 4, 4
-#: Bits of the filter of repeated digests.
-FILTER_BITS = 1 << 23
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -47,18 +45,6 @@ def build_index(rows: DataFrame, memtables: int = MEMTABLES) -> DataFrame:
     return runs.drop("run")
 
 
-def _place(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
-
-
-def filter_of(entries: DataFrame) -> DataFrame:
-    """One row, one array: a bit for each digest of `entries` at its place, 64 a number. Its size is fixed; the fuller it is, the more texts are shuffled in vain."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
-    words = entries.select(_place(F.col("digest")).alias("at")).groupBy(F.floor(F.col("at") / 64).cast("long").alias("id")).agg(F.bit_or(bit).alias("bits"))
-    every = entries.sparkSession.range(FILTER_BITS // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtables: int = MEMTABLES) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -72,10 +58,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
     index = build_index(rows.select("doc_id", "digest"), memtables)
     repeated = shared.written(index.where("n > 1"), "repeated-digests")
-    bits = shared.written(filter_of(repeated), "digest-filter")
-    at = _place(F.col("digest"))
-    maybe = F.call_function("shiftright", F.get(bits.scalar(), F.floor(at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    rows = shared.written(rows.withColumn("maybe", maybe).select("doc_id", "digest", "maybe", F.when(F.col("maybe"), F.col("norm")).alias("hit")), "digest-rows")
+    bits = shared.filter_of(repeated, F.col("digest"))
+    rows = shared.written(rows.withColumn("maybe", shared.maybe_in(F.col("digest"), bits)).select("doc_id", "digest", "maybe", F.when(F.col("maybe"), F.col("norm")).alias("hit")), "digest-rows")
 
     alone = rows.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     found = shared.spread_join(rows.where("maybe").drop("maybe"), repeated, ["digest"], repeated, ["doc_id"], "left")

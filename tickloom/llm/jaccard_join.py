@@ -340,8 +340,13 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
     members = shared.written(members.join(classes.select("k1", "class_id", "n").hint("merge"), "k1").select("element", "class_id", "n"), "element-members")
 
     def links(keyed: DataFrame) -> DataFrame:
-        one = texts.join(keyed.hint("merge"), texts["node"] == keyed["class_id"]).select("key", "tile", "class_id", "label", "text")
-        return shared.written(one.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_verified(n, percent), _PAIR), "jaccard-links")
+        keyed = shared.written(keyed, "jaccard-keyed")
+        # Texts that no tile asks for stay where they are.
+        asked = texts.where(shared.maybe_in(F.col("node"), shared.filter_of(keyed, F.col("class_id"))))
+        one = asked.join(keyed.hint("merge"), asked["node"] == keyed["class_id"]).select("key", "tile", "class_id", "label", "text")
+        found = shared.written(one.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_verified(n, percent), _PAIR), "jaccard-links")
+        shared.removed(keyed)
+        return found
 
     # Elements with more classes than a tile holds; all others are a task each.
     large = shared.written(members.groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "large-elements")

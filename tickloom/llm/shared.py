@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -61,6 +61,28 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     return joined.withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_start", "_range")
 
 
+#: Bits of a filter of keys: 1 MB, however many keys there are.
+FILTER_BITS = 1 << 23
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def filter_of(entries: DataFrame, key: Column) -> DataFrame:
+    """One row, one array: a bit for each key of `entries` at its place, 64 a number. Its size is fixed; the fuller it is, the more rows are shuffled in vain."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    words = entries.select(_place(key).alias("at")).groupBy(F.floor(F.col("at") / 64).cast("long").alias("id")).agg(F.bit_or(bit).alias("bits"))
+    every = entries.sparkSession.range(FILTER_BITS // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return written(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits")), "filter")
+
+
+def maybe_in(key: Column, bits: DataFrame) -> Column:
+    """False for keys that aren't among those of filter_of."""
+    at = _place(key)
+    return F.call_function("shiftright", F.get(bits.scalar(), F.floor(at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 #: A key is hot where it has more than one in HOT of all rows, so fewer than HOT keys are; rows of a hot key are dealt to SALTS tasks.
 HOT, SALTS = 1_000, 64
 
