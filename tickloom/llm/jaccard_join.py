@@ -400,10 +400,15 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, id_col
     return _joined(docs, n, percent, id_col, text_col).select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, tie_col: str) -> DataFrame:
-    """(node, tie) of the row that stays of each component of documents with words: the smallest id, rows without one after all others, then the smallest tie."""
-    joined = _joined(docs, n, percent, id_col, text_col, tie_col).where("n > 0")
-    return joined.groupBy("component").agg(F.min(F.struct("node", "tie")).alias("first")).select("first.node", "first.tie")
+def repeated(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, tie_col: str) -> DataFrame:
+    """(node, tie, stays) of each component of more than one row with words, each once: the smallest id stays, rows without one after all others, then the smallest tie."""
+    joined = shared.written(_joined(docs, n, percent, id_col, text_col, tie_col).where("n > 0").select("node", "tie", "component"), "jaccard-joined")
+    row = F.struct("node", "tie")
+    groups = shared.written(joined.groupBy("component").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1"), "jaccard-copies")
+    met = shared.spread_join(joined, groups.drop("n"), ["component"], groups, ["node", "tie"])
+    met = shared.written(met.select("node", "tie", (row == F.col("first")).alias("stays")).distinct(), "jaccard-repeated")
+    shared.removed(joined, groups)
+    return met
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
