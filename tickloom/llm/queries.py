@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality, substring_dedup, token_output, toxicity
+from tickloom.llm import decontamination, exact_dedup, fill_middle, jaccard_join, language_id, line_dedup, mixing, periodic_runs, quality, simhash, substring_dedup, token_output, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_quality": quality.query,
         "op9_exact_dedup": exact_dedup.query,
         "op10_token_output": token_output.query,
+        "op11_fill_middle": fill_middle.query,
+        "op12_periodic_runs": periodic_runs.query,
+        "op13_simhash": simhash.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op4_substring_dedup": substring_dedup.SQL, "op5_line_dedup": line_dedup.SQL, "op6_jaccard_join": jaccard_join.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op3_mixing": mixing.SQL, "op4_substring_dedup": substring_dedup.SQL, "op5_line_dedup": line_dedup.SQL, "op6_jaccard_join": jaccard_join.SQL, "op9_exact_dedup": exact_dedup.SQL, "op11_fill_middle": fill_middle.SQL}
