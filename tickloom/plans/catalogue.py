@@ -448,7 +448,7 @@ def matrix_cells(spark, sf):
 
 
 def queries() -> dict:
-    from tickloom.plans import ingestion, statistics  # noqa: F401  (they register theirs)
+    from tickloom.plans import ingestion, rates, statistics  # noqa: F401  (they register theirs)
 
     return dict(_Q)
 
