@@ -7,6 +7,7 @@ of n words costs n log n instead of n squared. Short documents are scanned many
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain, compress
 
@@ -152,9 +153,12 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of lags (key, text, low, high) of long documents."""
     for batch in batches:
+        of = defaultdict(list)
         for key, text, low, high in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            runs = runs_of([text.encode().split()], low, high)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(runs), pa.string()), *(pa.array([r[k] for r in runs], pa.int64()) for k in range(3))], ["key", "start", "length", "period"])
+            of[low, high].append((key, text.encode().split()))
+        for (low, high), docs in of.items():
+            found = [(key, *r) for (key, _), runs in zip(docs, runs_of([w for _, w in docs], low, high), strict=True) for r in runs]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.string()), *(pa.array([r[k] for r in found], pa.int64()) for k in (1, 2, 3))], ["key", "start", "length", "period"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,20 +168,22 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(batch.column(0), _split(batch.column(1)), runs)
 
 
-def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lags: int = LAGS) -> DataFrame:
+def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lags: int = LAGS, bytes_col: str | None = None) -> DataFrame:
     """(doc_id, n_words, runs, collapsed) of every row of docs.
 
     runs are the maximal stretches of words with a smallest period q, of at least LEAST words and EXPONENT periods, as (start, length, period) by start and
     period; collapsed is the text without what any run repeats after its first period, words joined by one space. A null text has no words. Rows that repeat
-    an id, or have none, each have their own result; an empty table gives an empty result; other columns aren't read. Texts that may have more than
-    `lags` lags are scanned once however often they are repeated, in ranges of lags of equal width.
+    an id, or have none, each have their own result; an empty table gives an empty result; other columns aren't read. Texts of more
+    than 8 * EXPONENT * lags bytes (or `bytes_col`, a number of bytes that as many words have at least, where it is cheaper to know) are scanned once
+    however often they are repeated, in ranges of lags of equal width.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # A word has a byte and a white space at least.
-    long = F.octet_length("text") > 2 * EXPONENT * lags
+    size = F.octet_length(text_col) if bytes_col is None else F.col(bytes_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(size, F.lit(0)).alias("bytes"))
+    # A word has a byte and a white space at least, so what is scanned whole has no more than 4 * lags lags.
+    long = F.col("bytes") > 8 * EXPONENT * lags
     schema = f"doc_id long, n_words long, runs array<{_RUN}>, collapsed string"
-    short = rows.where(~long).mapInArrow(_whole, schema)
-    keyed = rows.where(long).withColumn("key", F.sha2("text", 256))
+    short = rows.where(~long).select("doc_id", "text").mapInArrow(_whole, schema)
+    keyed = shared.written(rows.where(long).select("doc_id", "text", F.sha2("text", 256).alias("key")), "long-texts")
     most = F.floor(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) / EXPONENT).cast("int")
     texts = keyed.groupBy("key").agg(F.first("text").alias("text")).withColumn("most", most).where("most > 0")
     width = F.greatest(F.lit(lags), F.ceil(F.col("most") / PIECES)).cast("int")
@@ -190,17 +196,18 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def planted(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) of which one in ten, by its id's CRC-32, repeats a stretch of its own words up to its end."""
+    """docs (doc_id, text) of which one in ten, by its id's CRC-32, repeats a stretch of its own words up to its end; bytes are those of the text before, which has as many words."""
     h = F.crc32(F.col("doc_id").cast("string"))
     words = F.filter(F.split("text", SPACE), lambda w: w != "")
     rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words").cast("long"))
     rows = rows.withColumn("a", F.when(F.col("n") > 0, F.expr("g % n"))).withColumn("p", F.expr("1 + floor((n - a) / (3 + g % 8))"))
-    again = F.expr("array_join(transform(sequence(0L, n - 1), i -> words[int(if(i >= a, a + (i - a) % p, i))]), ' ')")
-    return rows.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+    # Whole arrays are cut and repeated: a lambda over positions could be given the splitting of the text at each of them.
+    again = F.expr("array_join(concat(slice(words, 1, int(a)), slice(flatten(array_repeat(slice(words, int(a + 1), int(p)), int(ceil((n - a) / p)))), 1, int(n - a))), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"), F.octet_length("text").alias("bytes"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = periodic_runs(planted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    out = periodic_runs(planted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), bytes_col="bytes")
     best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
     lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
     out = out.select("doc_id", "runs", "collapsed", best.alias("best"), lines.alias("lines"))
