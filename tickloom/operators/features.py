@@ -50,6 +50,17 @@ def with_previous_close(grid: DataFrame) -> DataFrame:
     return grid.join(days, "d")
 
 
+def coverage(grid: DataFrame, window: int, usable, every: int = EVERY) -> DataFrame:
+    """(d, m, usable, eligible, prior_usable, warm) of decision minutes: how many of the `window` sessions before that scheduled this minute had a usable value there.
+
+    grid has scheduled minutes alone, so a session that closed early isn't counted against later minutes; `warm` where all of `window` had one.
+    """
+    g = grid.where(F.pmod("m", F.lit(every)) == 0).select("d", "m", F.coalesce(usable, F.lit(False)).alias("usable"))
+    w = minute().rowsBetween(-window, -1)
+    prior = F.coalesce(F.sum(F.col("usable").cast("int")).over(w), F.lit(0))
+    return g.select("d", "m", "usable", F.count("*").over(w).alias("eligible"), prior.alias("prior_usable"), (prior >= window).alias("warm"))
+
+
 def with_signal(grid: DataFrame, confirm: bool = True, band: float = BAND, every: int = EVERY) -> DataFrame:
     """Adds upper, lower and signal (1, -1 or 0): a break of the noise band, confirmed by the VWAP if `confirm`, at decision minutes."""
     g = grid.withColumn("upper", F.greatest("day_open", "prev_close") * (1 + band * F.col("sigma"))).withColumn("lower", F.least("day_open", "prev_close") * (1 - band * F.col("sigma")))

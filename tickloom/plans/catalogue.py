@@ -10,7 +10,7 @@ from tickloom.functions import metrics
 from tickloom.functions.windows import carried, rolling, run_id, wealth
 from tickloom.operators import features as X
 from tickloom.operators import inference, sessions
-from tickloom.sources.bars import BARS_SQL, DAILY_SQL, bars, benchmark, calendar, daily, grid, table
+from tickloom.sources.bars import BARS_SQL, DAILY_SQL, HOLED_SQL, bars, benchmark, calendar, daily, grid, holed, table
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -106,22 +106,22 @@ def sigma_open_loose(spark, sf):
     return X.with_sigma(g).select("d", "m", r8("sigma").alias("sigma"))
 
 
-@query(" SELECT d, count(close) AS observed, count(*) - count(close) AS missing, min(m) FILTER (close IS NOT NULL) AS first_m, max(m) FILTER (close IS NOT NULL) AS last_m FROM grid GROUP BY 1", BARS_SQL)
+@query(" SELECT d, count(close) AS observed, count(*) - count(close) AS missing, min(m) FILTER (close IS NOT NULL) AS first_m, max(m) FILTER (close IS NOT NULL) AS last_m FROM grid GROUP BY 1", HOLED_SQL)
 def session_minute_sets(spark, sf):
     seen = F.col("close").isNotNull()
-    return grid(spark, sf).groupBy("d").agg(F.count("close").alias("observed"), F.count_if(~seen).alias("missing"), F.min(F.when(seen, F.col("m"))).alias("first_m"), F.max(F.when(seen, F.col("m"))).alias("last_m"))
+    return grid(spark, sf, holed).groupBy("d").agg(F.count("close").alias("observed"), F.count_if(~seen).alias("missing"), F.min(F.when(seen, F.col("m"))).alias("first_m"), F.max(F.when(seen, F.col("m"))).alias("last_m"))
 
 
 @query(""", b AS (SELECT d, min(m) a, max(m) z FROM bars GROUP BY 1)
- SELECT g.d, count(*) FILTER (close IS NULL AND m < a) AS leading, count(*) FILTER (close IS NULL AND m > a AND m < z) AS interior, count(*) FILTER (close IS NULL AND m > z) AS trailing FROM grid g JOIN b ON g.d = b.d GROUP BY 1""", BARS_SQL)
+ SELECT g.d, count(*) FILTER (close IS NULL AND m < a) AS leading, count(*) FILTER (close IS NULL AND m > a AND m < z) AS interior, count(*) FILTER (close IS NULL AND m > z) AS trailing FROM grid g JOIN b ON g.d = b.d GROUP BY 1""", HOLED_SQL)
 def missing_positions_pivot(spark, sf):
-    g = grid(spark, sf)
+    g = grid(spark, sf, holed)
     w = Window.partitionBy("d")
     seen = F.when(F.col("close").isNotNull(), F.col("m"))
     g = g.withColumn("a", F.min(seen).over(w)).withColumn("z", F.max(seen).over(w)).where("close is null")
     kind = F.when(F.col("m") < F.col("a"), "leading").when(F.col("m") > F.col("z"), "trailing").otherwise("interior")
     counts = g.withColumn("kind", kind).groupBy("d").pivot("kind", ["leading", "interior", "trailing"]).count()
-    return bars(spark, sf).select("d").distinct().join(counts, "d", "left").fillna(0, ["leading", "interior", "trailing"])
+    return holed(spark, sf).select("d").distinct().join(counts, "d", "left").fillna(0, ["leading", "interior", "trailing"])
 
 
 HALTS = [(0, 5, 9), (0, 8, 11), (3, 20, 30), (4, -2, 1)]
@@ -148,23 +148,23 @@ def halted(spark, sf) -> DataFrame:
 
 
 def diagnosed(spark, sf) -> DataFrame:
-    return sessions.diagnostics(bars(spark, sf).select("d", "m", "volume"), calendar(spark, sf).withColumn("bars", F.lit(24)), halted(spark, sf))
+    return sessions.diagnostics(holed(spark, sf).select("d", "m", "volume"), calendar(spark, sf).withColumn("bars", F.lit(24)), halted(spark, sf))
 
 
-@query(_DIAGNOSED + ' SELECT d, halted, required, observed, missing, present_in_halt, "leading", interior, "trailing", volume FROM s', BARS_SQL)
+@query(_DIAGNOSED + ' SELECT d, halted, required, observed, missing, present_in_halt, "leading", interior, "trailing", volume FROM s', HOLED_SQL)
 def session_diagnostics(spark, sf):
     return diagnosed(spark, sf).select("d", "halted", "required", "observed", "missing", "present_in_halt", "leading", "interior", "trailing", "volume")
 
 
 @query(_DIAGNOSED + """, q AS (SELECT *, CASE WHEN observed = 0 THEN 'absent' WHEN missing = 0 AND halted > 0 THEN 'halt_adjusted' WHEN missing = 0 THEN 'complete' WHEN observed < 0.5 * required THEN 'sparse' WHEN "leading" + "trailing" >= interior THEN 'truncated' ELSE 'interior_gap' END AS quality FROM s)
- SELECT d, quality, quality = 'complete' AS paper_ready, quality IN ('complete', 'halt_adjusted') AS halt_usable, quality NOT IN ('absent', 'sparse') AS exploratory FROM q""", BARS_SQL)
+ SELECT d, quality, quality = 'complete' AS paper_ready, quality IN ('complete', 'halt_adjusted') AS halt_usable, quality NOT IN ('absent', 'sparse') AS exploratory FROM q""", HOLED_SQL)
 def session_grading(spark, sf):
     """Bars in a halt are let pass here."""
     return sessions.graded(diagnosed(spark, sf), "present").select("d", "quality", "paper_ready", "halt_usable", "exploratory")
 
 
 @query(_DIAGNOSED + """, q AS (SELECT CASE WHEN observed = 0 THEN 'absent' WHEN halted > 0 AND present_in_halt > 0 THEN 'halt_anomaly' WHEN missing = 0 AND halted > 0 THEN 'halt_adjusted' WHEN missing = 0 THEN 'complete' WHEN observed < 0.5 * required THEN 'sparse' WHEN "leading" + "trailing" >= interior THEN 'truncated' ELSE 'interior_gap' END AS quality FROM s)
- SELECT k AS quality, count(q.quality) AS n FROM (VALUES ('complete'), ('halt_adjusted'), ('interior_gap'), ('truncated'), ('sparse'), ('halt_anomaly'), ('absent')) t(k) LEFT JOIN q ON q.quality = k GROUP BY 1""", BARS_SQL)
+ SELECT k AS quality, count(q.quality) AS n FROM (VALUES ('complete'), ('halt_adjusted'), ('interior_gap'), ('truncated'), ('sparse'), ('halt_anomaly'), ('absent')) t(k) LEFT JOIN q ON q.quality = k GROUP BY 1""", HOLED_SQL)
 def quality_counts(spark, sf):
     """Every grade, those of no session too."""
     names = spark.sql("SELECT explode(array('complete', 'halt_adjusted', 'interior_gap', 'truncated', 'sparse', 'halt_anomaly', 'absent')) AS quality")
@@ -172,10 +172,10 @@ def quality_counts(spark, sf):
     return names.join(counts, "quality", "left").fillna(0, ["n"])
 
 
-@query(" SELECT d, m, sum((close IS NULL)::INT) OVER (PARTITION BY d ORDER BY m ROWS UNBOUNDED PRECEDING) = 0 AS vwap_valid, coalesce(sum((close IS NOT NULL)::INT) OVER (PARTITION BY m ORDER BY d ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) >= 5 AS history_valid FROM grid", BARS_SQL)
+@query(" SELECT d, m, sum((close IS NULL)::INT) OVER (PARTITION BY d ORDER BY m ROWS UNBOUNDED PRECEDING) = 0 AS vwap_valid, coalesce(sum((close IS NOT NULL)::INT) OVER (PARTITION BY m ORDER BY d ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) >= 5 AS history_valid FROM grid", HOLED_SQL)
 def component_validity(spark, sf):
     gone, here = F.col("close").isNull().cast("int"), F.col("close").isNotNull().cast("int")
-    return grid(spark, sf).select("d", "m", (F.sum(gone).over(X.session().rowsBetween(Window.unboundedPreceding, 0)) == 0).alias("vwap_valid"), (F.coalesce(F.sum(here).over(X.minute().rowsBetween(-5, -1)), F.lit(0)) >= 5).alias("history_valid"))
+    return grid(spark, sf, holed).select("d", "m", (F.sum(gone).over(X.session().rowsBetween(Window.unboundedPreceding, 0)) == 0).alias("vwap_valid"), (F.coalesce(F.sum(here).over(X.minute().rowsBetween(-5, -1)), F.lit(0)) >= 5).alias("history_valid"))
 
 
 @query(""", c AS (SELECT *, last_value(close IGNORE NULLS) OVER p AS pc, last_value(CASE WHEN close IS NOT NULL THEN m END IGNORE NULLS) OVER p AS pm FROM grid WINDOW p AS (PARTITION BY d ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -193,9 +193,9 @@ def extreme_returns_topk(spark, sf):
 
 
 @query(""", t AS (SELECT *, open = high AND high = low AND low = close AS up FROM bars), q AS (SELECT *, sum((up <> lag_up OR lag_up IS NULL OR m - lag_m > 1)::INT) OVER (PARTITION BY d ORDER BY m) AS run FROM (SELECT *, lag(up) OVER w AS lag_up, lag(m) OVER w AS lag_m FROM t WINDOW w AS (PARTITION BY d ORDER BY m)))
- SELECT d, min(m) AS first_m, max(m) AS last_m, count(*) AS n FROM q WHERE up GROUP BY d, run ORDER BY n DESC, d, first_m LIMIT 500""", BARS_SQL)
+ SELECT d, min(m) AS first_m, max(m) AS last_m, count(*) AS n FROM q WHERE up GROUP BY d, run ORDER BY n DESC, d, first_m LIMIT 500""", HOLED_SQL)
 def stale_runs_topk(spark, sf):
-    b = bars(spark, sf).withColumn("up", (F.col("open") == F.col("high")) & (F.col("high") == F.col("low")) & (F.col("low") == F.col("close")))
+    b = holed(spark, sf).withColumn("up", (F.col("open") == F.col("high")) & (F.col("high") == F.col("low")) & (F.col("low") == F.col("close")))
     breaks = (F.col("up") != F.lag("up").over(X.session())) | F.lag("up").over(X.session()).isNull() | (F.col("m") - F.lag("m").over(X.session()) > 1)
     b = b.withColumn("breaks", breaks).withColumn("run", run_id(F.col("breaks"), X.session()))
     return b.where("up").groupBy("d", "run").agg(F.min("m").alias("first_m"), F.max("m").alias("last_m"), F.count("*").alias("n")).drop("run").orderBy(F.desc("n"), "d", "first_m").limit(500)
@@ -213,9 +213,9 @@ def ohlc_validity(spark, sf):
     return bars(spark, sf).agg(F.count("*").alias("n"), F.count_if(~ok).alias("invalid"))
 
 
-@query(" SELECT user_id, count(*) AS n, count(try_cast(event_type AS DOUBLE)) AS numeric FROM events GROUP BY 1")
+@query(" SELECT user_id, count(*) AS n, count(try_cast(CASE WHEN event_type = 'click' THEN value::VARCHAR ELSE event_type END AS DOUBLE)) AS numeric FROM events GROUP BY 1")
 def numeric_cast_bad_rows(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count(F.expr("try_cast(event_type as double)")).alias("numeric"))
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count(F.expr("try_cast(if(event_type = 'click', string(value), event_type) as double)")).alias("numeric"))
 
 
 @query(", e AS (SELECT *, 1 AS pos FROM events UNION ALL SELECT event_id, ts, user_id, event_type, value + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END, props, 2 FROM events WHERE event_id % 5 = 0) SELECT count(*) AS keys, sum((n > 1)::INT)::BIGINT AS repeated, sum((v > 1)::INT)::BIGINT AS conflicting FROM (SELECT event_id, count(*) n, count(DISTINCT value) v FROM e GROUP BY 1)".replace(", e AS", "WITH e AS", 1))
@@ -448,7 +448,7 @@ def matrix_cells(spark, sf):
 
 
 def queries() -> dict:
-    from tickloom.plans import ingestion, rates, statistics  # noqa: F401  (they register theirs)
+    from tickloom.plans import audits, ingestion, rates, statistics  # noqa: F401  (they register theirs)
 
     return dict(_Q)
 

@@ -66,9 +66,10 @@ def parsed_offset(spark, sf):
     return times.parsed(e, "t")
 
 
-@query("SELECT event_id, length(rtrim(split_part(printf('%.8f', value), '.', 2), '0')) AS places, second(ts) = 0 AND microsecond(ts) % 1000000 = 0 AS on_grid FROM events")
+@query("SELECT event_id, length(rtrim(split_part(printf('%.8f', value), '.', 2), '0')) AS places, second(t) = 0 AND microsecond(t) % 1000000 = 0 AS on_grid FROM (SELECT *, CASE WHEN event_type = 'view' THEN date_trunc('minute', ts) ELSE ts END AS t FROM events)")
 def decimals_and_grid(spark, sf):
-    return table(spark, sf, "events").select("event_id", times.decimals(F.col("value")).cast("long").alias("places"), times.on_grid(F.col("ts")).alias("on_grid"))
+    t = F.when(F.col("event_type") == "view", F.date_trunc("minute", "ts").cast("timestamp_ntz")).otherwise(F.col("ts"))
+    return table(spark, sf, "events").select("event_id", times.decimals(F.col("value")).cast("long").alias("places"), times.on_grid(t).alias("on_grid"))
 
 
 _SESSIONS = ", cal AS (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d FROM bars), sch AS (SELECT d, d + INTERVAL 570 MINUTE AS opens, d + INTERVAL 960 MINUTE AS closes FROM cal WHERE day(d) % 5 <> 0)"

@@ -45,12 +45,12 @@ def monthly_metrics(spark, sf):
     return m.agg(F.count("*").alias("n"), r8(F.stddev_samp(r) * F.sqrt(F.lit(12.0)), 6).alias("vol"), r8(metrics.cagr_of_count(r, 12), 6).alias("cagr"), r8(F.avg((r > 0).cast("int")), 6).alias("hit"))
 
 
-@query(", w AS (SELECT date_trunc('month', d)::DATE AS mo, arg_max(close, d) AS c FROM daily GROUP BY 1) SELECT mo, round(c / (SELECT c FROM w WHERE mo < DATE '1995-01-01' ORDER BY mo DESC LIMIT 1), 8) AS nav FROM w WHERE mo >= DATE '1995-01-01'", DAILY_SQL)
+@query(", w AS (SELECT date_trunc('month', d)::DATE AS mo, arg_max(close, d) AS c FROM daily GROUP BY 1) SELECT mo, round(c / (SELECT c FROM w WHERE mo < DATE '1996-01-01' ORDER BY mo DESC LIMIT 1), 8) AS nav FROM w WHERE mo >= DATE '1996-01-01'", DAILY_SQL)
 def nav_rebased(spark, sf):
     """Month ends over the last one before the window."""
     m = daily(spark, sf).groupBy(F.trunc("d", "MM").alias("mo")).agg(F.max_by("close", "d").alias("c"))
-    start = m.where("mo < date'1995-01-01'").agg(F.max_by("c", "mo").alias("base"))
-    return m.where("mo >= date'1995-01-01'").crossJoin(F.broadcast(start)).select("mo", r8(F.try_divide("c", "base")).alias("nav"))
+    start = m.where("mo < date'1996-01-01'").agg(F.max_by("c", "mo").alias("base"))
+    return m.where("mo >= date'1996-01-01'").crossJoin(F.broadcast(start)).select("mo", r8(F.try_divide("c", "base")).alias("nav"))
 
 
 @query(" SELECT d, date_diff('day', lag(d) OVER (ORDER BY d), d)::INT AS elapsed FROM daily", DAILY_SQL)
@@ -112,16 +112,16 @@ def anchor_before(spark, sf):
     return daily(spark, sf).where("d < date'1995-06-15'").agg(F.max("d").alias("anchor"), F.max_by("close", "d").alias("close"))
 
 
-_VOL = ", v AS (SELECT d, r, CASE WHEN count(r) OVER h = 5 THEN stddev_samp(r) OVER h END AS v FROM ret WINDOW h AS (ORDER BY d ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)), c AS (SELECT quantile_cont(v, 0.2) a, quantile_cont(v, 0.4) b, quantile_cont(v, 0.6) c, quantile_cont(v, 0.8) e FROM v WHERE d < DATE '1995-01-01')"
+_VOL = ", v AS (SELECT d, r, CASE WHEN count(r) OVER h = 5 THEN stddev_samp(r) OVER h END AS v FROM ret WINDOW h AS (ORDER BY d ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)), c AS (SELECT quantile_cont(v, 0.2) a, quantile_cont(v, 0.4) b, quantile_cont(v, 0.6) c, quantile_cont(v, 0.8) e FROM v WHERE d < DATE '1996-01-01')"
 
 
-@query(_VOL + " SELECT CASE WHEN v.v <= c.a THEN 1 WHEN v.v <= c.b THEN 2 WHEN v.v <= c.c THEN 3 WHEN v.v <= c.e THEN 4 ELSE 5 END AS quintile, count(*) FILTER (d < DATE '1995-01-01') AS pre, count(*) FILTER (d >= DATE '1995-01-01') AS post, round(avg(r), 8) AS mean FROM v, c WHERE v.v IS NOT NULL AND c.a IS NOT NULL GROUP BY 1", DAILY_SQL)
+@query(_VOL + " SELECT CASE WHEN v.v <= c.a THEN 1 WHEN v.v <= c.b THEN 2 WHEN v.v <= c.c THEN 3 WHEN v.v <= c.e THEN 4 ELSE 5 END AS quintile, count(*) FILTER (d < DATE '1996-01-01') AS pre, count(*) FILTER (d >= DATE '1996-01-01') AS post, round(avg(r), 8) AS mean FROM v, c WHERE v.v IS NOT NULL AND c.a IS NOT NULL GROUP BY 1", DAILY_SQL)
 def volatility_quintiles(spark, sf):
     """Bounds from the days before the cut alone, each the last of its class."""
     v = returns(spark, sf).select("d", "r", rolling(F.stddev_samp, F.col("r"), day(), 5).alias("v"))
-    cuts = v.where("d < date'1995-01-01'").agg(F.percentile("v", F.array(*[F.lit(k / 5) for k in range(1, 5)])).alias("c")).where("c is not null")
+    cuts = v.where("d < date'1996-01-01'").agg(F.percentile("v", F.array(*[F.lit(k / 5) for k in range(1, 5)])).alias("c")).where("c is not null")
     quintile = F.when(F.col("v") <= F.col("c")[0], 1).when(F.col("v") <= F.col("c")[1], 2).when(F.col("v") <= F.col("c")[2], 3).when(F.col("v") <= F.col("c")[3], 4).otherwise(5)
-    pre = F.col("d") < F.lit("1995-01-01")
+    pre = F.col("d") < F.lit("1996-01-01")
     return v.where("v is not null").crossJoin(F.broadcast(cuts)).groupBy(quintile.alias("quintile")).agg(F.count_if(pre).alias("pre"), F.count_if(~pre).alias("post"), r8(F.avg("r")).alias("mean"))
 
 

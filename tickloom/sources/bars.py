@@ -27,9 +27,21 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select(F.explode(F.sequence("a", "z")).alias("d"))
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bars as a poor tape has them, by digits of hashes of day and minute: absent, cut off and sparse sessions, minutes without a bar, bars of one price and bars without volume."""
+    digit = lambda c: F.substring(F.md5(c), 1, 1)
+    b = bars(spark, sf_dir).withColumn("_d", digit(F.col("d").cast("string"))).withColumn("_m", digit(F.concat(F.col("d").cast("string"), F.lit(":"), F.col("m").cast("string"))))
+    gone = F.col("_m").isin("0", "1") | (F.col("_d") == "0") | (F.col("_d").isin("2", "3") & (F.col("m") > 16)) | ((F.col("_d") == "4") & (F.col("m") > 8))
+    whole = F.col("_d").isin("8", "9")
+    b = b.where(~gone | whole)
+    one = F.col("_m").isin("4", "5", "6", "7")
+    prices = [F.when(one, 100.0).otherwise(F.col(c)).alias(c) for c in ("open", "high", "low", "close")]
+    return b.select("d", "m", *prices, F.when(F.col("_m").isin("8", "9"), F.lit(0)).otherwise(F.col("volume")).alias("volume"))
+
+
+def grid(spark: SparkSession, sf_dir: str, of=bars) -> DataFrame:
     """Bars on the dense grid: a row for each session of the calendar and scheduled minute, null where nothing was observed."""
-    b = bars(spark, sf_dir)
+    b = of(spark, sf_dir)
     slots = calendar(spark, sf_dir).withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(MINUTES))))
     return slots.join(b, ["d", "m"], "left")
 
@@ -53,6 +65,18 @@ bars AS (
 ), grid AS (
   SELECT s.d, t.m::INT AS m, open, high, low, close, volume FROM (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d FROM bars) s CROSS JOIN range(1, 25) t(m) LEFT JOIN bars b ON b.d = s.d AND b.m = t.m
 )"""
+HOLED_SQL = """
+bars0 AS (
+  SELECT ts::DATE AS d, (hour(ts) + 1)::INT AS m, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
+    last(value ORDER BY ts, event_id) AS close, count(*) AS volume FROM events GROUP BY 1, 2
+), marks AS (SELECT *, md5(d::VARCHAR)[1] AS kd, md5(d::VARCHAR || ':' || m)[1] AS km FROM bars0
+), bars AS (
+  SELECT d, m, CASE WHEN km IN ('4', '5', '6', '7') THEN 100 ELSE open END AS open, CASE WHEN km IN ('4', '5', '6', '7') THEN 100 ELSE high END AS high, CASE WHEN km IN ('4', '5', '6', '7') THEN 100 ELSE low END AS low,
+    CASE WHEN km IN ('4', '5', '6', '7') THEN 100 ELSE close END AS close, CASE WHEN km IN ('8', '9') THEN 0 ELSE volume END AS volume FROM marks
+  WHERE NOT (km IN ('0', '1') OR kd = '0' OR (kd IN ('2', '3') AND m > 16) OR (kd = '4' AND m > 8)) OR kd IN ('8', '9')
+), grid AS (
+  SELECT s.d, t.m::INT AS m, open, high, low, close, volume FROM (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d FROM bars0) s CROSS JOIN range(1, 25) t(m) LEFT JOIN bars b ON b.d = s.d AND b.m = t.m
+)"""
 DAILY_SQL = """
 daily AS (SELECT o_orderdate::DATE AS d, round(avg(o_totalprice::DECIMAL(18,2))::DOUBLE, 2) AS close FROM orders GROUP BY 1),
 daily2 AS (SELECT l_shipdate::DATE AS d, round(avg(l_extendedprice::DECIMAL(18,2))::DOUBLE, 2) AS close FROM lineitem GROUP BY 1),
