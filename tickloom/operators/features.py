@@ -43,10 +43,13 @@ def with_sigma(grid: DataFrame, n: int = HISTORY, at_least: int = AT_LEAST) -> D
     return grid.withColumn("sigma", rolling(F.avg, F.col("move"), minute(), n, 1, at_least)).withColumn("history", F.coalesce(F.count("move").over(minute().rowsBetween(-n, -1)), F.lit(0)))
 
 
-def with_previous_close(grid: DataFrame) -> DataFrame:
-    """Adds prev_close: the last close of the session before, null if that had none."""
+def with_previous_close(grid: DataFrame, dividends: DataFrame | None = None) -> DataFrame:
+    """Adds prev_close: the last close of the session before, null if that had none; less the dividend (d, amount) that goes ex on this one, if dividends are given."""
     days = grid.groupBy("d").agg(F.max_by("close", F.when(F.col("close").isNotNull(), F.col("m"))).alias("last_close"))
     days = days.select(F.col("d"), F.lag("last_close").over(Window.orderBy("d")).alias("prev_close"))
+    if dividends is not None:
+        cash = dividends.groupBy("d").agg(F.sum("amount").alias("_amount"))
+        days = days.join(cash, "d", "left").select("d", (F.col("prev_close") - F.coalesce("_amount", F.lit(0.0))).alias("prev_close"))
     return grid.join(days, "d")
 
 
@@ -71,8 +74,8 @@ def with_signal(grid: DataFrame, confirm: bool = True, band: float = BAND, every
     return g.withColumn("signal", F.when(admissible, F.when(up, 1).when(down, -1).otherwise(0)))
 
 
-def features(grid: DataFrame, **k) -> DataFrame:
-    return with_signal(with_previous_close(with_sigma(with_move(with_vwap(grid)))), **k)
+def features(grid: DataFrame, dividends: DataFrame | None = None, **k) -> DataFrame:
+    return with_signal(with_previous_close(with_sigma(with_move(with_vwap(grid))), dividends), **k)
 
 
 def exposure(signals: DataFrame) -> DataFrame:

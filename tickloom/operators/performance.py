@@ -133,3 +133,25 @@ def deltas(summary: DataFrame, variant: str, baseline: str, on: tuple[str, ...],
     """summary with d_ columns: each variant's figures less the baseline's of the same `on`."""
     base = summary.where(F.col(variant) == baseline).select(*on, *[F.col(c).alias(f"_{c}") for c in columns])
     return summary.join(base, list(on), "left").select(*summary.columns, *[(F.col(c) - F.col(f"_{c}")).alias(f"d_{c}") for c in columns])
+
+
+def reporting(daily: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Carry apart from trading, a group: returns and growth with and without interest on cash, the interest of a year, and its share of the simple sum of returns (null over 0)."""
+    x = F.coalesce("ret", F.lit(0.0))
+    cash = F.when(F.col("ret").isNotNull(), F.col("cash_interest") / F.col("prev_aum")).otherwise(0.0)
+    years = metrics.years(F.col("d"))
+    return daily.groupBy(*by).agg(
+        metrics.total_return(x).alias("portfolio_total"), metrics.total_return(x - cash).alias("trading_total"), metrics.cagr(x, years).alias("portfolio_cagr"), metrics.cagr(x - cash, years).alias("trading_cagr"),
+        (F.avg(cash) * 252).alias("cash_annualised"), F.try_divide(F.sum(cash), F.sum(x)).alias("cash_share"),
+        (F.avg(F.when(F.col("status") == "active", F.col("ret"))) * 1e4).alias("active_mean_bp"), (F.stddev_samp(F.when(F.col("status") == "active", F.col("ret"))) * 1e4).alias("active_sd_bp"),
+    )
+
+
+def capital(daily: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Use of capital, a group, of daily with scheduled minutes and sums of dollars times minutes (gross_minutes, cash_minutes, borrowed_minutes): ratios of sums, null over 0."""
+    s = lambda x: F.sum(x)
+    aum, held = s(F.col("prev_aum") * F.col("scheduled")), s(F.col("prev_aum") * F.col("holding"))
+    over = lambda a, b: F.when(b > 0, a / b)
+    return daily.groupBy(*by).agg(
+        over(s("gross_minutes"), aum).alias("utilisation"), over(s("holding"), s("scheduled")).alias("time_in_market"), over(s("gross_minutes"), held).alias("held_leverage"), over(s("cash_minutes"), aum).alias("cash"), over(s("borrowed_minutes"), aum).alias("borrowed")
+    )

@@ -12,14 +12,16 @@ from tickloom.functions.times import in_session, minute_of
 def attached(ticks: DataFrame, schedule: DataFrame, label: str = "start", at: str = "ts") -> DataFrame:
     """ticks with d, opens, closes of the latest session that opened at or before them, inside and m, the minute of the session.
 
-    schedule has one session (d, opens, closes) a day. Each day gets its own session and the one before; ticks are joined to their day, so neither side is sorted by time.
+    schedule has sessions (d, opens, closes), several a day if need be. Each day gets its own, in order, and the last one before it; ticks are joined to their day, so neither side is sorted by time.
     """
     bounds = ticks.agg(F.min(F.to_date(at)).alias("a"), F.max(F.to_date(at)).alias("z")).where("a is not null")
     days = bounds.select(F.explode(F.sequence("a", "z")).alias("day")).unionByName(schedule.select(F.to_date("opens").alias("day"))).distinct()
-    own = days.join(schedule.select(F.struct("d", "opens", "closes").alias("own"), F.to_date("opens").alias("day")), "day", "left")
-    before = F.last("own", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
-    joined = ticks.withColumn("_day", F.to_date(at)).join(own.withColumn("before", before), F.col("_day") == F.col("day"), "left")
-    of = F.when(F.col(at) >= F.col("own.opens"), F.col("own")).otherwise(F.col("before"))
+    opened = schedule.groupBy(F.to_date("opens").alias("day")).agg(F.array_sort(F.collect_list(F.struct("opens", "d", "closes"))).alias("own"))
+    own = days.join(opened, "day", "left")
+    before = F.last(F.get("own", F.size("own") - 1), ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    joined = ticks.withColumn("_day", F.to_date(at)).join(own.withColumn("before", before), F.col("_day") == F.col("day"), "left").withColumn("_at", F.col(at))
+    begun = F.expr("filter(own, s -> s.opens <= _at)")
+    of = F.when(F.size(begun) > 0, F.get(begun, F.size(begun) - 1)).otherwise(F.col("before"))
     out = joined.withColumn("_of", of).select(*ticks.columns, "_of.d", "_of.opens", "_of.closes")
     return out.withColumn("inside", in_session(F.col(at), F.col("opens"), F.col("closes"), label)).withColumn("m", minute_of(F.col(at), F.col("opens"), label))
 

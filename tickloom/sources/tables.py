@@ -79,3 +79,9 @@ def of_symbol(df: DataFrame, symbol: str, column: str = "symbol") -> DataFrame:
 def numeric(c: str) -> Column:
     """A number, or null for what isn't one."""
     return F.expr(f"try_cast(`{c}` as double)")
+
+
+def symbol_counts(df: DataFrame, symbol: str, column: str = "symbol") -> DataFrame:
+    """(kept, dropped): rows that of_symbol() keeps, and those of other symbols or none."""
+    here = F.coalesce(F.upper(F.trim(F.col(column))) == symbol.upper(), F.lit(False))
+    return df.agg(F.count_if(here).alias("kept"), F.count_if(~here).alias("dropped"))
