@@ -34,6 +34,12 @@ def beta(r: Column, b: Column) -> Column:
     return F.try_divide(F.covar_samp(r, b), F.var_pop(b))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's; null where one side doesn't vary."""
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(F.when(both, a)) * F.stddev_samp(F.when(both, b)))
+
+
 def cagr(r: Column, years_: Column) -> Column:
     """Compounded growth a year; null where all is lost."""
     total = F.product(1 + r)

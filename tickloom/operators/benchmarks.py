@@ -82,7 +82,7 @@ def correlations(pairs: DataFrame) -> DataFrame:
         return metrics.beta(F.when(ok, r), F.when(ok, b)), F.try_divide(F.avg(F.when(ok, r)), F.avg(F.when(ok, b)))
 
     (ub, uc), (db, dc) = side(True), side(False)
-    return x.groupBy("freq").agg(F.count("*").alias("n"), F.corr("r", "b").alias("pearson"), F.corr("kr", "kb").alias("spearman"), ub.alias("up_beta"), db.alias("down_beta"), uc.alias("up_capture"), dc.alias("down_capture"))
+    return x.groupBy("freq").agg(F.count("*").alias("n"), metrics.correlation(r, b).alias("pearson"), metrics.correlation(F.col("kr"), F.col("kb")).alias("spearman"), ub.alias("up_beta"), db.alias("down_beta"), uc.alias("up_capture"), dc.alias("down_capture"))
 
 
 def relative(pairs: DataFrame) -> DataFrame:

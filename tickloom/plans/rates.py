@@ -12,12 +12,13 @@ from tickloom.sources import payloads
 from tickloom.sources.bars import DAILY_SQL, daily, table
 
 SITE = "https://rates.example/"
-_MONTHS = "SELECT date_trunc('month', o_orderdate)::DATE AS f, round(avg(o_totalprice::DECIMAL(18,2))::DOUBLE / 10000, 2) AS p FROM orders GROUP BY 1"
+_MONTHS = "SELECT date_trunc('month', o_orderdate)::DATE AS f, (floor(avg(o_totalprice::DECIMAL(18,2))::DOUBLE / 10000 * 1e2 + 0.5) / 1e2) AS p FROM orders GROUP BY 1"
 _SCHEDULE = f"WITH m AS ({_MONTHS}), sch AS (SELECT f, lead(f) OVER (ORDER BY f) - 1 AS t, p FROM m)"
 
 
 def mean(c: str, places: int):
-    return F.round(F.avg(F.col(c).cast("decimal(18,2)")).cast("double") / 10_000, places)
+    """A rounded mean; halves go up by arithmetic, which engines do alike."""
+    return F.floor(F.avg(F.col(c).cast("decimal(18,2)")).cast("double") / 10_000 * float(10**places) + 0.5) / float(10**places)
 
 
 def schedule(spark, sf, period: str = "month", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -61,7 +62,7 @@ def effective_rates(spark, sf):
     return by.select("of.effective_from", "n", F.round(F.col("price").cast("double") * F.col("of.rate_decimal"), 4).alias("fee"))
 
 
-@query("WITH q AS (SELECT o_orderpriority AS k, date_trunc('quarter', o_orderdate)::DATE AS f, round(avg(o_totalprice::DECIMAL(18,2))::DOUBLE / 10000, 2) / 1e6 AS r FROM orders GROUP BY 1, 2), o AS (SELECT o_orderpriority, date_trunc('quarter', o_orderdate)::DATE AS f, o_totalprice::DECIMAL(18,2) AS p FROM orders) SELECT o_orderpriority, count(*) AS n, round(sum(p * r::DECIMAL(18,10))::DOUBLE, 4) AS fee FROM o JOIN q ON o_orderpriority = k AND o.f = q.f GROUP BY 1")
+@query("WITH q AS (SELECT o_orderpriority AS k, date_trunc('quarter', o_orderdate)::DATE AS f, (floor(avg(o_totalprice::DECIMAL(18,2))::DOUBLE / 10000 * 1e2 + 0.5) / 1e2) / 1e6 AS r FROM orders GROUP BY 1, 2), o AS (SELECT o_orderpriority, date_trunc('quarter', o_orderdate)::DATE AS f, o_totalprice::DECIMAL(18,2) AS p FROM orders) SELECT o_orderpriority, count(*) AS n, round(sum(p * r::DECIMAL(18,10))::DOUBLE, 4) AS fee FROM o JOIN q ON o_orderpriority = k AND o.f = q.f GROUP BY 1")
 def keyed_rates(spark, sf):
     """A schedule for each priority, in quarters."""
     s = schedules.checked(schedule(spark, sf, "quarter", ("o_orderpriority",)), SITE, ("o_orderpriority",))
@@ -79,8 +80,8 @@ def uncovered_days(spark, sf):
 
 _CURVE = (
     DAILY_SQL
-    + """, mon AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, round(avg(l_extendedprice::DECIMAL(18,2))::DOUBLE / 10000, 4) AS rate FROM lineitem GROUP BY 1),
- obs AS (SELECT l_shipdate::DATE AS d, round(avg(l_extendedprice::DECIMAL(18,2))::DOUBLE / 10000, 4) AS rate FROM lineitem WHERE isodow(l_shipdate) IN (1, 3, 5) GROUP BY 1),
+    + """, mon AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, (floor(avg(l_extendedprice::DECIMAL(18,2))::DOUBLE / 10000 * 1e4 + 0.5) / 1e4) AS rate FROM lineitem GROUP BY 1),
+ obs AS (SELECT l_shipdate::DATE AS d, (floor(avg(l_extendedprice::DECIMAL(18,2))::DOUBLE / 10000 * 1e4 + 0.5) / 1e4) AS rate FROM lineitem WHERE isodow(l_shipdate) IN (1, 3, 5) GROUP BY 1),
  one AS (SELECT d, 'monthly' AS benchmark, strftime(month, '%Y-%m') AS observation, 'previous_completed_month' AS policy, rate, date_diff('day', last_day(date_trunc('month', d)::DATE - 1), d)::INT AS age FROM daily LEFT JOIN mon ON month = date_trunc('month', d) - INTERVAL 1 MONTH WHERE d <= DATE '1998-06-30'),
  two AS (SELECT s.d, 'daily' AS benchmark, obs.d::VARCHAR AS observation, 'latest_strictly_before' AS policy, CASE WHEN s.d - obs.d <= 2 THEN rate END AS rate, (s.d - obs.d)::INT AS age FROM (SELECT d FROM daily WHERE d >= DATE '1998-07-06') s ASOF LEFT JOIN obs ON s.d > obs.d),
  curve AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT d, NULL, NULL, NULL, NULL, NULL FROM daily WHERE d > DATE '1998-06-30' AND d < DATE '1998-07-06')"""
@@ -145,7 +146,7 @@ def chart_faults(spark, sf):
     return payloads.chart_faults(b.unionByName(b.where(day == 6)))
 
 
-_LINES = "SELECT l_shipdate::DATE AS d, round(avg(l_extendedprice::DECIMAL(18,2))::DOUBLE / 10000, 4) AS rate FROM lineitem GROUP BY 1"
+_LINES = "SELECT l_shipdate::DATE AS d, (floor(avg(l_extendedprice::DECIMAL(18,2))::DOUBLE / 10000 * 1e4 + 0.5) / 1e4) AS rate FROM lineitem GROUP BY 1"
 
 
 def _rates(spark, sf) -> DataFrame:
@@ -162,7 +163,7 @@ def pair_payload(spark, sf):
     return payloads.pair_rates(texts, "RATE")
 
 
-@query("SELECT date_trunc('month', l_shipdate)::DATE AS month, round(avg(l_extendedprice::DECIMAL(18,2))::DOUBLE / 10000, 4) AS rate FROM lineitem GROUP BY 1")
+@query("SELECT date_trunc('month', l_shipdate)::DATE AS month, (floor(avg(l_extendedprice::DECIMAL(18,2))::DOUBLE / 10000 * 1e4 + 0.5) / 1e4) AS rate FROM lineitem GROUP BY 1")
 def monthly_series(spark, sf):
     m = table(spark, sf, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("TIME_PERIOD")).agg(mean("l_extendedprice", 4).cast("string").alias("OBS_VALUE"))
     return payloads.monthly_rates(m.select("*", F.lit("SERIES").alias("KEY"), F.lit("PCPA").alias("UNIT"), F.lit("A").alias("COLLECTION")), "SERIES")

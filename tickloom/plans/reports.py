@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import metrics
 from tickloom.operators import inference, packing, performance, published
-from tickloom.plans.catalogue import day, query, r8, returns
+from tickloom.plans.catalogue import query, r8, returns
 from tickloom.sources import synthetic
-from tickloom.sources.bars import BARS_SQL, DAILY_SQL, benchmark, calendar, table
+from tickloom.sources.bars import BARS_SQL, DAILY_SQL, calendar, table
 
 LEDGER_SQL = (
     DAILY_SQL
@@ -160,7 +160,7 @@ def variant_deltas(spark, sf):
 
 # Published figures.
 
-_ACTUAL = """, mon AS (SELECT 'orders' AS variant, year(d)::INT AS y, month(d)::INT AS mo, product(1 + r) * 100 - 100 AS actual, count(*) AS sessions FROM ret WHERE r IS NOT NULL GROUP BY 2, 3 UNION ALL SELECT 'lines', year(d)::INT, month(d)::INT, product(1 + b) * 100 - 100, count(*) FROM (SELECT d, close / lag(close) OVER (ORDER BY d) - 1 AS b FROM daily2) WHERE b IS NOT NULL GROUP BY 2, 3),
+_ACTUAL = """, mon AS (SELECT 'orders' AS variant, year(d)::INT AS y, month(d)::INT AS mo, product(1 + r) * 100 - 100 AS actual, count(*) AS sessions FROM ret WHERE r IS NOT NULL GROUP BY 2, 3 UNION ALL SELECT 'lines', year(d)::INT, month(d)::INT, product(1 + ret) * 100 - 100, count(*) FROM led WHERE ret IS NOT NULL GROUP BY 2, 3),
  act AS (SELECT *, day(last_day(make_date(y, mo, 1)))::BIGINT AS due FROM mon), pub AS (SELECT y, mo, round(actual, 1) AS published FROM mon WHERE variant = 'orders' AND NOT (mo = 7 AND y % 2 = 1)),
  cmp AS (SELECT coalesce(w.variant, a.variant) AS variant, coalesce(w.y, a.y) AS y, coalesce(w.mo, a.mo) AS mo, published, actual, actual - published AS difference, CASE WHEN w.y IS NULL THEN 'not_published' WHEN a.y IS NULL THEN 'no_sessions' WHEN sessions < due THEN 'incomplete' ELSE '' END AS reason
   FROM (SELECT pub.*, variant FROM pub CROSS JOIN (SELECT DISTINCT variant FROM act)) w FULL JOIN act a ON a.variant = w.variant AND a.y = w.y AND a.mo = w.mo)"""
@@ -168,8 +168,7 @@ _ACTUAL = """, mon AS (SELECT 'orders' AS variant, year(d)::INT AS y, month(d)::
 
 def monthly_actual(spark, sf) -> DataFrame:
     """(variant, year, month, actual, sessions, due): returns in per cent of two series, and how many days a month has."""
-    lines = benchmark(spark, sf).withColumn("r", F.try_divide("close", F.lag("close").over(day())) - 1)
-    both = returns(spark, sf).withColumn("variant", F.lit("orders")).unionByName(lines.withColumn("variant", F.lit("lines")))
+    both = returns(spark, sf).select("d", "r", F.lit("orders").alias("variant")).unionByName(ledger(spark, sf).select("d", F.col("ret").alias("r"), F.lit("lines").alias("variant")))
     m = both.where("r is not null").groupBy("variant", F.year("d").alias("year"), F.month("d").alias("month")).agg((F.product(1 + F.col("r")) * 100 - 100).alias("actual"), F.count("*").alias("sessions"))
     return m.withColumn("due", F.dayofmonth(F.last_day(F.make_date("year", "month", F.lit(1)))).cast("long"))
 
@@ -186,20 +185,20 @@ def comparison(spark, sf) -> DataFrame:
     return published.compared(months, monthly_actual(spark, sf), ("year", "month"), ("variant",))
 
 
-@query(_ACTUAL + " SELECT variant, y AS year, mo AS month, published, round(actual, 4) AS actual, round(difference, 4) AS difference, reason, CASE WHEN reason IN ('not_published', 'no_sessions') THEN 'none' WHEN abs(difference) <= 0.03 THEN 'close' WHEN abs(difference) <= 1 THEN 'near' ELSE 'far' END AS class FROM cmp", DAILY_SQL)
+@query(LEDGER_SQL + _ACTUAL + " SELECT variant, y AS year, mo AS month, published, round(actual, 4) AS actual, round(difference, 4) AS difference, reason, CASE WHEN reason IN ('not_published', 'no_sessions') THEN 'none' WHEN abs(difference) <= 0.03 THEN 'close' WHEN abs(difference) <= 1 THEN 'near' ELSE 'far' END AS class FROM cmp", " ")
 def published_comparison(spark, sf):
     """Every printed month against two recomputed series, with the reason where they can't be compared."""
     out = published.classed(comparison(spark, sf), 0.03)
     return out.select("variant", "year", "month", "published", r8("actual", 4).alias("actual"), r8("difference", 4).alias("difference"), "reason", "class")
 
 
-@query(_ACTUAL + ", c AS (SELECT *, abs(difference) AS x, reason = '' AS fine, reason IN ('', 'incomplete') AS there FROM cmp) SELECT variant, count(x) FILTER (there) AS available, round(avg(x) FILTER (there), 4) AS mae_available, count(x) FILTER (fine) AS comparable, round(avg(x) FILTER (fine), 4) AS mae, round(quantile_cont(x, 0.5) FILTER (fine), 4) AS median, round(max(x) FILTER (fine), 4) AS most, round(avg((x <= 0.03)::INT) FILTER (there) * 100, 4) AS available_within_0_03, round(avg((x <= 0.03)::INT) FILTER (fine) * 100, 4) AS comparable_within_0_03 FROM c GROUP BY 1", DAILY_SQL)
+@query(LEDGER_SQL + _ACTUAL + ", c AS (SELECT *, abs(difference) AS x, reason = '' AS fine, reason IN ('', 'incomplete') AS there FROM cmp) SELECT variant, count(x) FILTER (there) AS available, round(avg(x) FILTER (there), 4) AS mae_available, count(x) FILTER (fine) AS comparable, round(avg(x) FILTER (fine), 4) AS mae, round(quantile_cont(x, 0.5) FILTER (fine), 4) AS median, round(max(x) FILTER (fine), 4) AS most, round(avg((x <= 0.03)::INT) FILTER (there) * 100, 4) AS available_within_0_03, round(avg((x <= 0.03)::INT) FILTER (fine) * 100, 4) AS comparable_within_0_03 FROM c GROUP BY 1", " ")
 def published_errors(spark, sf):
     out = published.errors(comparison(spark, sf), ("variant",), (0.03,))
     return rounded(out, 4)
 
 
-@query(_ACTUAL + " SELECT y AS year, max(mo)::INT AS last_month, 0.0::DOUBLE AS published FROM pub GROUP BY 1", DAILY_SQL)
+@query(LEDGER_SQL + _ACTUAL + " SELECT y AS year, max(mo)::INT AS last_month, 0.0::DOUBLE AS published FROM pub GROUP BY 1", " ")
 def published_years(spark, sf):
     return published.long_months(published_table(spark, sf))[1]
 
