@@ -448,7 +448,7 @@ def matrix_cells(spark, sf):
 
 
 def queries() -> dict:
-    from tickloom.plans import audits, comparisons, daily, ingestion, rates, reports, statistics  # noqa: F401  (they register theirs)
+    from tickloom.plans import audits, comparisons, daily, ingestion, rates, reports, statistics, summaries  # noqa: F401  (they register theirs)
 
     return dict(_Q)
 
