@@ -90,13 +90,20 @@ def test_pipeline_stages_by_rows(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     rows = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=str)
     assert rows(corpus_pipeline.drop_toxic(spark, docs, at)) == rows(docs)
-    # Both texts of id 1 are one node, so one of the two stays for all that they link.
+    # The texts of id 1 are judged apart: the one that 2 and a row without an id copy stays for them, of the other one of its two rows.
     near = rows(corpus_pipeline.one_of_near_copies(spark, docs, at))
-    assert len([x for x in near if x[1] in (COMMON, other)]) == 1 and {x[0] for x in near if x[1] in (COMMON, other)} == {1}
+    assert [x for x in near if x[1] in (COMMON, other)] == sorted([(1, COMMON), (1, other)], key=str)
     rest = [(None, f"once {item} again"), (None, "a text of its own that nobody else has at all"), (None, None), (None, None), (3, ""), (None, "and this one twice here without any id")]
     assert [x for x in near if x[1] not in (COMMON, other)] == sorted(rest, key=str)
     clean = rows(corpus_pipeline.drop_contaminated(spark, docs, at))
     assert clean == sorted([x for x in texts if item not in (x[1] or "")], key=str)
+    # An item of one common word is reported as short and drops nothing; a text that quotes an item doesn't take another of its id along.
+    more = str(tmp_path / "more")
+    spark.createDataFrame([(1, item), (2, "that")], "item_id long, text string").write.parquet(f"{more}/benchmark.parquet")
+    quoting = docs.unionByName(spark.createDataFrame([(1, f"look {item}", "en", "a", 80)], docs.schema))
+    assert rows(corpus_pipeline.drop_contaminated(spark, quoting, more)) == clean
+    found = decontamination.matches(quoting, spark.read.parquet(f"{more}/benchmark.parquet")).collect()
+    assert {(r.item_id, r.short) for r in found} == {(1, False), (2, True)}
     # One source alone: its target is one and a half of its words, so each row with words comes once or twice.
     mixed = rows(corpus_pipeline.to_target_weights(spark, docs, at))
     assert {x: mixed.count(x) >= texts.count(x) for x in texts if (x[1] or "").strip()} == {x: True for x in texts if (x[1] or "").strip()}

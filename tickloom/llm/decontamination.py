@@ -128,12 +128,12 @@ def _all_windows(n: int, literals: int):
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_windows, n_exact, item_windows): documents that hold windows of a benchmark item up to its slots.
+    """(doc_id, item_id, n_windows, n_exact, item_windows, short): documents that hold windows of a benchmark item up to its slots.
 
     Windows match when their tokens are equal, or when they have plain words enough and their templates are equal. Those of one document
     and item that stand at the same distance must fill slots alike: each value of the item by one value in the document, and the other way
     round; else only those with the item's own values are counted. n_exact counts windows with the item's own values. An item of
-    fewer tokens than a window needs plain words matches as it is, or not at all. Null and empty texts match nothing. Rows that repeat an id are taken as one. Empty tables give an empty result. Other columns are not read.
+    fewer tokens than a window needs plain words matches as it is, or not at all; it is short, and so common a phrase may be no sign of the benchmark. Null and empty texts match nothing. Rows that repeat an id are taken as one. Empty tables give an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     # literals: fewer let windows of values alone match; more lose re-parameterised windows of many values. Verbatim ones are found either way.
@@ -155,10 +155,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
                 if ok.any():
                     yield _rows(batch.column(0), lo, first, pos[ok], h[ok], h2[ok], slots, k)
 
-    ours = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(hits, _OUT).withColumnRenamed("id", "doc_id")
+    # Few of all windows are hits; written, they are counted and joined from one pass over the texts.
+    ours = shared.written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(hits, _OUT).withColumnRenamed("id", "doc_id"), "window-hits")
     sizes_of = shared.written(ours.groupBy("hash", "check").agg(F.count("*").alias("n")), "window-counts")
-    theirs_by = theirs.groupBy("hash", "check").agg(F.collect_list(F.struct("item_id", "item_pos", "item_slots")).alias("theirs"))
-    met = shared.spread_join(ours, theirs_by, ["hash", "check"], sizes_of, ["doc_id", "pos"]).select("doc_id", "pos", "slots", F.inline("theirs"))
+    # A template of many items is as many rows, never one array.
+    met = shared.spread_join(ours, theirs.drop("n"), ["hash", "check"], sizes_of, ["doc_id", "pos"]).select("doc_id", "pos", "slots", "item_id", "item_pos", "item_slots")
     pairs = F.arrays_zip("item_slots", "slots")
     lines = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.count_distinct("item_pos").alias("n"), F.count_distinct(F.when(F.col("slots") == F.col("item_slots"), F.col("item_pos"))).alias("exact")
@@ -166,8 +167,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     alike = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item_slots")))) & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.slots"))))
     lines = lines.withColumn("n", F.when(alike, F.col("n")).otherwise(F.col("exact"))).where("n > 0")
     found = lines.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"), F.sum("exact").alias("n_exact"))
-    sizes = theirs.groupBy("item_id").agg(F.count_distinct("item_pos").alias("item_windows"))
-    return found.join(sizes, "item_id").select("doc_id", "item_id", "n_windows", "n_exact", "item_windows")
+    sizes = theirs.groupBy("item_id").agg(F.count_distinct("item_pos").alias("item_windows"), (F.max("n") < min(literals, window)).alias("short"))
+    return found.join(sizes, "item_id").select("doc_id", "item_id", "n_windows", "n_exact", "item_windows", "short")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -313,12 +313,12 @@ def _stars(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return rays.unionByName(middle), [hubs, best, per]
 
 
-def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, tie_col: str | None = None) -> DataFrame:
-    """(doc_id, node, tie, n, component) of every row of docs; see jaccard_join. component is the smallest node."""
+def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, tie_col: str | None = None, node_col: str | None = None) -> DataFrame:
+    """(doc_id, node, tie, n, component) of every row of docs; see jaccard_join. component is the smallest node; nodes are ids, or what node_col has."""
     spark = docs.sparkSession
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
     # Above all ids: the smallest of a component is an id if there is one.
-    node = F.coalesce(doc_id, F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID)))
+    node = F.col(node_col) if node_col else F.coalesce(doc_id, F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID)))
     texts = docs.select(doc_id.alias("doc_id"), node.alias("node"), (F.col(tie_col) if tie_col else F.lit(None).cast("long")).alias("tie"), text.alias("text"))
     # The sketch's rows come with the described documents', so texts are read once for both.
     told = shared.written(texts.mapInArrow(_described(n), "doc_id long, node long, tie long, n int, k1 long, k2 long, bits binary, piece int, counts binary"), "jaccard-sets")
@@ -334,7 +334,8 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
 
     classes = described.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("node").alias("class_id"), F.min("bits").alias("bits"), F.count("*").alias("copies"))
     classes = shared.written(classes, "jaccard-classes")
-    elements = texts.select("text").mapInArrow(_prefixes(n, percent, spark.sparkContext.broadcast(rank)), "element long, k1 long")
+    # Read twice, so texts are cut into shingles once for both.
+    elements = shared.written(texts.select("text").mapInArrow(_prefixes(n, percent, spark.sparkContext.broadcast(rank)), "element long, k1 long"), "elements")
     common = shared.written(elements.groupBy("element").agg(F.min("k1").alias("k_min"), F.max("k1").alias("k_max"), F.count("*").alias("n")).where("k_min <> k_max").select("element", "n"), "shared-elements")
     members = shared.spread_join(elements, common.select("element"), ["element"], common, ["k1"]).distinct()
     members = shared.written(members.join(classes.select("k1", "class_id", "n").hint("merge"), "k1").select("element", "class_id", "n"), "element-members")
@@ -352,7 +353,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
     large = shared.written(members.groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "large-elements")
     small = members.join(large.select("element").hint("merge"), "element", "left_anti")
     keyed = small.select("class_id", F.col("class_id").alias("label"), "n", F.xxhash64("element").alias("key"), F.lit(0).cast("long").alias("tile"))
-    over = [common, members, large]
+    over = [elements, common, members, large]
     if large.isEmpty():
         met, labels = spark.createDataFrame([], _PAIR), None
     else:
@@ -400,10 +401,13 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, id_col
     return _joined(docs, n, percent, id_col, text_col).select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
-def repeated(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, tie_col: str) -> DataFrame:
-    """(node, tie, stays) of each component of more than one row with words, each once: the smallest id stays, rows without one after all others, then the smallest tie."""
-    joined = shared.written(_joined(docs, n, percent, id_col, text_col, tie_col).where("n > 0").select("node", "tie", "component"), "jaccard-joined")
-    row = F.struct("node", "tie")
+def repeated(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, tie_col: str, node_col: str) -> DataFrame:
+    """(node, tie, stays) of each component of more than one row with words, each once: the smallest id stays, rows without one after all others, then the smallest node and tie.
+
+    Rows of one node are taken as linked; where rows of one id may differ, node_col tells their texts apart.
+    """
+    joined = shared.written(_joined(docs, n, percent, id_col, text_col, tie_col, node_col).where("n > 0").select("doc_id", "node", "tie", "component"), "jaccard-joined")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "tie")
     groups = shared.written(joined.groupBy("component").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1"), "jaccard-copies")
     met = shared.spread_join(joined, groups.drop("n"), ["component"], groups, ["node", "tie"])
     met = shared.written(met.select("node", "tie", (row == F.col("first")).alias("stays")).distinct(), "jaccard-repeated")

@@ -88,7 +88,7 @@ HOT, SALTS = 1_000, 64
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], sizes: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """left.join(right, keys, how) for keys of which some hold much of `left`; right has each key once.
+    """left.join(right, keys, how) for keys of which some hold much of `left`; right has each key once, or few rows of each.
 
     sizes (keys, n) tells how many rows of `left` each key has, at least for those that `right` has too. The fewer than HOT hot keys are sent to
     all tasks; their rows are dealt out by a hash of `by`, and their rows of `right` are repeated for each salt.
