@@ -14,6 +14,8 @@ from tickloom.llm import text as T
 
 #: Tokens in a window, and how many of them must be plain words for a match up to slots; a shorter item is one window of all its tokens.
 WINDOW, LITERALS = 10, 5
+#: Items of fewer words are short.
+SHORT = 5
 #: Bits of the filter that documents' windows pass before the join.
 FILTER_BITS = 1 << 23
 
@@ -133,7 +135,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     Windows match when their tokens are equal, or when they have plain words enough and their templates are equal. Those of one document
     and item that stand at the same distance must fill slots alike: each value of the item by one value in the document, and the other way
     round; else only those with the item's own values are counted. n_exact counts windows with the item's own values. An item of
-    fewer tokens than a window needs plain words matches as it is, or not at all; it is short, and so common a phrase may be no sign of the benchmark. Null and empty texts match nothing. Rows that repeat an id are taken as one. Empty tables give an empty result. Other columns are not read.
+    fewer tokens than a window needs plain words matches as it is, or not at all. One of fewer than SHORT words is flagged as short: so common a phrase may be no sign of the benchmark. Null and empty texts match nothing. Rows that repeat an id are taken as one. Empty tables give an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     # literals: fewer let windows of values alone match; more lose re-parameterised windows of many values. Verbatim ones are found either way.
@@ -167,8 +169,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     alike = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item_slots")))) & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.slots"))))
     lines = lines.withColumn("n", F.when(alike, F.col("n")).otherwise(F.col("exact"))).where("n > 0")
     found = lines.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"), F.sum("exact").alias("n_exact"))
-    sizes = theirs.groupBy("item_id").agg(F.count_distinct("item_pos").alias("item_windows"), (F.max("n") < min(literals, window)).alias("short"))
-    return found.join(sizes, "item_id").select("doc_id", "item_id", "n_windows", "n_exact", "item_windows", "short")
+    sizes = theirs.groupBy("item_id").agg(F.count_distinct("item_pos").alias("item_windows"))
+    brief = items.groupBy(F.col("id").alias("item_id")).agg((F.max(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))) < SHORT).alias("short"))
+    return found.join(sizes, "item_id").join(brief, "item_id").select("doc_id", "item_id", "n_windows", "n_exact", "item_windows", "short")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
