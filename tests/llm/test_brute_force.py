@@ -224,7 +224,7 @@ def test_toxicity_on_held_out_rows(spark):
 
 def fitted(positive, unlabelled, prior, steps=toxicity.STEPS):
     in_p, in_u = (np.bincount(np.concatenate(x), minlength=7_000) for x in (positive, unlabelled))
-    keep = np.flatnonzero(in_p >= toxicity.LEAST)
+    keep = np.flatnonzero(in_p + in_u > 0)
     rank = np.full(7_000, -1, np.int32)
     rank[keep] = np.arange(len(keep))
     bags = [[r[r >= 0] for r in (np.sort(rank[x]) for x in side)] for side in (positive, unlabelled)]
@@ -290,6 +290,25 @@ def test_toxicity_steps_are_those_of_plain_loops(monkeypatch):
     assert toxicity.risk(np.r_[np.full(20, 4.0), np.full(40, -4.0)], 20, prior)[1] < 0
 
 
+def test_toxicity_draws(spark, monkeypatch):
+    """Most rows have no id and are drawn by their texts; words that clean rows alone have lower a score; a bound of words thins the bags."""
+    rude = [(i, f"you rude{i % 7} nasty{i % 5} one number{i}") for i in range(0, 400, 4)]
+    clean = [(None if i % 2 else i, f"a mild{i % 7} kind{i % 5} word number{i}") for i in range(1_000, 3_000)]
+    docs = spark.createDataFrame(rude + clean, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in rude] + [(i, 0) for i, _ in clean if i], "doc_id long, toxic int")
+    w, b = toxicity.train(docs, labels)
+    asked = spark.createDataFrame([(1, "nasty1"), (2, ""), (3, "nasty1 mild1 kind2")], "doc_id long, text string")
+    s = {r.doc_id: r.score for r in toxicity.score(asked, w, b).collect()}
+    assert s[1] > s[3] and s[1] > s[2]
+    again, _ = toxicity.train(docs, labels)
+    assert (again == w).all()
+    monkeypatch.setattr(toxicity, "MOST_UNLABELLED", 1_100)
+    drawn = np.count_nonzero(toxicity.train(docs, labels)[0])
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 2_000)
+    thinned = np.count_nonzero(toxicity.train(docs, labels)[0])
+    assert 0 < thinned < drawn < np.count_nonzero(w)
+
+
 def test_toxicity_bags_hold_all_words():
     (batch,) = toxicity._bags(iter([pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{x}" for x in range(60_000))]), pa.array([True])], ["text", "positive"])]))
     assert len(batch.column(1)[0].as_py()) // 4 > 50_000
