@@ -92,32 +92,43 @@ class Encoder:
         self.keys, self.number = np.zeros(0, _U), np.zeros(0, np.int64)
         self.check, self.met, self.flat, self.at = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _learn(self, new: list[bytes], check: np.ndarray) -> np.ndarray:
-        """The numbers that new pieces get. Those with a space in front are encoded end to end in one call and told apart by the bytes that ids stand for."""
-        flat, sizes = [], []
-        for lo in range(0, len(new), AT_ONCE):
-            texts = [w.decode("utf-8", "replace") for w in new[lo : lo + AT_ONCE]]
-            whole = [any(t in w for t in self.added) for w in new[lo : lo + AT_ONCE]]
-            joins = np.fromiter((self.cuts and w[0] == " " and not w[-1].isspace() and "\ufffd" not in w and not one for w, one in zip(texts, whole, strict=True)), bool, len(texts))
-            joined = [w for w, j in zip(texts, joins, strict=True) if j]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.cumsum(np.fromiter((len(w) for w, j in zip(new[lo : lo + AT_ONCE], joins, strict=True) if j), np.int64, len(joined)))
-            size = np.zeros(len(texts), np.int64)
-            size[joins] = np.diff(np.r_[0, np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1]) if len(joined) else 0
-            own = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, j in zip(texts, joins, strict=True) if not j], add_special_tokens=False)]
-            size[~joins] = [len(x) for x in own]
+    def _learn(self, b: np.ndarray, start: np.ndarray, end: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The numbers that new pieces b[start:end] get. Those with a space in front are encoded end to end in one call and told apart by the bytes that ids stand for."""
+        flat, sizes, raw = [], [], b.tobytes()
+        for lo in range(0, len(start), AT_ONCE):
+            first, last = start[lo : lo + AT_ONCE], end[lo : lo + AT_ONCE]
+            own = [raw[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+            joins = np.full(len(own), self.cuts)
+            if self.cuts:
+                filled = np.flatnonzero(last > first)
+                joins[last == first] = False
+                joins[filled] = (b[first[filled]] == 32) & _after_ink(b, last[filled])
+                every = b"\n".join(own)
+                if any(t in every for t in self.added):
+                    joins &= np.fromiter((not any(t in w for t in self.added) for w in own), bool, len(own))
+            joined = b"".join(own[k] for k in np.flatnonzero(joins).tolist())
+            try:
+                text = joined.decode()
+            except UnicodeDecodeError:  # a byte that isn't UTF-8 becomes a character of three
+                joins &= np.fromiter(("\ufffd" not in w.decode("utf-8", "replace") for w in own), bool, len(own))
+                text = b"".join(own[k] for k in np.flatnonzero(joins).tolist()).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            size = np.zeros(len(own), np.int64)
+            size[joins] = np.diff(np.r_[0, np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum((last - first)[joins])) + 1]) if joins.any() else 0
+            rest = [e.ids for e in self.tokenizer.encode_batch_fast([own[k].decode("utf-8", "replace") for k in np.flatnonzero(~joins).tolist()], add_special_tokens=False)]
+            size[~joins] = [len(x) for x in rest]
             mine = np.repeat(joins, size)
             out = np.empty(len(mine), np.int32)
             out[mine] = ids
-            out[~mine] = np.fromiter(chain.from_iterable(own), np.int32)
+            out[~mine] = np.fromiter(chain.from_iterable(rest), np.int32)
             flat.append(out)
             sizes.append(size)
-        first = len(self.check)
+        before = len(self.check)
         self.flat = np.concatenate([self.flat, *flat])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
         self.check = np.concatenate([self.check, check])
-        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
-        return np.arange(first, first + len(new))
+        self.met = np.concatenate([self.met, np.zeros(len(start), np.int64)])
+        return np.arange(before, before + len(start))
 
     def _known(self, keys: np.ndarray) -> np.ndarray:
         """The numbers of ascending keys, -1 for new ones."""
@@ -136,19 +147,18 @@ class Encoder:
         rank[order] = np.arange(len(keys))
         which = rank[which]
         number = self._known(keys)
-        raw = b.tobytes()
         fresh = np.flatnonzero(number < 0)
         if len(fresh):
             at = np.empty(len(keys), np.int64)
             at[which[::-1]] = np.arange(len(which))[::-1]
             at = at[fresh]
-            number[fresh] = self._learn([raw[lo:hi] for lo, hi in zip(start[at].tolist(), end[at].tolist(), strict=True)], check[at])
+            number[fresh] = self._learn(b, start[at], end[at], check[at])
             into = np.searchsorted(self.keys, keys[fresh])
             self.keys, self.number = np.insert(self.keys, into, keys[fresh]), np.insert(self.number, into, number[fresh])
         number = number[which]
         other = np.flatnonzero(self.check[number] != check)
         if len(other):
-            number[other] = self._learn([raw[lo:hi] for lo, hi in zip(start[other].tolist(), end[other].tolist(), strict=True)], check[other])
+            number[other] = self._learn(b, start[other], end[other], check[other])
         return number
 
     def _forget(self) -> None:
