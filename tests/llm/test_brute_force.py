@@ -512,6 +512,34 @@ def test_encoder_pieces_give_the_ids_of_whole_texts():
         assert [ids[a:b].tolist() for a, b in zip(to[:-1], to[1:], strict=True)] == want
 
 
+def test_encoder_of_bytes_that_are_not_text():
+    """Bytes that aren't UTF-8 become U+FFFD, also between pieces that are learned in one call."""
+    e = token_output.Encoder(token_output.default_tokenizer())
+    texts = [b"one two three", b" a\xff b \xc2", b"\x85 end", b"", b" one four five", " \ufffd is\ufffd six".encode()]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(x) for x in texts])]
+    for _ in range(2):
+        ids, to = e.encode(data, at)
+        want = [[*x.ids, 2] for x in e.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(to[:-1], to[1:], strict=True)] == want
+
+
+def test_groups_of_elements_that_the_same_classes_share_are_one_task(spark):
+    """Near copies are sent once, not once an element; classes without another near enough in size aren't sent."""
+    rows = [(e, c, n) for e in range(50) for c, n in ((1, 100), (2, 110), (3, 400))] + [(e, c, 100) for e in range(60, 70) for c in (1, 2, 4)] + [(90, 5, 10), (90, 6, 100)]
+    got = jaccard_join._groups(spark.createDataFrame(rows, "element long, class_id long, n int"), 80).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.key, []).append((r.class_id, r.n))
+    assert sorted(map(sorted, groups.values())) == [[(1, 100), (2, 100), (4, 100)], [(1, 100), (2, 110)]]
+
+
+def test_links_of_a_tile_are_stars():
+    ids, chain = np.array([7, 3, 9, 1, 5]), {0: [1], 1: [2], 2: [], 3: [4]}
+    assert sorted(jaccard_join._forest(ids, np.arange(5), lambda i, label: chain[i])) == [(1, 5), (3, 7), (3, 9)]
+    # What a label joins already needs no link.
+    assert jaccard_join._forest(ids, np.array([0, 0, 1, 2, 2]), lambda i, label: chain[i]) == [(3, 9)]
+
+
 def test_substring_factors(spark):
     """Factors hold the words of their references, are as long as they can be, and cover what the SQL's rule removes; crafted words don't collide."""
     rng = np.random.default_rng(4)

@@ -7,7 +7,7 @@ Which documents can meet at all comes from prefix filtering, so tiles hold likel
    elements that a sketch of counts finds frequent last, so that passages which many documents share seldom bring them together.
 3. Where more classes than a tile holds share such an element, each is first compared with the smallest of its size band: a star, so a large group of copies
    becomes one label by as many comparisons as it has members. Pairs of one label need no other comparison.
-4. Classes that share an element and whose bitmaps allow a link are joined to blocks. Groups and blocks that don't fit a tile are dealt to tiles by size band,
+4. Classes that share an element and whose sizes and bitmaps allow a link are joined to blocks; elements that the same classes share are one group. Groups and blocks that don't fit a tile are dealt to tiles by size band,
    label and a hash; pairs of tiles of the same or neighbouring bands, but for two of one label, are tasks of bounded size.
 5. In a pair of tiles, bitmaps bound each overlap from above, and what passes is intersected exactly, unless links found before
    already connect the two. So a group of thousands of copies yields a tree of links, not all pairs.
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tickloom.llm import graph, shared
 from tickloom.llm import text as T
@@ -147,23 +148,28 @@ def _prefixes(n: int, percent: int, sent):
                 for k, s in enumerate(own):
                     r = often[ends[k] - size[k] : ends[k]]
                     out.append(s[: take[k]] if not r.any() else s[np.argsort(r, kind="stable")[: take[k]]])
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(np.concatenate(out))), pa.array(T.signed(np.repeat(key, take)))], ["element", "k1"])
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(np.concatenate(out))), pa.array(T.signed(np.repeat(key, take))), pa.array(np.repeat(size, take).astype(np.int32))], ["element", "k1", "n"])
 
     return run
 
 
-def _forest(label: np.ndarray, can: "callable") -> list[tuple[int, int]]:
-    """Links of a forest that connects what `can(i)`, the later partners of i, connects and `label` doesn't yet; stops when all is one."""
-    label, out = label.copy(), []
+def _forest(ids: np.ndarray, label: np.ndarray, can: "callable") -> list[tuple[int, int]]:
+    """Stars that connect what `can(i)`, the later partners of i, connects and `label` (numbers from 0) doesn't yet: the smallest id of each label with the smallest of all that it is connected with. Stops when all is one."""
+    before, label = label, label.copy()
     for i in range(len(label) - 1):
         if (label == label[0]).all():
             break
         for j in can(i, label):
             if label[j] != label[i]:
-                out.append((i, int(j)))
                 a, b = sorted((label[i], label[j]))
                 label[label == b] = a
-    return out
+    # Stars instead of the links met: their components are the same, and rounds over them are fewer.
+    least = np.full(int(before.max()) + 1, np.iinfo(np.int64).max)
+    hub, to = least.copy(), np.zeros(len(least), np.int64)
+    to[before] = label
+    np.minimum.at(least, before, ids)
+    np.minimum.at(hub, to, least)
+    return [(x, y) for x, y in zip(hub[to].tolist(), least.tolist(), strict=True) if x != y]
 
 
 def _pairs(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -230,7 +236,7 @@ def _candidates(percent: int):
         order = np.lexsort((ids, n))
         ids, n, tile = ids[order], n[order], tile[order]
         maps = Bitmaps([np.frombuffer(bits[k], np.uint64) for k in order])
-        return [(int(ids[a]), int(ids[b])) for a, b in _forest(np.unique(label[order], return_inverse=True)[1], _partners(n, tile, maps, percent))]
+        return _forest(ids, np.unique(label[order], return_inverse=True)[1], _partners(n, tile, maps, percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((*(b.column(k).to_numpy() for k in range(4)), b.column(4).to_numpy().astype(np.int64), b.column(5).to_pylist()) for b in batches)
@@ -255,7 +261,7 @@ def _verified(n: int, percent: int):
                     if 100 * both >= percent * (size[i] + size[k] - both):
                         yield k
 
-        return [(int(ids[a]), int(ids[b])) for a, b in _forest(np.unique(label[order], return_inverse=True)[1], can)]
+        return _forest(ids, np.unique(label[order], return_inverse=True)[1], can)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((*(b.column(k)[lo : lo + len(own)].to_numpy() for k in range(4)), own) for b in batches for lo, own in sets(b.column(4), n))
@@ -272,6 +278,21 @@ def _band(percent: int):
     return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.1 / percent))).cast("int")
 
 
+def _groups(rows: DataFrame, percent: int) -> DataFrame:
+    """(class_id, label, n, key, tile) of (element, class_id, n): a task for each different group of classes that share an element.
+
+    A class goes where no other of the element is near enough in size: none can link with it. Near copies share most of their elements; groups of the same classes have the same key and are one.
+    """
+    by_size = Window.partitionBy("element").orderBy("n")
+    near = F.lit(False)
+    for other in (F.lag("n").over(by_size), F.lead("n").over(by_size)):
+        near |= F.coalesce(100 * F.least("n", other).cast("long") >= percent * F.greatest("n", other).cast("long"), F.lit(False))
+    rows = rows.withColumn("_near", near).where("_near")
+    group = Window.partitionBy("element")
+    marks = [F.bit_xor(F.xxhash64("class_id", "n", F.lit(k))).over(group) for k in range(2)]
+    return rows.select("class_id", F.col("class_id").alias("label"), "n", F.xxhash64(F.count("*").over(group), *marks).alias("key"), F.lit(0).cast("long").alias("tile")).distinct()
+
+
 def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(class_id, label, n, key, tile) of (block, class_id, n, label): each class under every pair of tiles that its own tile is in.
 
@@ -335,10 +356,14 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
     classes = described.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("node").alias("class_id"), F.min("bits").alias("bits"), F.count("*").alias("copies"))
     classes = shared.written(classes, "jaccard-classes")
     # Read twice, so texts are cut into shingles once for both.
-    elements = shared.written(texts.select("text").mapInArrow(_prefixes(n, percent, spark.sparkContext.broadcast(rank)), "element long, k1 long"), "elements")
-    common = shared.written(elements.groupBy("element").agg(F.min("k1").alias("k_min"), F.max("k1").alias("k_max"), F.count("*").alias("n")).where("k_min <> k_max").select("element", "n"), "shared-elements")
-    members = shared.spread_join(elements, common.select("element"), ["element"], common, ["k1"]).distinct()
+    elements = shared.written(texts.select("text").mapInArrow(_prefixes(n, percent, spark.sparkContext.broadcast(rank)), "element long, k1 long, n int"), "elements")
+    common = elements.groupBy("element").agg(F.min("k1").alias("k_min"), F.max("k1").alias("k_max"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("n")).where("k_min <> k_max")
+    # Two texts alone that are too unlike in size, which is how most elements that chance shares are shared, can't link.
+    far = (F.col("n") == 2) & (100 * F.col("least").cast("long") < percent * F.col("most").cast("long"))
+    common = shared.written(common.where(~far).select("element", "n"), "shared-elements")
+    members = shared.spread_join(elements.select("element", "k1"), common.select("element"), ["element"], common, ["k1"]).distinct()
     members = shared.written(members.join(classes.select("k1", "class_id", "n").hint("merge"), "k1").select("element", "class_id", "n"), "element-members")
+    shared.removed(elements, common)
 
     def links(keyed: DataFrame) -> DataFrame:
         keyed = shared.written(keyed, "jaccard-keyed")
@@ -352,8 +377,8 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
     # Elements with more classes than a tile holds; all others are a task each.
     large = shared.written(members.groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "large-elements")
     small = members.join(large.select("element").hint("merge"), "element", "left_anti")
-    keyed = small.select("class_id", F.col("class_id").alias("label"), "n", F.xxhash64("element").alias("key"), F.lit(0).cast("long").alias("tile"))
-    over = [elements, common, members, large]
+    keyed = _groups(small, percent)
+    over = [members, large]
     if large.isEmpty():
         met, labels = spark.createDataFrame([], _PAIR), None
     else:
