@@ -286,7 +286,7 @@ def _groups(rows: DataFrame, percent: int) -> DataFrame:
     by_size = Window.partitionBy("element").orderBy("n")
     near = F.lit(False)
     for other in (F.lag("n").over(by_size), F.lead("n").over(by_size)):
-        near |= F.coalesce(100 * F.least("n", other).cast("long") >= percent * F.greatest("n", other).cast("long"), F.lit(False))
+        near |= other.isNotNull() & (100 * F.least("n", other).cast("long") >= percent * F.greatest("n", other).cast("long"))
     rows = rows.withColumn("_near", near).where("_near")
     group = Window.partitionBy("element")
     marks = [F.bit_xor(F.xxhash64("class_id", "n", F.lit(k))).over(group) for k in range(2)]
