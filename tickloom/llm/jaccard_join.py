@@ -342,7 +342,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
     node = F.col(node_col) if node_col else F.coalesce(doc_id, F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID)))
     texts = docs.select(doc_id.alias("doc_id"), node.alias("node"), (F.col(tie_col) if tie_col else F.lit(None).cast("long")).alias("tie"), text.alias("text"))
     # The sketch's rows come with the described documents', so texts are read once for both.
-    told = shared.written(texts.mapInArrow(_described(n), "doc_id long, node long, tie long, n int, k1 long, k2 long, bits binary, piece int, counts binary"), "jaccard-sets")
+    told = shared.written(texts.mapInArrow(T.giving_back(_described(n)), "doc_id long, node long, tie long, n int, k1 long, k2 long, bits binary, piece int, counts binary"), "jaccard-sets")
     described = told.where("piece is null").select("doc_id", "node", "tie", "n", "k1", "k2", "bits")
     pieces = told.where("piece is not null").select("piece", "counts")
     summed = pieces.repartition(PIECES, "piece").mapInArrow(_added, "piece int, counts binary").collect()
@@ -356,7 +356,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
     classes = described.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("node").alias("class_id"), F.min("bits").alias("bits"), F.count("*").alias("copies"))
     classes = shared.written(classes, "jaccard-classes")
     # Read twice, so texts are cut into shingles once for both.
-    elements = shared.written(texts.select("text").mapInArrow(_prefixes(n, percent, spark.sparkContext.broadcast(rank)), "element long, k1 long, n int"), "elements")
+    elements = shared.written(texts.select("text").mapInArrow(T.giving_back(_prefixes(n, percent, spark.sparkContext.broadcast(rank))), "element long, k1 long, n int"), "elements")
     common = elements.groupBy("element").agg(F.min("k1").alias("k_min"), F.max("k1").alias("k_max"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("n")).where("k_min <> k_max")
     # Two texts alone that are too unlike in size, which is how most elements that chance shares are shared, can't link.
     far = (F.col("n") == 2) & (100 * F.col("least").cast("long") < percent * F.col("most").cast("long"))
@@ -370,7 +370,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
         # Texts that no tile asks for stay where they are.
         asked = texts.where(shared.maybe_in(F.col("node"), shared.filter_of(keyed, F.col("class_id"))))
         one = asked.join(keyed.hint("merge"), asked["node"] == keyed["class_id"]).select("key", "tile", "class_id", "label", "text")
-        found = shared.written(one.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_verified(n, percent), _PAIR), "jaccard-links")
+        found = shared.written(one.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(T.giving_back(_verified(n, percent)), _PAIR), "jaccard-links")
         shared.removed(keyed)
         return found
 
@@ -395,7 +395,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
         keyed = keyed.unionByName(_tile_pairs(open_, percent))
         over += [wide, parted, met, *used]
     tasks = keyed.join(classes.select("class_id", "n", "bits").hint("merge"), ["class_id", "n"]).select("key", "tile", "class_id", "label", "n", "bits")
-    candidates = tasks.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_candidates(percent), _PAIR)
+    candidates = tasks.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(T.giving_back(_candidates(percent)), _PAIR)
     blocks = graph.components(candidates.unionByName(met)).select(F.col("node").alias("class_id"), F.col("component").alias("block"))
     blocks = blocks.join(classes.select("class_id", "n").distinct().hint("merge"), "class_id")
     own = blocks.select("class_id", F.col("class_id").alias("label"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.llm import shared
-from tickloom.llm.text import slices, spans_hashed
+from tickloom.llm.text import giving_back, slices, spans_hashed
 
 END_ID = 2
 #: Pieces of text whose ids a Python worker remembers at most (some 50 bytes each); beyond, those met once are forgotten.
@@ -243,7 +243,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("_tie"))
     # Texts are shuffled rather than ids: they are smaller.
     ordered = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    out = ordered.mapInArrow(_encoded(tokenizer), _SCHEMA)
+    out = ordered.mapInArrow(giving_back(_encoded(tokenizer)), _SCHEMA)
     out.write.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("orc.row.index.stride", str(stride)).option("orc.stripe.size", str(stripe)).option("orc.compress", "ZSTD").orc(path)
 
 
