@@ -1,8 +1,10 @@
 """Operators that SQL cannot express, against plain Python on small tables, exact round trips or held-out rows."""
 
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tickloom.llm import decontamination as dec
-from tickloom.llm import jaccard_join, language_id, line_dedup, quality, substring_dedup, token_output, toxicity
+from tickloom.llm import jaccard_join, language_id, line_dedup, quality, shared, substring_dedup, token_output, toxicity
 
 SF = f"{DATA}/sf0.001"
 
@@ -359,6 +361,37 @@ def test_quality_is_kneser_ney(spark):
         assert all(0.9 <= np.mean(x) <= 0.9 + 1 / len(x) + 0.05 for x in by.values())
 
 
+@pytest.mark.parametrize("head", [quality.HEAD, 50])
+def test_quality_by_parts_is_the_whole_model(spark, tmp_path, monkeypatch, head):
+    """Each part counts and scores its own contexts; rows that repeat a text, without words or without text are scored each. Of all tables the sums alone stay on disk."""
+    docs = table(spark, "documents").select("doc_id", "text", "lang")
+    docs = docs.unionByName(docs.where("doc_id < 9")).unionByName(spark.createDataFrame([(-1, None, "en"), (-2, " ", None), (-3, "x", None)], docs.schema)).repartition(5)
+    trusted = docs.where("doc_id % 3 = 0")
+    monkeypatch.setattr(shared, "folder", lambda _: str(tmp_path))
+    want, got = (sorted(map(tuple, quality.classify(docs, trusted, head=head, parts=k).collect()), key=str) for k in (1, 3))
+    assert got == want and len(got) == docs.count()
+    assert sorted(x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir()) == ["lm-part-sums", "lm-sums"]
+
+
+def test_freed_tables_leave_no_shuffle(spark):
+    """Of the two tables written through a shuffle, the freed one's files go."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.sc().conf()
+
+    def files():
+        return {f for d in jvm.org.apache.spark.util.Utils.getConfiguredLocalDirs(conf) for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    left = []
+    for write in (shared.written, shared.freed):
+        before = files()
+        rows = write(spark.range(5_000).repartition(7, "id"), "rows")
+        deadline = time.time() + 10
+        while files() - before and write is shared.freed and time.time() < deadline:
+            time.sleep(0.2)
+        left.append(len(files() - before))
+        assert rows.distinct().count() == 5_000
+    assert left[0] > 0 and left[1] == 0
+
+
 def test_quality_of_a_model_is_a_distribution(spark):
     model = quality.train(spark.createDataFrame([("a b a b a c b a b a b b a c a b",)] * 3, "text string"))
     key = {r.key: r.delta for r in model.table.collect()}

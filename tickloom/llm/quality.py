@@ -5,6 +5,9 @@ leaves to the lower order and u(w) the log probability of w there, a document's
 a correction for each bigram in the model. So all of the model is one table (key, delta), keyed by hashes of words and of bigrams, and scoring is a
 join of counts with it. The most frequent keys, a bounded number, are sent to all tasks; documents ask for the others by shards: what a slice of
 documents asks of a shard is one packed row, and what comes back are sums.
+
+Where trusted text is large, contexts are dealt into parts by their hashes. Each part is counted on its own, and each is scored on its own, with a reading of the
+texts each time: what is on disk at once besides the bigrams is one part's, and the sums of the parts are those of the whole model.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ KEEP = 0.9
 HEAD = 1 << 20
 #: Bigrams a task holds before it hands them on, salts over which the followers of one word are spread, bits of the filter, bytes of text that ask together, entries a shard has about.
 HELD, SALTS, FILTER_BITS, SLICE, SHARD = 1 << 21, 16, 1 << 25, 4 << 20, 1 << 20
+#: Parts of the contexts at most, and bytes of trusted text for which there is one more.
+PARTS, PART_BYTES = 4, 16 << 20
 #: Begin and end of a document among the words' hashes.
 BEGIN, END = 0, 1
 #: Log probabilities are sums of integers in this unit, so they don't depend on the order of addition.
@@ -62,6 +68,10 @@ def _shard_of(v: np.ndarray, shards: int) -> np.ndarray:
     return (T.mixed(v) % _U(shards)).astype(np.int64)
 
 
+def _part_of(v: np.ndarray, parts: int) -> np.ndarray:
+    return (v >> _U(32)) % _U(parts)
+
+
 def _eight(x: np.ndarray) -> bytes:
     return x.astype("<u8").tobytes()
 
@@ -86,8 +96,8 @@ def _summed(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np
     return v[opens], w[opens], np.add.reduceat(c, opens) if len(opens) else c
 
 
-def _counted(shards: int):
-    """Bigrams of whole texts, summed in the task, as rows (shard, contexts, followers of each, words, counts)."""
+def _counted(shards: int, part: int, parts: int):
+    """Bigrams of whole texts with a context of the part, summed in the task, as rows (shard, contexts, followers of each, words, counts)."""
     names = ["shard", "v", "runs", "w", "c"]
 
     def rows(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
@@ -110,6 +120,9 @@ def _counted(shards: int):
             for _, _, data, at in T.slices(batch.column(0)):
                 _, _, first, (h,) = T.words(data, at, T.LOWER)
                 v, w, _ = _sequences(h, first)
+                if parts > 1:
+                    mine = np.flatnonzero(_part_of(v, parts) == part)
+                    v, w = v[mine], w[mine]
                 held.append((v, w, np.ones(len(v), np.int64)))
                 size += len(v)
                 if size >= HELD:
@@ -163,9 +176,10 @@ def _reduced(shards: int):
         after, before = at[: len(v)], at[len(v) :]
         stats = [np.bincount(before, minlength=len(words)), *(np.bincount(after, ok, len(words)).astype(np.int64) for ok in (c == 1, c == 2, c > 2)), np.bincount(after, c, len(words)).astype(np.int64)]
         shard = _shard_of(words, shards)
+        # Words ascend in each blob, so their steps have fewer bytes.
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
-        blobs = [(int(shard[order[lo]]), _eight(words[order[lo:hi]]), _squeezed(np.concatenate([s[order[lo:hi]] for s in stats]))) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        blobs = [(int(shard[order[lo]]), _squeezed(np.diff(words[order[lo:hi]], prepend=_U(0)).view(np.int64)), _squeezed(np.concatenate([s[order[lo:hi]] for s in stats]))) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
         yield _blobs("word", *map(list, zip(*blobs, strict=True)))
 
     return run
@@ -179,7 +193,7 @@ def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, stats = [], []
     for batch in batches:
         for x, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words.append(_unpacked(x))
+            words.append(np.cumsum(_unsqueezed(x).view(_U), dtype=_U))
             stats.append(_unsqueezed(s).reshape(5, -1))
     if not words:
         return
@@ -206,10 +220,14 @@ def discounts(n: np.ndarray) -> tuple[float, float, float]:
 
 
 class Model:
-    """(key, delta, often) of a trained model as a table, and the numbers that all documents share."""
+    """(key, delta, often) of a trained model as a table for each part of the contexts, and the numbers that all documents share. Tables are read from the parts' `counts` and from `words`."""
 
-    def __init__(self, table: DataFrame, unknown: int, ends: int, hist: np.ndarray):
-        self.table, self.unknown, self.ends, self.hist = table, unknown, ends, hist
+    def __init__(self, parts: list[DataFrame], unknown: int, ends: int, hist: np.ndarray, counts: list[DataFrame], words: DataFrame):
+        self.parts, self.unknown, self.ends, self.hist, self.counts, self.words = parts, unknown, ends, hist, counts, words
+
+    @property
+    def table(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
 
     def least(self, head: int) -> int:
         """The smallest count whose entries and all of larger counts are at most `head`."""
@@ -217,23 +235,27 @@ class Model:
         return int(np.argmax(np.r_[above, 0] <= head))
 
 
-def train(trusted: DataFrame, head: int = HEAD, text_col: str = "text") -> Model | None:
-    """The model of all texts of trusted; None where they have no words.
+def train(trusted: DataFrame, head: int = HEAD, text_col: str = "text", parts: int | None = None) -> Model | None:
+    """The model of all texts of trusted; None where they have no words. `parts` is by their size where it isn't given.
 
-    Texts meet Spark's shuffle once, as packed bigrams that each task has summed. What the driver gets are counts of
+    Texts are written once. Those of each part meet Spark's shuffle once, as packed bigrams that each task has summed. What the driver gets are counts of
     counts, a bounded number of them from each task.
     """
     spark = trusted.sparkSession
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = trusted.select(F.col(text_col).alias("text")).mapInArrow(_counted(shards), "shard int, v binary, runs binary, w binary, c binary")
-    reduced = shared.written(counted.repartition(shards, "shard").mapInArrow(_reduced(shards), _REDUCED), "lm-pairs")
-    words = reduced.where("kind = 'word'").select("shard", "words", "stats").repartition(shards, "shard").mapInArrow(_word_sums, _WORDS)
-    words = shared.written(words, "lm-words")
+    texts = shared.freed(trusted.select(F.col(text_col).alias("text")), "lm-texts", compression="zstd")
+    parts = parts or min(PARTS, 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
+    of = [texts.mapInArrow(_counted(shards, k, parts), "shard int, v binary, runs binary, w binary, c binary").repartition(shards, "shard") for k in range(parts)]
+    counts = [shared.freed(x.mapInArrow(_reduced(shards), _REDUCED), "lm-pairs") for x in of]
+    shared.removed(texts)
+    reduced = reduce(DataFrame.unionByName, counts)
+    summed = reduced.where("kind = 'word'").select("shard", "words", "stats").repartition(shards, "shard").mapInArrow(_word_sums, _WORDS)
+    summed = shared.freed(summed, "lm-words")
     pairs = [_unsqueezed(bytes(r.stats)) for r in reduced.where("kind = 'pairs'").select("stats").toLocalIterator()]
     if not pairs:
         return None
     pairs = np.sum(pairs, 0)
-    told = np.sum([_unsqueezed(bytes(r.hist)) for r in words.where("hist is not null").select("hist").toLocalIterator()], 0)
+    told = np.sum([_unsqueezed(bytes(r.hist)) for r in summed.where("hist is not null").select("hist").toLocalIterator()], 0)
     befores, n, totals = told[: _MOST + 1], int(told[_MOST + 1]), told[_MOST + 2 :]
     size = int(befores.sum())
     d, e = discounts(pairs), discounts(befores)
@@ -243,21 +265,27 @@ def train(trusted: DataFrame, head: int = HEAD, text_col: str = "text") -> Model
     def less(c: str, by: tuple[float, float, float]):
         return F.col(c) - F.when(F.col(c) == 1, by[0]).when(F.col(c) == 2, by[1]).otherwise(by[2])
 
-    words = words.where("hist is null")
+    words = summed.where("hist is null")
     left = (F.col("n1") * d[0] + F.col("n2") * d[1] + F.col("n3") * d[2]) / F.col("total")
     words = words.select("word", "total", F.when(F.col("total") > 0, F.log(left)).otherwise(0.0).alias("g"), F.log(F.greatest(less("before", e), F.lit(0.0)) / n + rest / (size + 1)).alias("u"))
-    words = shared.written(words, "lm-word-stats")
-    context = words.select(F.col("word").alias("a"), "total", "g")
+    words = shared.freed(words, "lm-word-stats")
+    shared.removed(summed)
     follower = words.select(F.col("word").alias("b"), "u")
-    met = reduced.where("kind = 'pair'").select("a", "b", "c").join(context.hint("merge"), "a").join(follower.hint("merge"), "b")
     seen = less("c", d) / F.col("total")
     delta = F.log(seen + F.exp(F.col("g") + F.col("u"))) - F.col("g") - F.col("u")
-    met = met.select("a", "b", F.round(delta * UNIT).cast("int").alias("delta"), F.col("c").alias("often")).mapInArrow(_keyed, "key long, delta int, often long")
-    alone = words.where(~F.col("word").isin(BEGIN, END)).select(F.col("word").alias("key"), F.round((F.col("g") + F.col("u") - unknown) * UNIT).cast("int").alias("delta"), F.col("total").alias("often"))
+
+    def part(k: int) -> DataFrame:
+        own = words.where(F.shiftrightunsigned("word", 32) % parts == k)
+        context = own.select(F.col("word").alias("a"), "total", "g")
+        met = counts[k].where("kind = 'pair'").select("a", "b", "c").join(context.hint("merge"), "a").join(follower.hint("merge"), "b")
+        met = met.select("a", "b", F.round(delta * UNIT).cast("int").alias("delta"), F.col("c").alias("often")).mapInArrow(_keyed, "key long, delta int, often long")
+        alone = own.where(~F.col("word").isin(BEGIN, END)).select(F.col("word").alias("key"), F.round((F.col("g") + F.col("u") - unknown) * UNIT).cast("int").alias("delta"), F.col("total").alias("often"))
+        return met.unionByName(alone)
+
     ends = {r.word: (r.g, r.u) for r in words.where(F.col("word").isin(BEGIN, END)).collect()}
     hist = pairs + totals
     hist[0] = 0
-    return Model(met.unionByName(alone), round(unknown * UNIT), round((ends[BEGIN][0] + ends[END][1]) * UNIT), hist)
+    return Model([part(k) for k in range(parts)], round(unknown * UNIT), round((ends[BEGIN][0] + ends[END][1]) * UNIT), hist, counts, words)
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,24 +327,46 @@ class Lookup:
         return out, found
 
 
-def log_probabilities(docs: DataFrame, model: Model, head: int = HEAD, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(*extra, n_words, logp in UNITs) of every row of docs (text, *extra)."""
+def log_probabilities(docs: DataFrame, model: Model, head: int = HEAD, extra: tuple[str, ...] = (), spend: bool = False) -> DataFrame:
+    """(*extra, n_words, logp in UNITs) of every row of docs (text, *extra), as a table; with `spend` the model's own tables are deleted as they have been read.
+
+    The parts' sums meet by two hashes of the text, on which alone they depend.
+    """
+    by = ["_text1", "_text2"] if len(model.parts) > 1 else []
+    rows = docs.select("text", *extra, *[x.alias(c) for c, x in zip(by, (F.xxhash64("text"), F.xxhash64(F.lit(1), "text")), strict=False)])
+    own, *others = [_of_part(rows, model, k, head, (*by, *extra) if k == 0 else tuple(by), spend) for k in range(len(model.parts))]
+    if spend:
+        shared.removed(model.words)
+    if not others:
+        return own
+    more = reduce(DataFrame.unionByName, others).groupBy(*by).agg(F.sum("logp").alias("_more"))
+    all_ = shared.freed(own.join(more.hint("merge"), by).select(*extra, "n_words", (F.col("logp") + F.col("_more")).alias("logp")), "lm-sums")
+    shared.removed(own, *others)
+    return all_
+
+
+def _of_part(docs: DataFrame, model: Model, part: int, head: int, extra: tuple[str, ...], spend: bool) -> DataFrame:
+    """(*extra, n_words, logp) of every row of docs by the keys of one part; of parts other than the first, each different *extra once."""
     spark = docs.sparkSession
-    least = model.least(head)
-    top = model.table.where(F.col("often") >= least).select("key", "delta")
+    parts, least = len(model.parts), model.least(head)
+    table_ = shared.freed(model.parts[part], "lm-part", compression="zstd")
+    if spend:
+        shared.removed(model.counts[part])
+    top = table_.where(F.col("often") >= least).select("key", "delta")
     top = [(np.frombuffer(bytes(r.k), "<i8"), np.frombuffer(bytes(r.d), "<i4")) for r in top.mapInArrow(_packed, "k binary, d binary").toLocalIterator()]
     keys, values = (np.concatenate([x[k] for x in top]) if top else np.zeros(0, t) for k, t in enumerate((np.int64, np.int32)))
-    tail = model.table.where(F.col("often") < least).select("key", "delta") if model.hist[:least].any() else None
-    shards, bits = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(model.hist[:least].sum()) // SHARD + 1), None
+    tail = table_.where(F.col("often") < least).select("key", "delta") if model.hist[:least].any() else None
+    shards, bits = max(8, int(model.hist[:least].sum()) // (parts * SHARD) + 1), None
     if tail is not None:
-        tail = shared.written(tail, "lm-tail")
         bit = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
         filled = tail.groupBy(F.floor(bit / 32).cast("long").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (bit % 32).cast("int"))).alias("bits"))
+        filled = shared.freed(filled, "lm-filter")
         bits = np.zeros(FILTER_BITS // 32, "<u4")
         for r in filled.mapInArrow(_packed, "k binary, d binary").toLocalIterator():
             bits[np.frombuffer(bytes(r.k), "<i8")] = np.frombuffer(bytes(r.d), "<i4").view("<u4")
+        shared.removed(filled)
     sent = spark.sparkContext.broadcast((keys, values, bits))
-    unknown, ends = model.unknown, model.ends
+    unknown, ends = (model.unknown, model.ends) if part == 0 else (0, 0)
     tables: list = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,6 +379,9 @@ def log_probabilities(docs: DataFrame, model: Model, head: int = HEAD, extra: tu
                 _, _, first, (h,) = T.words(data, at, T.LOWER)
                 v, w, row = _sequences(h, first)
                 n = np.diff(first)
+                if parts > 1:
+                    mine = np.flatnonzero(_part_of(v, parts) == part)
+                    v, w, row = v[mine], w[mine], row[mine]
                 own = v != BEGIN
                 key = np.concatenate([pair_key(v, w), v[own]])
                 row = np.concatenate([row, row[own]])
@@ -362,10 +415,10 @@ def log_probabilities(docs: DataFrame, model: Model, head: int = HEAD, extra: tu
             yield pa.RecordBatch.from_arrays([pa.array([int(shard[p[0]]) for p in parts], pa.int32()), pa.array([key[p].tobytes() for p in parts], pa.binary()), pa.array([delta[p].tobytes() for p in parts], pa.binary())], ["shard", "keys", "rows"])
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of deltas for each document that asks, from rows (shard, rid, keys, rows) sorted by shard, those of the model, without rid, first."""
+        """For each row that asks, the sums of deltas of its documents, from rows (shard, rid, keys, rows) sorted by shard, those of the model, without rid, first."""
         at, table, parts = -1, None, []
         for batch in batches:
-            rids, sums = [], []
+            out: list[tuple] = []
             for shard, rid, keys_, rows_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != at:
                     at, table, parts = shard, None, []
@@ -379,10 +432,10 @@ def log_probabilities(docs: DataFrame, model: Model, head: int = HEAD, extra: tu
                 row = np.cumsum(np.frombuffer(zlib.decompress(rows_), "<i4").astype(np.int64))
                 total = np.bincount(row, delta).astype(np.int64)
                 some = np.flatnonzero(total)
-                rids.append(some + rid)
-                sums.append(total[some])
-            if rids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rids)), pa.array(np.concatenate(sums))], ["_rid", "more"])
+                if len(some):
+                    out.append((rid, _squeezed(np.diff(some, prepend=0)), _squeezed(total[some])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["_rid", "rows", "sums"])
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -391,15 +444,42 @@ def log_probabilities(docs: DataFrame, model: Model, head: int = HEAD, extra: tu
     schema = {f.name: f.type for f in to_arrow_schema(docs.select(*extra).schema)}
     out = ", ".join([*[f"`{c}` {types[c]}" for c in extra], "_rid long, n_words long, logp long, shard int, keys binary, rows binary"])
     scored = docs.select("text", *extra, F.monotonically_increasing_id().alias("_rid")).mapInArrow(run, out)
-    if tail is None:
-        return scored.drop("_rid", "shard", "keys", "rows")
-    scored = shared.written(scored, "lm-scores")
-    asks = scored.where("shard is not null").select("shard", "_rid", "keys", "rows")
-    known = tail.mapInArrow(packed, "shard int, keys binary, rows binary").select("shard", F.lit(None).cast("long").alias("_rid"), "keys", "rows")
-    met = known.unionByName(asks).repartition(shards, "shard").sortWithinPartitions("shard", F.col("_rid").asc_nulls_first())
-    more = met.mapInArrow(answered, "_rid long, more long").groupBy("_rid").agg(F.sum("more").alias("more"))
-    own = scored.where("shard is null").drop("shard", "keys", "rows")
-    return own.join(more.hint("merge"), "_rid", "left").withColumn("logp", F.col("logp") + F.coalesce("more", F.lit(0))).drop("_rid", "more")
+    scored = shared.freed(scored, "lm-scores")
+    sums = scored.where("shard is null").drop("shard", "keys", "rows")
+    if tail is not None:
+        asks = scored.where("shard is not null").select("shard", "_rid", "keys", "rows")
+        known = tail.mapInArrow(packed, "shard int, keys binary, rows binary").select("shard", F.lit(None).cast("long").alias("_rid"), "keys", "rows")
+        met = known.unionByName(asks).repartition(shards, "shard").sortWithinPartitions("shard", F.col("_rid").asc_nulls_first())
+        answers = met.mapInArrow(answered, "_rid long, rows binary, sums binary")
+        more = answers.repartition("_rid").sortWithinPartitions("_rid").mapInArrow(_added, "_rid long, more long")
+        sums = sums.join(more.hint("merge"), "_rid", "left").withColumn("logp", F.col("logp") + F.coalesce("more", F.lit(0))).drop("more")
+    sums = sums.drop("_rid")
+    sums = shared.freed(sums if part == 0 else sums.groupBy(*extra).agg(F.max("logp").alias("logp")), "lm-part-sums")
+    shared.removed(table_, scored)
+    sent.destroy()
+    return sums
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, sum) of each document from rows (rid of a slice's first document, steps between documents, sums), sorted by the first."""
+
+    def rows(first: int, parts: list[tuple]) -> pa.RecordBatch:
+        row, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+        total = np.zeros(row.max() + 1, np.int64)
+        np.add.at(total, row, more)
+        some = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(some + first), pa.array(total[some])], ["_rid", "more"])
+
+    at, parts = None, []
+    for batch in batches:
+        for first, row, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if first != at and parts:
+                yield rows(at, parts)
+                parts = []
+            at = first
+            parts.append((np.cumsum(_unsqueezed(row)), _unsqueezed(more)))
+    if parts:
+        yield rows(at, parts)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +487,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x.to_numpy().tobytes()], pa.binary()) for x in batch.columns], ["k", "d"])
 
 
-def classify(docs: DataFrame, trusted: DataFrame, keep: float = KEEP, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, keep: float = KEEP, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int | None = None) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept) of every row of docs.
 
     threshold is the perplexity, in steps of a 256th of a doubling, up to which `keep` of the language's documents with words lie; documents
@@ -416,12 +496,12 @@ def classify(docs: DataFrame, trusted: DataFrame, keep: float = KEEP, head: int
     null and all documents with words stay. An empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = train(trusted, head, text_col)
+    model = train(trusted, head, text_col, parts)
     if model is None:
         n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
         none = F.lit(None).cast("double")
         return rows.select("doc_id", "lang", n.alias("n_words"), none.alias("perplexity"), none.alias("threshold"), (n > 0).alias("kept"))
-    scored = shared.written(log_probabilities(rows, model, head, ("doc_id", "lang")), "lm-perplexities")
+    scored = log_probabilities(rows, model, head, ("doc_id", "lang"), spend=True)
     nats = -F.col("logp") / float(UNIT) / (F.col("n_words") + 1)
     scored = scored.withColumn("step", F.when(F.col("n_words") > 0, F.ceil(nats / math.log(2) * 256)))
     steps = scored.where("step is not null").groupBy("lang", "step").agg(F.count("*").alias("n"))
@@ -439,5 +519,7 @@ def classify(docs: DataFrame, trusted: DataFrame, keep: float = KEEP, head: int
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted are the documents that labels call good."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = labels.where("quality > 0").select("doc_id").distinct()
-    return classify(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
+    good = shared.freed(labels.where("quality > 0").select("doc_id").distinct(), "lm-good")
+    # The filter is there so that few texts besides trusted ones are shuffled; the join decides.
+    maybe = docs.where(shared.maybe_in(F.col("doc_id"), shared.filter_of(good, F.col("doc_id"))))
+    return classify(docs, maybe.join(good.hint("merge"), "doc_id", "left_semi"))
