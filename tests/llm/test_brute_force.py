@@ -440,6 +440,25 @@ def test_token_output_round_trip(spark):
         start += len(ids)
 
 
+def test_encoder_of_letters_alone_gives_the_librarys_ids():
+    """Words of letters go to the library without its pattern; whatever looks like them but isn't, with it."""
+    from tokenizers import Tokenizer
+
+    path, rng = token_output.default_tokenizer(), random.Random(5)
+    whole, encoder = Tokenizer.from_file(path), token_output.Encoder(path, most=3_000)
+    plain = []
+    library, encoder.plain = encoder.plain, type("", (), {"encode_batch_fast": lambda _, x, **kw: plain.extend(x) or library.encode_batch_fast(x, **kw)})()
+    some = [" é", " ab", " ñé", "'re", "<|endoftext|>", " Ãb", " Ġa", " ×a", " a÷", *"abzABéÀÿß×÷œǆ٣3 9'’s.,\n\t\u00a0\u00ad\u0120-ж中"]
+    for _ in range(20):
+        texts = ["".join(rng.choices(some, k=rng.randrange(30))) for _ in range(200)]
+        for lo, hi, data, at in quality.T.slices(pa.array(texts)):
+            ids, to = encoder.encode(data, at)
+            for k in range(lo, hi):
+                assert ids[to[k - lo] : to[k - lo + 1]].tolist() == [*whole.encode(texts[k], add_special_tokens=False).ids, token_output.END_ID]
+    words = {w for x in plain for w in x.split("Ġ")}
+    assert {"ab", "Ã©", "Ã±Ã©"} <= words and not any(c in w for w in words for c in "3'.,-<")
+
+
 def test_token_output_starts_of_repeated_ids(spark):
     """Rows of one id: each row's start is where its ids are in the files, and reruns agree."""
     docs = spark.createDataFrame([(7, f"text number {k} " * (k + 1)) for k in range(40)] + [(None, "of none"), (8, "last")], "doc_id long, text string")

@@ -32,6 +32,10 @@ _LETTER, _MARK, _BLANK = (np.zeros(256, bool) for _ in range(3))
 _LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
 _MARK[[ord(c) for c in ".,;:!?"]] = True
 _BLANK[[*range(9, 14), *range(28, 33)]] = True
+#: The character that byte-level tokenizers write for each byte: itself where it can be seen, else the next from U+0100 on.
+_SEEN = np.zeros(256, bool)
+_SEEN[[*range(33, 127), *range(161, 173), *range(174, 256)]] = True
+_WRITTEN = np.where(_SEEN, np.arange(256), 255 + np.cumsum(~_SEEN)).astype("<u4")
 
 
 def _after_ink(b: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -44,6 +48,15 @@ def _after_ink(b: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ~(blank | wide)
 
 
+def _letters(b: np.ndarray) -> np.ndarray:
+    """Whether each byte is an ASCII letter or of a letter from U+00C0 to U+00FF."""
+    tail = np.zeros(len(b), bool)
+    tail[1:] = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] < 0xC0) & (b[1:] != 0x97) & (b[1:] != 0xB7)
+    out = _LETTER[b] | tail
+    out[:-1] |= tail[1:]
+    return out
+
+
 def pieces(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(where each piece of the rows b[at[i]:at[i + 1]] starts, first piece of each row and one more).
 
@@ -84,6 +97,9 @@ class Encoder:
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuts = told["model"]["type"] == "BPE" and told.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
         self.cuts = self.cuts and not any(c.isspace() for t in self.added for c in t.decode())
+        # Cuts before each space alone, which is all that words of letters need: the library then does without its pattern and its map of bytes.
+        told |= {"pre_tokenizer": {"type": "Split", "pattern": {"String": chr(_WRITTEN[32])}, "behavior": "MergedWithNext", "invert": False}, "added_tokens": [], "post_processor": None}
+        self.plain = Tokenizer.from_str(json.dumps(told)) if self.cuts else self.tokenizer
         # A byte-level vocabulary writes each byte as one character.
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, k in self.tokenizer.get_vocab().items():
@@ -93,8 +109,9 @@ class Encoder:
         self.check, self.met, self.flat, self.at = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _learn(self, b: np.ndarray, start: np.ndarray, end: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """The numbers that new pieces b[start:end] get. Those with a space in front are encoded end to end in one call and told apart by the bytes that ids stand for."""
+        """The numbers that new pieces b[start:end] get. Those with a space in front are encoded end to end in one call and told apart by the bytes that ids stand for; those of letters alone in a call of their own."""
         flat, sizes, raw = [], [], b.tobytes()
+        other = np.r_[0, np.cumsum(~_letters(b))]
         for lo in range(0, len(start), AT_ONCE):
             first, last = start[lo : lo + AT_ONCE], end[lo : lo + AT_ONCE]
             own = [raw[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
@@ -106,21 +123,25 @@ class Encoder:
                 every = b"\n".join(own)
                 if any(t in every for t in self.added):
                     joins &= np.fromiter((not any(t in w for t in self.added) for w in own), bool, len(own))
+            plain = joins & (last - first > 1) & (other[last] - other[first] == 1)
+            joins &= ~plain
             joined = b"".join(own[k] for k in np.flatnonzero(joins).tolist())
             try:
                 text = joined.decode()
             except UnicodeDecodeError:  # a byte that isn't UTF-8 becomes a character of three
                 joins &= np.fromiter(("\ufffd" not in w.decode("utf-8", "replace") for w in own), bool, len(own))
                 text = b"".join(own[k] for k in np.flatnonzero(joins).tolist()).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            size = np.zeros(len(own), np.int64)
-            size[joins] = np.diff(np.r_[0, np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum((last - first)[joins])) + 1]) if joins.any() else 0
-            rest = [e.ids for e in self.tokenizer.encode_batch_fast([own[k].decode("utf-8", "replace") for k in np.flatnonzero(~joins).tolist()], add_special_tokens=False)]
-            size[~joins] = [len(x) for x in rest]
-            mine = np.repeat(joins, size)
-            out = np.empty(len(mine), np.int32)
-            out[mine] = ids
-            out[~mine] = np.fromiter(chain.from_iterable(rest), np.int32)
+            size, out_of = np.zeros(len(own), np.int64), []
+            written = _WRITTEN[np.frombuffer(b"".join(own[k] for k in np.flatnonzero(plain).tolist()), np.uint8)].tobytes().decode("utf-32-le")
+            for tokenizer, every, which in ((self.tokenizer, text, joins), (self.plain, written, plain)):
+                ids = np.array(tokenizer.encode_batch_fast([every], add_special_tokens=False)[0].ids if every else [], np.int32)
+                size[which] = np.diff(np.r_[0, np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum((last - first)[which])) + 1]) if every else 0
+                out_of.append((which, ids))
+            rest = [e.ids for e in self.tokenizer.encode_batch_fast([own[k].decode("utf-8", "replace") for k in np.flatnonzero(~joins & ~plain).tolist()], add_special_tokens=False)]
+            size[~joins & ~plain] = [len(x) for x in rest]
+            out = np.empty(int(size.sum()), np.int32)
+            for which, ids in (*out_of, (~joins & ~plain, np.fromiter(chain.from_iterable(rest), np.int32))):
+                out[np.repeat(which, size)] = ids
             flat.append(out)
             sizes.append(size)
         before = len(self.check)
