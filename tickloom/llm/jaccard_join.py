@@ -305,13 +305,16 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     large = total.where(F.col("n") > TILE)
     if large.isEmpty():
         return alone
-    rows = shared.written(shared.spread_join(rows, large.select("block"), ["block"], total, ["class_id"]).withColumn("band", _band(percent)), "jaccard-large")
+    rows = shared.freed(shared.spread_join(rows, large.select("block"), ["block"], total, ["class_id"]).withColumn("band", _band(percent)), "jaccard-large")
     labels = shared.written(rows.groupBy("block", "band", "label").agg(F.count("*").alias("n")), "jaccard-labels")
     pure = labels.select("block", "band", "label", (F.col("n") > TILE).alias("pure"))
-    rows = shared.spread_join(rows, pure, ["block", "band", "label"], labels, ["class_id"]).withColumn("of", F.when(F.col("pure"), F.col("label")).otherwise(F.lit(0)))
+    bare, rows = rows, shared.freed(shared.spread_join(rows, pure, ["block", "band", "label"], labels, ["class_id"]).withColumn("of", F.when(F.col("pure"), F.col("label")).otherwise(F.lit(0))), "jaccard-pure")
+    shared.removed(bare)
     many = labels.withColumn("pure", F.col("n") > TILE).withColumn("of", F.when(F.col("pure"), F.col("label")).otherwise(F.lit(0)))
     many = shared.written(many.groupBy("block", "band", "pure", "of").agg(F.sum("n").alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")), "jaccard-tiles")
-    rows = shared.spread_join(rows, many.drop("n"), ["block", "band", "pure", "of"], many, ["class_id"]).withColumn("sub", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
+    # Written between the joins: as one query they have so many stages at once that the driver's memory shows it.
+    parted, rows = rows, shared.freed(shared.spread_join(rows, many.drop("n"), ["block", "band", "pure", "of"], many, ["class_id"]).withColumn("sub", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int")), "jaccard-dealt")
+    shared.removed(parted)
     every = many.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", own.alias("other"))
     near = every.select("block", F.explode(F.array(*[F.col("other.band") + k for k in (-1, 0, 1)])).alias("band"), "other").groupBy("block", "band").agg(F.collect_list("other").alias("others"))
     sizes = labels.groupBy("block", "band").agg(F.sum("n").alias("n"))
@@ -362,23 +365,24 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
     far = (F.col("n") == 2) & (100 * F.col("least").cast("long") < percent * F.col("most").cast("long"))
     common = shared.written(common.where(~far).select("element", "n"), "shared-elements")
     members = shared.spread_join(elements.select("element", "k1"), common.select("element"), ["element"], common, ["k1"]).distinct()
-    members = shared.written(members.join(classes.select("k1", "class_id", "n").hint("merge"), "k1").select("element", "class_id", "n"), "element-members")
+    members = shared.freed(members.join(classes.select("k1", "class_id", "n").hint("merge"), "k1").select("element", "class_id", "n"), "element-members")
     shared.removed(elements, common)
 
     def links(keyed: DataFrame) -> DataFrame:
-        keyed = shared.written(keyed, "jaccard-keyed")
+        keyed = shared.freed(keyed, "jaccard-keyed")
         # Texts that no tile asks for stay where they are.
         asked = texts.where(shared.maybe_in(F.col("node"), shared.filter_of(keyed, F.col("class_id"))))
         one = asked.join(keyed.hint("merge"), asked["node"] == keyed["class_id"]).select("key", "tile", "class_id", "label", "text")
-        found = shared.written(one.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(T.giving_back(_verified(n, percent)), _PAIR), "jaccard-links")
+        found = shared.freed(one.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(T.giving_back(_verified(n, percent)), _PAIR), "jaccard-links")
         shared.removed(keyed)
         return found
 
     # Elements with more classes than a tile holds; all others are a task each.
     large = shared.written(members.groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "large-elements")
     small = members.join(large.select("element").hint("merge"), "element", "left_anti")
-    keyed = _groups(small, percent)
-    over = [members, large]
+    # Groups, tiles and candidates are a query each, and what components() reads twice is a table.
+    keyed = shared.freed(_groups(small, percent), "jaccard-keyed")
+    over = [members, large, keyed]
     if large.isEmpty():
         met, labels = spark.createDataFrame([], _PAIR), None
     else:
@@ -392,10 +396,11 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
         parted = wide.groupBy("element").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most")
         parted = shared.written(parted.select("element", "n"), "open-elements")
         open_ = shared.spread_join(wide, parted.select("element"), ["element"], parted, ["class_id"]).select(F.col("element").alias("block"), "class_id", "n", "label")
-        keyed = keyed.unionByName(_tile_pairs(open_, percent))
-        over += [wide, parted, met, *used]
+        tiles = shared.freed(_tile_pairs(open_, percent), "jaccard-keyed")
+        keyed = keyed.unionByName(tiles)
+        over += [tiles, wide, parted, met, *used]
     tasks = keyed.join(classes.select("class_id", "n", "bits").hint("merge"), ["class_id", "n"]).select("key", "tile", "class_id", "label", "n", "bits")
-    candidates = tasks.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(T.giving_back(_candidates(percent)), _PAIR)
+    candidates = shared.freed(tasks.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(T.giving_back(_candidates(percent)), _PAIR), "jaccard-candidates")
     blocks = graph.components(candidates.unionByName(met)).select(F.col("node").alias("class_id"), F.col("component").alias("block"))
     blocks = blocks.join(classes.select("class_id", "n").distinct().hint("merge"), "class_id")
     own = blocks.select("class_id", F.col("class_id").alias("label"))
@@ -405,7 +410,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
     parts = shared.spread_join(blocks, parted.select("block"), ["block"], parted, ["class_id"])
     found = links(_tile_pairs(parts, percent))
     joined = graph.components(found.unionByName(met)).withColumnRenamed("node", "class_id")
-    shared.removed(*over, blocks, parted, found)
+    shared.removed(*over, candidates, blocks, parted, found)
 
     found = classes.select("k1", "k2", "class_id", F.col("copies").alias("n")).join(joined.hint("merge"), "class_id", "left").select("k1", "k2", F.coalesce("component", "class_id").alias("component"), "n")
     found = shared.written(found, "class-components")
