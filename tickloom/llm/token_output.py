@@ -79,6 +79,12 @@ def pieces(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.searchsorted(start, at)
 
 
+def _end_to_end(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes b[start:end] of each pair, one after another."""
+    size = end - start
+    return b[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, which gets each different piece once.
 
@@ -100,6 +106,9 @@ class Encoder:
         # Cuts before each space alone, which is all that words of letters need: the library then does without its pattern and its map of bytes.
         told |= {"pre_tokenizer": {"type": "Split", "pattern": {"String": chr(_WRITTEN[32])}, "behavior": "MergedWithNext", "invert": False}, "added_tokens": [], "post_processor": None}
         self.plain = Tokenizer.from_str(json.dumps(told)) if self.cuts else self.tokenizer
+        if self.cuts and hasattr(self.plain.model, "_resize_cache"):
+            # It gets each word once; what the library would keep of it is never asked for.
+            self.plain.model._resize_cache(0)
         # A byte-level vocabulary writes each byte as one character.
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, k in self.tokenizer.get_vocab().items():
@@ -114,34 +123,41 @@ class Encoder:
         other = np.r_[0, np.cumsum(~_letters(b))]
         for lo in range(0, len(start), AT_ONCE):
             first, last = start[lo : lo + AT_ONCE], end[lo : lo + AT_ONCE]
-            own = [raw[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-            joins = np.full(len(own), self.cuts)
+            # A space and letters: no object of its own is made of such a word.
+            plain = np.full(len(first), self.cuts) & (last - first > 1) & (other[last] - other[first] == 1)
+            plain[plain] = b[first[plain]] == 32
+            letters = _end_to_end(b, first[plain], last[plain])
+            if any(t in letters.tobytes() for t in self.added):
+                plain[plain] = [not any(t in raw[x:y] for t in self.added) for x, y in zip(first[plain].tolist(), last[plain].tolist(), strict=True)]
+                letters = _end_to_end(b, first[plain], last[plain])
+            written = _WRITTEN[letters].tobytes().decode("utf-32-le")
+            left = np.flatnonzero(~plain)
+            own = [raw[x:y] for x, y in zip(first[left].tolist(), last[left].tolist(), strict=True)]
+            joins = np.full(len(own), self.cuts) & (last[left] > first[left])
             if self.cuts:
-                filled = np.flatnonzero(last > first)
-                joins[last == first] = False
-                joins[filled] = (b[first[filled]] == 32) & _after_ink(b, last[filled])
+                at = left[joins]
+                joins[joins] = (b[first[at]] == 32) & _after_ink(b, last[at])
                 every = b"\n".join(own)
                 if any(t in every for t in self.added):
                     joins &= np.fromiter((not any(t in w for t in self.added) for w in own), bool, len(own))
-            plain = joins & (last - first > 1) & (other[last] - other[first] == 1)
-            joins &= ~plain
             joined = b"".join(own[k] for k in np.flatnonzero(joins).tolist())
             try:
                 text = joined.decode()
             except UnicodeDecodeError:  # a byte that isn't UTF-8 becomes a character of three
                 joins &= np.fromiter(("\ufffd" not in w.decode("utf-8", "replace") for w in own), bool, len(own))
                 text = b"".join(own[k] for k in np.flatnonzero(joins).tolist()).decode()
-            size, out_of = np.zeros(len(own), np.int64), []
-            written = _WRITTEN[np.frombuffer(b"".join(own[k] for k in np.flatnonzero(plain).tolist()), np.uint8)].tobytes().decode("utf-32-le")
-            for tokenizer, every, which in ((self.tokenizer, text, joins), (self.plain, written, plain)):
+            size, out_of = np.zeros(len(first), np.int64), []
+            for tokenizer, every, which in ((self.tokenizer, text, left[joins]), (self.plain, written, np.flatnonzero(plain))):
                 ids = np.array(tokenizer.encode_batch_fast([every], add_special_tokens=False)[0].ids if every else [], np.int32)
                 size[which] = np.diff(np.r_[0, np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum((last - first)[which])) + 1]) if every else 0
                 out_of.append((which, ids))
-            rest = [e.ids for e in self.tokenizer.encode_batch_fast([own[k].decode("utf-8", "replace") for k in np.flatnonzero(~joins & ~plain).tolist()], add_special_tokens=False)]
-            size[~joins & ~plain] = [len(x) for x in rest]
+            rest = [e.ids for e in self.tokenizer.encode_batch_fast([own[k].decode("utf-8", "replace") for k in np.flatnonzero(~joins).tolist()], add_special_tokens=False)]
+            size[left[~joins]] = [len(x) for x in rest]
             out = np.empty(int(size.sum()), np.int32)
-            for which, ids in (*out_of, (~joins & ~plain, np.fromiter(chain.from_iterable(rest), np.int32))):
-                out[np.repeat(which, size)] = ids
+            for which, ids in (*out_of, (left[~joins], np.fromiter(chain.from_iterable(rest), np.int32))):
+                mine = np.zeros(len(size), bool)
+                mine[which] = True
+                out[np.repeat(mine, size)] = ids
             flat.append(out)
             sizes.append(size)
         before = len(self.check)
