@@ -3,8 +3,9 @@
 Which documents can meet at all comes from prefix filtering, so tiles hold likely partners only:
 
 1. Every document becomes a set of hashed word n-grams. Equal sets form one class, kept by its smallest id.
-2. Two sets that link share one of the first n - ceil(t n) + 1 elements of each, in any order common to all sets. The order puts
-   elements that a sketch of counts finds frequent last, so that passages which many documents share seldom bring them together.
+2. Two sets that link share one of the first n - ceil(t n) + 1 elements of each, in any order common to all sets. The order puts n-grams
+   whose words are rare together first, by a sketch of the words' counts, and those that a sketch of n-grams finds frequent last: neither chance
+   nor passages which many documents share often bring two together, so what shares an element doesn't grow with the square of the documents.
 3. Where more classes than a tile holds share such an element, each is first compared with the smallest of its size band: a star, so a large group of copies
    becomes one label by as many comparisons as it has members. Pairs of one label need no other comparison.
 4. Classes that share an element and whose sizes and bitmaps allow a link are joined to blocks; elements that the same classes share are one group. Groups and blocks that don't fit a tile are dealt to tiles by size band,
@@ -29,33 +30,50 @@ from tickloom.llm import graph, shared
 from tickloom.llm import text as T
 
 NGRAM, PERCENT = 4, 85
-#: Counters of the sketch of element counts, in how many pieces they are summed, sets in a tile.
+#: Counters of each sketch, of words and of n-grams; in how many pieces one is summed; sets in a tile.
 COUNTERS, PIECES, TILE = 1 << 20, 16, 512
+#: Steps of the order of elements in which a count doubles.
+STEPS = 8
 #: Nodes of rows without an id are from here on.
 NO_ID = 1 << 62
 
 
-def sets(column: pa.Array, n: int = NGRAM) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first row, sorted distinct hashed n-grams of each row); a text of fewer words is one n-gram of all of them."""
+def _cut(column: pa.Array, n: int, cost: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """(first row, hashed words, sorted distinct hashed n-grams of each row, sums of `cost` over the words of each): costs only where asked for."""
     for lo, _, data, at in T.slices(column):
         _, _, first, (h,) = T.words(data, at, T.LOWER)
         g, pos = T.grams(h, first, n)
         cut = np.searchsorted(pos, first)
         size = np.diff(first)
-        out = []
+        out, costs = [], []
         short = np.flatnonzero((size > 0) & (size < n))
         whole = dict(zip(short, T.runs_hashed(h, first[short], first[short + 1]), strict=True))
+        if cost is not None:
+            upto = np.r_[0, np.cumsum(cost[(h & np.uint64(COUNTERS - 1)).astype(np.int64)], dtype=np.int64)]
+            each = upto[pos + n] - upto[pos]
         for k in range(len(size)):
             if k in whole:
                 out.append(np.array([whole[k]], np.uint64))
-            else:
-                v = np.sort(g[cut[k] : cut[k + 1]])
-                out.append(v[np.r_[True, v[1:] != v[:-1]]] if len(v) else v)
-        yield lo, out
+                costs.append(np.zeros(1, np.int64))
+                continue
+            v = g[cut[k] : cut[k + 1]]
+            order = None if cost is None else np.argsort(v)
+            v = np.sort(v) if order is None else v[order]
+            new = np.r_[True, v[1:] != v[:-1]] if len(v) else slice(None)
+            out.append(v[new])
+            if order is not None:
+                costs.append(each[cut[k] : cut[k + 1]][order][new])
+        yield lo, h, out, costs
+
+
+def sets(column: pa.Array, n: int = NGRAM) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sorted distinct hashed n-grams of each row); a text of fewer words is one n-gram of all of them."""
+    for lo, _, own, _ in _cut(column, n):
+        yield lo, own
 
 
-def bitmap(s: np.ndarray, load: float = 2.0) -> np.ndarray:
-    """Each bit is the parity of the number of elements hashed to it: at most `load` elements a bit, 128 bits at least.
+def bitmap(s: np.ndarray, load: float = 1.0) -> np.ndarray:
+    """Each bit is the parity of the number of elements hashed to it: at most `load` elements a bit, 128 bits at least. With 2 a bit, sets of one size without a common element can look 0.78 alike, with 1 some 0.61.
 
     Two bitmaps differ in no more bits than there are elements in one set alone. A bitmap folds to half its
     size by xor of its halves, so sets of unlike sizes compare as well.
@@ -101,21 +119,22 @@ def _linked_at_most(na: np.ndarray, nb: np.ndarray, differing: np.ndarray, perce
 
 def _described(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros((2, COUNTERS), np.int64)
         names = ["doc_id", "node", "tie", "n", "k1", "k2", "bits", "piece", "counts"]
         for batch in batches:
-            for lo, own in sets(batch.column(3), n):
+            for lo, words, own, _ in _cut(batch.column(3), n):
                 size = np.array([len(s) for s in own])
                 every = np.concatenate(own) if own else np.zeros(0, np.uint64)
-                counts += np.bincount((every & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                for sketch, hashes in zip(counts, (words, every), strict=True):
+                    sketch += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 ends = np.cumsum(size)
                 k1, k2 = (T.sets_hashed(every, ends - size, ends, c) for c in (0, 1))
                 none = pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo : lo + len(own)] for k in range(3)), pa.array(size.astype(np.int32)), pa.array(T.signed(k1)), pa.array(T.signed(k2)), pa.array([bitmap(s).tobytes() for s in own], pa.binary()), *none], names)
         step = COUNTERS // PIECES
-        packed = [zlib.compress(counts[i * step : (i + 1) * step].astype("<u4").tobytes(), 1) for i in range(PIECES)]
-        none = [pa.nulls(PIECES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(range(PIECES), pa.int32()), pa.array(packed, pa.binary())], names)
+        packed = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in counts.reshape(-1, step)]
+        none = [pa.nulls(2 * PIECES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(range(2 * PIECES), pa.int32()), pa.array(packed, pa.binary())], names)
 
     return run
 
@@ -130,24 +149,34 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(np.minimum(c, (1 << 32) - 1).astype("<u4").tobytes(), 1) for c in total.values()], pa.binary())], ["piece", "counts"])
 
 
+def _order(words: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cost of a word, least cost of an n-gram) of each counter of the sketches. Costs of an n-gram's words add up to the logarithm of how often chance brings them together; n-grams met more often than that cost as much as if it were chance."""
+    grew = max(1.0, float(words.sum()))
+    mean = grams.mean()
+    over = grams - mean
+    often = np.zeros(COUNTERS, np.uint16)
+    on = np.flatnonzero(over > 8 * np.sqrt(mean) + 8)
+    often[on] = np.minimum(STEPS * (np.log2(over[on]) + (n - 1) * np.log2(grew)), 65535)
+    return (STEPS * np.log2(words + 1)).astype(np.uint16), often
+
+
 def _prefixes(n: int, percent: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = sent.value
+        cost, often = sent.value
         for batch in batches:
-            for _, own in sets(batch.column(0), n):
-                own = [s for s in own if len(s)]
-                if not own:
+            for _, _, own, costs in _cut(batch.column(0), n, cost):
+                held = [k for k, s in enumerate(own) if len(s)]
+                if not held:
                     continue
-                size = np.array([len(s) for s in own])
-                every = np.concatenate(own)
+                size = np.array([len(own[k]) for k in held])
+                every = np.concatenate([own[k] for k in held])
                 ends = np.cumsum(size)
                 key = T.sets_hashed(every, ends - size, ends)
-                often = rank[(every & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                rank = np.maximum(np.concatenate([costs[k] for k in held]), often[(every & np.uint64(COUNTERS - 1)).astype(np.int64)])
+                # An element is its place in the order: elements that agree in it and in 48 bits are taken for one, which verifying corrects.
+                every = np.minimum(rank, 65535).astype(np.uint64) << np.uint64(48) | every >> np.uint64(16)
                 take = size - (percent * size + 99) // 100 + 1
-                out = []
-                for k, s in enumerate(own):
-                    r = often[ends[k] - size[k] : ends[k]]
-                    out.append(s[: take[k]] if not r.any() else s[np.argsort(r, kind="stable")[: take[k]]])
+                out = [np.partition(every[end - n_all : end], most - 1)[:most] for end, n_all, most in zip(ends, size, take, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(T.signed(np.concatenate(out))), pa.array(T.signed(np.repeat(key, take))), pa.array(np.repeat(size, take).astype(np.int32))], ["element", "k1", "n"])
 
     return run
@@ -298,7 +327,7 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     A block that fits one tile is one. Labels that fill more than a tile of a band have tiles of their own, which aren't paired with each other.
     """
-    total = shared.written(rows.groupBy("block").agg(F.count("*").alias("n_all")).select("block", F.col("n_all").alias("n")), "jaccard-groups")
+    total = shared.freed(rows.groupBy("block").agg(F.count("*").alias("n_all")).select("block", F.col("n_all").alias("n")), "jaccard-groups")
     fits = total.where(F.col("n") <= TILE).select("block")
     own = F.struct("band", "pure", "of", "sub")
     alone = rows.join(fits.hint("merge"), "block", "left_semi").select("class_id", "label", "n", F.xxhash64("block").alias("key"), F.lit(0).cast("long").alias("tile"))
@@ -306,12 +335,12 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     if large.isEmpty():
         return alone
     rows = shared.freed(shared.spread_join(rows, large.select("block"), ["block"], total, ["class_id"]).withColumn("band", _band(percent)), "jaccard-large")
-    labels = shared.written(rows.groupBy("block", "band", "label").agg(F.count("*").alias("n")), "jaccard-labels")
+    labels = shared.freed(rows.groupBy("block", "band", "label").agg(F.count("*").alias("n")), "jaccard-labels")
     pure = labels.select("block", "band", "label", (F.col("n") > TILE).alias("pure"))
     bare, rows = rows, shared.freed(shared.spread_join(rows, pure, ["block", "band", "label"], labels, ["class_id"]).withColumn("of", F.when(F.col("pure"), F.col("label")).otherwise(F.lit(0))), "jaccard-pure")
     shared.removed(bare)
     many = labels.withColumn("pure", F.col("n") > TILE).withColumn("of", F.when(F.col("pure"), F.col("label")).otherwise(F.lit(0)))
-    many = shared.written(many.groupBy("block", "band", "pure", "of").agg(F.sum("n").alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")), "jaccard-tiles")
+    many = shared.freed(many.groupBy("block", "band", "pure", "of").agg(F.sum("n").alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")), "jaccard-tiles")
     # Written between the joins: as one query they have so many stages at once that the driver's memory shows it.
     parted, rows = rows, shared.freed(shared.spread_join(rows, many.drop("n"), ["block", "band", "pure", "of"], many, ["class_id"]).withColumn("sub", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int")), "jaccard-dealt")
     shared.removed(parted)
@@ -326,10 +355,10 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def _stars(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """((class_id, label, n, key, tile), tables read): each class of rows (element, class_id, n, band) with the smallest class of its band that it shares most elements with."""
-    hubs = shared.written(rows.groupBy("element", "band").agg(F.min("class_id").alias("hub"), F.count("*").alias("n")), "star-hubs")
+    hubs = shared.freed(rows.groupBy("element", "band").agg(F.min("class_id").alias("hub"), F.count("*").alias("n")), "star-hubs")
     met = shared.spread_join(rows, hubs.drop("n"), ["element", "band"], hubs, ["class_id"]).where("hub <> class_id").groupBy("class_id", "hub").agg(F.count("*").alias("times"), F.max("n").alias("n"))
-    best = shared.written(met.groupBy("class_id").agg(F.min_by("hub", F.struct(-F.col("times"), F.col("hub"))).alias("hub"), F.max("n").alias("n")), "stars")
-    per = shared.written(best.groupBy("hub").agg(F.count("*").alias("n")), "star-sizes")
+    best = shared.freed(met.groupBy("class_id").agg(F.min_by("hub", F.struct(-F.col("times"), F.col("hub"))).alias("hub"), F.max("n").alias("n")), "stars")
+    per = shared.freed(best.groupBy("hub").agg(F.count("*").alias("n")), "star-sizes")
     dealt = shared.spread_join(best, per.select("hub", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), ["hub"], per, ["class_id"])
     rays = dealt.select("class_id", F.col("class_id").alias("label"), "n", F.xxhash64("hub", F.pmod(F.xxhash64("class_id"), F.col("tiles"))).alias("key"), F.lit(1).cast("long").alias("tile"))
     middle = per.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / TILE) - 1)))
@@ -348,23 +377,24 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
     told = shared.written(texts.mapInArrow(T.giving_back(_described(n)), "doc_id long, node long, tie long, n int, k1 long, k2 long, bits binary, piece int, counts binary"), "jaccard-sets")
     described = told.where("piece is null").select("doc_id", "node", "tie", "n", "k1", "k2", "bits")
     pieces = told.where("piece is not null").select("piece", "counts")
-    summed = pieces.repartition(PIECES, "piece").mapInArrow(_added, "piece int, counts binary").collect()
-    counts = np.zeros(COUNTERS, np.int64)
+    summed = pieces.repartition(2 * PIECES, "piece").mapInArrow(_added, "piece int, counts binary").collect()
+    counts = np.zeros((2, COUNTERS), np.int64)
     for piece, packed in summed:
-        at = piece * (COUNTERS // PIECES)
-        counts[at : at + COUNTERS // PIECES] += np.frombuffer(zlib.decompress(bytes(packed)), "<u4")
-    mean = counts.mean()
-    rank = np.where(counts > 4 * mean + 8, np.ceil(np.log2(counts + 1)), 0).astype(np.uint8)
+        counts.reshape(2 * PIECES, -1)[piece] += np.frombuffer(zlib.decompress(bytes(packed)), "<u4")
+    order = spark.sparkContext.broadcast(_order(*counts, n))
+    del counts, summed
 
     classes = described.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("node").alias("class_id"), F.min("bits").alias("bits"), F.count("*").alias("copies"))
-    classes = shared.written(classes, "jaccard-classes")
+    classes = shared.freed(classes, "jaccard-classes")
     # Read twice, so texts are cut into shingles once for both.
-    elements = shared.written(texts.select("text").mapInArrow(T.giving_back(_prefixes(n, percent, spark.sparkContext.broadcast(rank))), "element long, k1 long, n int"), "elements")
+    elements = shared.written(texts.select("text").mapInArrow(T.giving_back(_prefixes(n, percent, order)), "element long, k1 long, n int"), "elements")
     common = elements.groupBy("element").agg(F.min("k1").alias("k_min"), F.max("k1").alias("k_max"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("n")).where("k_min <> k_max")
     # Two texts alone that are too unlike in size, which is how most elements that chance shares are shared, can't link.
     far = (F.col("n") == 2) & (100 * F.col("least").cast("long") < percent * F.col("most").cast("long"))
-    common = shared.written(common.where(~far).select("element", "n"), "shared-elements")
-    members = shared.spread_join(elements.select("element", "k1"), common.select("element"), ["element"], common, ["k1"]).distinct()
+    common = shared.freed(common.where(~far).select("element", "n"), "shared-elements")
+    # Elements that no two classes share stay where they are.
+    met = shared.maybe_in(F.col("element"), shared.filter_of(common, F.col("element")))
+    members = shared.spread_join(elements.where(met).select("element", "k1"), common.select("element"), ["element"], common, ["k1"]).distinct()
     members = shared.freed(members.join(classes.select("k1", "class_id", "n").hint("merge"), "k1").select("element", "class_id", "n"), "element-members")
     shared.removed(elements, common)
 
@@ -378,7 +408,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
         return found
 
     # Elements with more classes than a tile holds; all others are a task each.
-    large = shared.written(members.groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "large-elements")
+    large = shared.freed(members.groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "large-elements")
     small = members.join(large.select("element").hint("merge"), "element", "left_anti")
     # Groups, tiles and candidates are a query each, and what components() reads twice is a table.
     keyed = shared.freed(_groups(small, percent), "jaccard-keyed")
@@ -386,15 +416,15 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
     if large.isEmpty():
         met, labels = spark.createDataFrame([], _PAIR), None
     else:
-        wide = shared.written(shared.spread_join(members, large.select("element"), ["element"], large, ["class_id"]).withColumn("band", _band(percent)), "star-members")
+        wide = shared.freed(shared.spread_join(members, large.select("element"), ["element"], large, ["class_id"]).withColumn("band", _band(percent)), "star-members")
         stars, used = _stars(wide)
         met = links(stars)
         # The smallest of a component and the class itself: its label.
         labels = graph.components(met).select(F.col("node").alias("class_id"), F.col("component").alias("label")).unionByName(wide.select("class_id", F.col("class_id").alias("label")))
-        labels = shared.written(labels.groupBy("class_id").agg(F.min("label").alias("label")), "star-labels")
-        wide = shared.written(wide.join(labels.hint("merge"), "class_id"), "star-labelled")
+        labels = shared.freed(labels.groupBy("class_id").agg(F.min("label").alias("label")), "star-labels")
+        wide = shared.freed(wide.join(labels.hint("merge"), "class_id"), "star-labelled")
         parted = wide.groupBy("element").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most")
-        parted = shared.written(parted.select("element", "n"), "open-elements")
+        parted = shared.freed(parted.select("element", "n"), "open-elements")
         open_ = shared.spread_join(wide, parted.select("element"), ["element"], parted, ["class_id"]).select(F.col("element").alias("block"), "class_id", "n", "label")
         tiles = shared.freed(_tile_pairs(open_, percent), "jaccard-keyed")
         keyed = keyed.unionByName(tiles)
@@ -405,15 +435,15 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, t
     blocks = blocks.join(classes.select("class_id", "n").distinct().hint("merge"), "class_id")
     own = blocks.select("class_id", F.col("class_id").alias("label"))
     own = own if labels is None else own.unionByName(labels).groupBy("class_id").agg(F.min("label").alias("label"))
-    blocks = shared.written(blocks.join(own.hint("merge"), "class_id").select("block", "class_id", "n", "label"), "jaccard-blocks")
-    parted = shared.written(blocks.groupBy("block").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most").select("block", "n"), "parted-blocks")
+    blocks = shared.freed(blocks.join(own.hint("merge"), "class_id").select("block", "class_id", "n", "label"), "jaccard-blocks")
+    parted = shared.freed(blocks.groupBy("block").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most").select("block", "n"), "parted-blocks")
     parts = shared.spread_join(blocks, parted.select("block"), ["block"], parted, ["class_id"])
     found = links(_tile_pairs(parts, percent))
     joined = graph.components(found.unionByName(met)).withColumnRenamed("node", "class_id")
     shared.removed(*over, candidates, blocks, parted, found)
 
     found = classes.select("k1", "k2", "class_id", F.col("copies").alias("n")).join(joined.hint("merge"), "class_id", "left").select("k1", "k2", F.coalesce("component", "class_id").alias("component"), "n")
-    found = shared.written(found, "class-components")
+    found = shared.freed(found, "class-components")
     mine = shared.spread_join(described.select("doc_id", "node", "tie", "n", "k1", "k2"), found.drop("n"), ["k1", "k2"], found, ["node"], "left")
     return mine.withColumn("component", F.coalesce("component", "node"))
 
@@ -436,11 +466,11 @@ def repeated(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
 
     Rows of one node are taken as linked; where rows of one id may differ, node_col tells their texts apart.
     """
-    joined = shared.written(_joined(docs, n, percent, id_col, text_col, tie_col, node_col).where("n > 0").select("doc_id", "node", "tie", "component"), "jaccard-joined")
+    joined = shared.freed(_joined(docs, n, percent, id_col, text_col, tie_col, node_col).where("n > 0").select("doc_id", "node", "tie", "component"), "jaccard-joined")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "tie")
-    groups = shared.written(joined.groupBy("component").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1"), "jaccard-copies")
+    groups = shared.freed(joined.groupBy("component").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1"), "jaccard-copies")
     met = shared.spread_join(joined, groups.drop("n"), ["component"], groups, ["node", "tie"])
-    met = shared.written(met.select("node", "tie", (row == F.col("first")).alias("stays")).distinct(), "jaccard-repeated")
+    met = shared.freed(met.select("node", "tie", (row == F.col("first")).alias("stays")).distinct(), "jaccard-repeated")
     shared.removed(joined, groups)
     return met
 
